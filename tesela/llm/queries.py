@@ -19,6 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesela.llm.html_text import extract_main_text
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesela.llm.topk import norm_bucket_topk
+
+    return norm_bucket_topk(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesela.llm.curriculum import mix_sources
 
@@ -69,6 +82,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_extract_html": op1_extract_html,
+    "op3_topk_search": op3_topk_search,
     "op6_mix_sources": op6_mix_sources,
     "op7_chat_format": op7_chat_format,
     "op8_bpe_encode": op8_bpe_encode,
@@ -76,8 +91,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
+_OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+) WHERE rank <= 5
+"""
+
 # Water filling as a table of the sources; then each document's share of the passes over its source.
-_OP6_SQL = """
+_OP6_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), src AS (
@@ -107,7 +135,7 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-_OP7_SQL = """
+_OP7_SQL = r"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
@@ -117,7 +145,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\\\1|', 'g')) + 24) AS BIGINT) AS formatted_chars
+  CAST(sum(length(role) + length(text) + len(regexp_extract_all(text, '<[\\]*[|]')) + 24) AS BIGINT) AS formatted_chars
 FROM said GROUP BY conv_id
 """
 
@@ -127,4 +155,4 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY folded) AS keep_id, count(*) OVER
 FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded FROM documents)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_mix_sources": _OP6_SQL, "op7_chat_format": _OP7_SQL, "op9_exact_dedup": _OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_topk_search": _OP3_SQL, "op6_mix_sources": _OP6_SQL, "op7_chat_format": _OP7_SQL, "op9_exact_dedup": _OP9_SQL}
