@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesela.llm.common import whole_row
+
 #: Words whose ids a worker keeps, and byte states it keeps; both tables start anew when full.
 MAX_WORDS, MAX_STATES = 600_000, 300_000
 
@@ -242,8 +244,8 @@ def _per_text(df: DataFrame, text: str | Column, kind: str, of) -> DataFrame:
     column = F.col(text) if isinstance(text, str) else text
     udf = F.arrow_udf(of, kind)
     names = [part.split()[0] for part in kind.removeprefix("struct<").removesuffix(">").replace(":", " ").split(",")]
-    made = df.select("*", udf(F.coalesce(column, F.lit(""))).alias("_bpe"))
-    return made.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *[F.col(f"_bpe.{n}") for n in names])
+    made = df.select(whole_row(df, names), udf(F.coalesce(column, F.lit(""))).alias("_bpe"))
+    return made.select("_row.*", *[F.col(f"_bpe.{n}") for n in names])
 
 
 def encode_texts(df: DataFrame, text: str, vocabulary: str) -> DataFrame:

@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _U64 = np.uint64
 
@@ -33,6 +34,11 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame, without: list[str]) -> Column:
+    """The columns of a frame but some as one struct, _row, so that no name of theirs meets a name used on the way."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in without]).alias("_row")
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column without copying; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesela.llm.common import stash, text_bytes
+from tesela.llm.common import stash, text_bytes, whole_row
 
 #: Bytes of text that a table may hold, and bytes that a bucket should get.
 TABLE_BYTES, BUCKET_BYTES = 96 << 20, 24 << 20
@@ -180,10 +180,9 @@ def dedup_exact(docs: DataFrame, key: str = "doc_id", text: str = "text", table_
     added = ["keep_id", "group_size", "kept", "text_sha256"]
     groups = content_groups(docs, key, text, table_bytes)
     folded = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], F.unhex(F.sha2(folded, 256)).alias("_digest"))
-    groups = groups.select(F.col("digest").alias("_digest"), "keep_id", "group_size")
-    kept = F.col(key).eqNullSafe(F.col("keep_id"))
-    return rows.join(groups, "_digest").select(*rows.columns[:-1], "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"))
+    rows = docs.select(whole_row(docs, added), F.col(key).alias("_key"), F.unhex(F.sha2(folded, 256)).alias("digest"))
+    kept = F.col("_key").eqNullSafe(F.col("keep_id"))
+    return rows.join(groups, "digest").select("_row.*", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesela.llm.common import whole_row
+
 # Frequent function words of four languages.
 STOP_WORDS = frozenset(
     """
@@ -221,7 +223,7 @@ def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
         texts = [main_text(x) for x in column.to_pylist()]
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["text", "n_chars"])
 
-    made = pages.select("*", extract(F.coalesce(F.col(html), F.lit(""))).alias("_main"))
-    return made.select(*[F.col(f"`{c}`") for c in pages.columns if c not in ("text", "n_chars")], F.col("_main.text"), F.col("_main.n_chars"))
+    made = pages.select(whole_row(pages, ["text", "n_chars"]), extract(F.coalesce(F.col(html), F.lit(""))).alias("_main"))
+    return made.select("_row.*", F.col("_main.text"), F.col("_main.n_chars"))
 
 

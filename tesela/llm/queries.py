@@ -26,12 +26,27 @@ def op1_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesela.llm.near_dedup import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesela.llm.topk import norm_bucket_topk
 
     return norm_bucket_topk(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesela.llm.language_id import identify_languages, is_held_out, learn_languages
+
+    docs = table(spark, sf_dir, "documents")
+    held = is_held_out(F.col("doc_id"))
+    model = learn_languages(docs.filter(F.col("doc_id").isNotNull() & ~held))
+    return identify_languages(docs.select("doc_id", held.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score", "lang_set")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesela.llm.curriculum import mix_sources
 
@@ -83,7 +98,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract_html": op1_extract_html,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_topk_search": op3_topk_search,
+    "op4_language_id": op4_language_id,
     "op6_mix_sources": op6_mix_sources,
     "op7_chat_format": op7_chat_format,
     "op8_bpe_encode": op8_bpe_encode,
