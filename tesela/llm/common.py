@@ -90,7 +90,7 @@ class RangeHash:
     def _tables(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         have = cls._powers.get(base)
         if have is None or len(have[0]) < n:
-            size = max(n, 1 << 16)
+            size = 1 << max(16, n.bit_length())
             inverse = pow(base, -1, 1 << 64)
             have = tuple(np.concatenate((np.ones(1, _U64), np.cumprod(np.full(size - 1, b, _U64)))) for b in (base, inverse))
             if size <= 1 << 23:  # very long texts make their own

@@ -47,6 +47,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs.select("doc_id", held.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score", "lang_set")
 
 
+def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesela.llm.repeats import repeat_digests
+
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesela.llm.curriculum import mix_sources
 
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_topk_search": op3_topk_search,
     "op4_language_id": op4_language_id,
+    "op5_repeated_strings": op5_repeated_strings,
     "op6_mix_sources": op6_mix_sources,
     "op7_chat_format": op7_chat_format,
     "op8_bpe_encode": op8_bpe_encode,
