@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tesela.llm.common import whole_row
 
 #: Words whose ids a worker keeps, and byte states it keeps; both tables start anew when full.
-MAX_WORDS, MAX_STATES = 600_000, 300_000
+MAX_WORDS, MAX_STATES = 400_000, 200_000
 
 # The pattern that byte-level vocabularies split text by, and the code points it may be narrowed to below U+0250.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -99,6 +99,8 @@ class BpeAutomaton:
                 # u = v: after "uu" another u may follow, so w's arc leads to where u's arc led before this merge
                 self._after[w] = follow
         self._arcs.clear()  # the last word on each arc is only known now
+        reached = set(self._after)  # copies that were copied again can't be reached any more
+        self._removed = [r if q in reached else {} for q, r in enumerate(self._removed)]
 
     def _has_arc(self, state: int, token: int) -> bool:
         known = self._arcs.get((state, token))
@@ -242,7 +244,7 @@ def automaton(vocabulary: str) -> BpeAutomaton:
 def _per_text(df: DataFrame, text: str | Column, kind: str, of) -> DataFrame:
     """df with the columns of the struct `kind`, which of(automaton-independent text list) makes from each Arrow batch."""
     column = F.col(text) if isinstance(text, str) else text
-    udf = F.arrow_udf(of, kind)
+    udf = F.arrow_udf(of, kind).asNondeterministic()  # else a filter on its columns would run it twice
     names = [part.split()[0] for part in kind.removeprefix("struct<").removesuffix(">").replace(":", " ").split(",")]
     made = df.select(whole_row(df, names), udf(F.coalesce(column, F.lit(""))).alias("_bpe"))
     return made.select("_row.*", *[F.col(f"_bpe.{n}") for n in names])

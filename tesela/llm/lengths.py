@@ -11,7 +11,7 @@ BLOCK = 256
 
 def length_histogram(df: DataFrame, length: str = "n_tokens") -> DataFrame:
     """(n_tokens long, n_docs long): how many documents have each encoded length.  Rows with a null length don't count."""
-    return df.filter(F.col(length).isNotNull()).groupBy(F.col(length).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    return df.groupBy(F.col(length).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_tokens").isNotNull())
 
 
 def context_table(histogram: DataFrame) -> DataFrame:
