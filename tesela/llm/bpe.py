@@ -81,26 +81,27 @@ class BpeAutomaton:
         n = len(self.labels)
         self._after = [0] * n  # the state to which a token's arc leads
         self._parts: list[tuple[int, int] | None] = [None] * n  # (left part, number of the merge)
-        self._base = [-1]  # of each state: the state it was copied from, the arc removed, the merge's number
-        self._cut: list[tuple[int, int]] = [(-1, -1)]
+        self._removed: list[dict[int, int]] = [{}]  # of each state: the arcs removed, with the merge's number
         self._arcs: dict[tuple[int, int], bool] = {}
-        self._removed: list[dict[int, int]] = [{}]
+        leads = [n + 1]  # arcs that lead to each state; the start has one from outside
         for time, (u, v, w) in enumerate(merges):
-            made, follow = self._parts[w] is None, self._after[v]
-            if made:
+            if self._parts[w] is None:
+                # u = v: after "uu" another u may follow, so w's arc leads to where v's arc led before this merge
                 self._parts[w] = (u, time)
+                leads[self._after[w]] -= 1
+                self._after[w] = self._after[v]
+                leads[self._after[w]] += 1
             q = self._after[u]
             if self._has_arc(q, v):
-                self._base.append(q)
-                self._cut.append((v, time))
-                self._removed.append(self._removed[q] | {v: time})
-                self._after[u] = len(self._base) - 1
-            if made:
-                # u = v: after "uu" another u may follow, so w's arc leads to where u's arc led before this merge
-                self._after[w] = follow
+                if leads[q] > 1:
+                    leads[q] -= 1
+                    leads.append(1)
+                    self._removed.append(dict(self._removed[q]))
+                    q = self._after[u] = len(leads) - 1
+                # a state that only u leads to is its own copy
+                self._removed[q][v] = time
+                self._arcs.pop((q, v), None)
         self._arcs.clear()  # the last word on each arc is only known now
-        reached = set(self._after)  # copies that were copied again can't be reached any more
-        self._removed = [r if q in reached else {} for q, r in enumerate(self._removed)]
 
     def _has_arc(self, state: int, token: int) -> bool:
         known = self._arcs.get((state, token))
