@@ -347,12 +347,10 @@ def _answers(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.col("text").alias("answer"), F.coalesce(before, F.lit("")).alias("context"))
 
 
-# Only numbers occur in these tables.  RE2 has no look-around, so the SQL walks the matches of a pattern that also takes in whole words,
-# and keeps those that are numbers.
+# Only numbers occur in these tables, beside ASCII letters and signs only, so RE2's \b serves.
 _NUMBERS_SQL = r"""
 WITH answers AS (SELECT doc_id, text AS answer, coalesce(lag(text) OVER (PARTITION BY source ORDER BY doc_id), '') AS context FROM documents),
-runs AS (SELECT doc_id, context, unnest(regexp_extract_all(answer, '[\pL\pN_]+(?:[.,][\pN]+)*')) AS run FROM answers),
-found AS (SELECT doc_id, context, run AS claim FROM runs WHERE regexp_matches(run, '^\d{1,3}(?:[.,]\d{3})*(?:[.,]\d+)?$')),
+found AS (SELECT doc_id, context, trim(unnest(regexp_extract_all(answer, '\b\d{1,3}(?:[.,]\d{3})*(?:[.,]\d+)?\s*%?\b')), chr(32) || chr(10)) AS claim FROM answers),
 firsts AS (SELECT DISTINCT doc_id, context, claim FROM found WHERE NOT regexp_replace(claim, '[^0-9]', '', 'g') IN ('1','2','3','4','5','6','7','8','9','10','100'))
 SELECT doc_id, 'numero' AS kind, claim FROM firsts WHERE NOT contains(context, claim) AND NOT contains(regexp_replace(context, '\s+', '', 'g'), claim)
 """
