@@ -134,13 +134,13 @@ def label_items(raw: Column) -> Column:
             out.append(rows)
         return pa.array(out, pa.list_(pa.struct([("label", pa.string()), ("weight", pa.float64())])))
 
-    return run(raw)
+    return run.asNondeterministic()(raw)  # else it would be run once for each use of the items
 
 
 def normalized_weights(items: Column, labels: tuple[str, ...] = RISK_LABELS) -> Column:
     """Known labels with positive weights: the first of each, weights cut at 1, divided by their sum if that is above 1, rounded to four
     places, highest first (ties in order)."""
-    named = F.transform(items, lambda x, i: F.struct(F.lower(F.trim(x.label)).alias("label"), F.least(x.weight, F.lit(1.0)).alias("weight"), i.alias("at")))
+    named = F.transform(items, lambda x, i: F.struct(F.lower(F.trim(x.label)).alias("label"), F.when(x.weight.isNotNull(), F.least(x.weight, F.lit(1.0))).alias("weight"), i.alias("at")))
     valid = F.filter(named, lambda x: x.label.isin(*labels) & x.weight.isNotNull() & (x.weight > 0) & ~F.isnan(x.weight))
     first = F.filter(valid, lambda x: ~F.exists(valid, lambda y: (y.label == x.label) & (y["at"] < x["at"])))
     total = F.aggregate(first, F.lit(0.0), lambda a, x: a + x.weight)

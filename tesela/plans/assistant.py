@@ -14,7 +14,8 @@ def classify(texts: DataFrame, technique: str, completer: Completer, text: str =
     """texts with labels, array<struct<label, weight>>; blank texts are dropped."""
     rows = texts.filter(F.length(F.trim(text)) > 0)
     system, user = task_prompt("classify", technique, F.col(text))
-    return rows.withColumn("labels", structured.normalized_weights(structured.label_items(complete(system, user, completer))))
+    items = rows.withColumn("_answer", complete(system, user, completer)).withColumn("_items", structured.label_items(F.col("_answer")))
+    return items.withColumn("labels", structured.normalized_weights(F.col("_items"))).drop("_answer", "_items")
 
 
 def merged_items(items: DataFrame, keys: list[str], order: list[str], item: str = "item") -> DataFrame:
