@@ -14,6 +14,7 @@ from tesela.functions import chunking, models, structured, text
 from tesela.operators import chunks as chunk_ops
 from tesela.operators import evaluation, fusion, lexical, querylog, vectors, verify
 from tesela.operators import sync as sync_ops
+from tesela.operators.topfused import top_fused
 from tesela.plans import assistant
 from tesela.sources import files as file_ops
 from tesela.sources import snapshots
@@ -211,6 +212,16 @@ def _fused(spark, sf_dir):
     return fusion.fuse(scores, _distances(spark, sf_dir), corpus, questions)
 
 
+def _top(spark, sf_dir, k):
+    """The first k of _fused(), found without ranking all documents."""
+    corpus, questions = _corpus(spark, sf_dir), _questions(spark, sf_dir)
+    scores = lexical.bm25_scores(lexical.bm25_index(corpus), lexical.question_terms(questions, text="question"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = _questions(spark, sf_dir).join(v, F.col("query_id") == F.col("vec_id")).select("query_id", "vector")
+    held = v.withColumnRenamed("vec_id", "chunk_id").join(corpus.select("chunk_id"), "chunk_id", "left_semi")
+    return top_fused(scores, asked, held, corpus, questions, k)
+
+
 @query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf, n, round(avgdl, 6) AS avgdl, round(average_idf, 6) AS average_idf FROM terms, st, av")
 def bm25_stats(spark, sf_dir):
     index = lexical.bm25_index(_corpus(spark, sf_dir))
@@ -247,7 +258,7 @@ def vector_knn(spark, sf_dir):
 
 @query(f"WITH {_FUSED} SELECT query_id, chunk_id, round(rrf, 6) AS rrf, round(distance, 6) + 0.0 AS distance, rank FROM fused WHERE rank < {TOP_K}")
 def hybrid_rrf_topk(spark, sf_dir):
-    top = _fused(spark, sf_dir).filter(F.col("rank") < TOP_K)
+    top = _top(spark, sf_dir, TOP_K)
     return top.select("query_id", "chunk_id", F.round("rrf", 6).alias("rrf"), (F.round("distance", 6) + 0.0).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -282,7 +293,7 @@ scaled AS (
 
 def _pool(spark, sf_dir):
     """The pool of each question with the Jaccard similarity of the words of question and chunk as pair score."""
-    pool = _fused(spark, sf_dir).filter(F.col("rank") < POOL)
+    pool = _top(spark, sf_dir, POOL)
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(text.TOKEN), F.lit(0)))
     rows = pool.join(_questions(spark, sf_dir), "query_id").join(_corpus(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
     a, b = words(F.col("question")), words(F.col("text"))
@@ -327,7 +338,7 @@ SELECT query_id, string_agg('[Fragmento ' || (rank + 1) || '] Fuente: ' || sourc
 FROM fused JOIN documents ON doc_id = chunk_id WHERE rank < {TOP_K} GROUP BY query_id
 """)
 def format_context(spark, sf_dir):
-    top = _fused(spark, sf_dir).filter(F.col("rank") < TOP_K).join(_corpus(spark, sf_dir), "chunk_id")
+    top = _top(spark, sf_dir, TOP_K).join(_corpus(spark, sf_dir), "chunk_id")
     hint = F.when(F.col("chunk_id") % 2 == 0, "").otherwise(F.concat(F.lit("S"), "chunk_id"))
     hits = F.array_sort(F.collect_list(F.struct("rank", "source", F.col("chunk_id").alias("page"), hint.alias("section_hint"), "text")))
     return top.groupBy("query_id").agg(text.format_context(hits).alias("context"))
@@ -335,7 +346,7 @@ def format_context(spark, sf_dir):
 
 @query(f"WITH {_FUSED} SELECT source, count(*) AS n FROM fused JOIN documents ON doc_id = chunk_id WHERE rank < {TOP_K} GROUP BY source")
 def source_frequencies(spark, sf_dir):
-    top = _fused(spark, sf_dir).filter(F.col("rank") < TOP_K).join(_corpus(spark, sf_dir), "chunk_id")
+    top = _top(spark, sf_dir, TOP_K).join(_corpus(spark, sf_dir), "chunk_id")
     log = top.groupBy("query_id").agg(F.collect_list(F.struct("source")).alias("sources"))
     return querylog.source_frequencies(log)
 
@@ -546,7 +557,7 @@ def eval_aggregate(spark, sf_dir):
     """Questions are passages: a source is expected if a document of it holds the passage, and the passage itself stands for the answer."""
     questions, corpus = _questions(spark, sf_dir), _corpus(spark, sf_dir)
     holds = corpus.crossJoin(F.broadcast(questions)).filter(F.contains("text", F.col("question"))).groupBy("query_id").agg(F.collect_set("source").alias("expected_sources"))
-    top = _fused(spark, sf_dir).filter(F.col("rank") < TOP_K).join(corpus, "chunk_id")
+    top = _top(spark, sf_dir, TOP_K).join(corpus, "chunk_id")
     ordered = F.array_sort(F.collect_list(F.struct("rank", "text")))
     got = top.groupBy("query_id").agg(F.collect_list("source").alias("sources"), F.array_join(F.transform(ordered, lambda x: x.text), "\n\n").alias("context"))
     cases = got.join(holds, "query_id", "left").join(questions, "query_id")
