@@ -556,7 +556,7 @@ SELECT count(*) AS n, round(avg(coalesce(recall, 0)), 6) AS recall_rate, 1.0::DO
 def eval_aggregate(spark, sf_dir):
     """Questions are passages: a source is expected if a document of it holds the passage, and the passage itself stands for the answer."""
     questions, corpus = _questions(spark, sf_dir), _corpus(spark, sf_dir)
-    holds = corpus.crossJoin(F.broadcast(questions)).filter(F.contains("text", F.col("question"))).groupBy("query_id").agg(F.collect_set("source").alias("expected_sources"))
+    holds = corpus.crossJoin(questions).filter(F.contains("text", F.col("question"))).groupBy("query_id").agg(F.collect_set("source").alias("expected_sources"))
     top = _top(spark, sf_dir, TOP_K).join(corpus, "chunk_id")
     ordered = F.array_sort(F.collect_list(F.struct("rank", "text")))
     got = top.groupBy("query_id").agg(F.collect_list("source").alias("sources"), F.array_join(F.transform(ordered, lambda x: x.text), "\n\n").alias("context"))

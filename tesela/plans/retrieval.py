@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tesela.functions import models, text
 from tesela.operators import fusion, lexical, vectors
 from tesela.operators.chunks import chunk_pages
+from tesela.operators.topfused import top_fused
 from tesela.operators.verify import with_warnings
 from tesela.plans.prompts import DECOMPOSE, answer_prompt
 from tesela.settings import Settings
@@ -47,14 +48,23 @@ def retrieve(collection: DataFrame, questions: DataFrame, settings: Settings, em
     """(group_id, place, chunk_id, source, page, section_hint, text, rrf, distance, rerank_score, blended_score), the k best chunks of
     each question (query_id string, question), place from 0."""
     k = settings.k(top_k)
+    size = max(k, settings.reranker_pool_size) if settings.reranker_enabled else k
     asked = asked_questions(sub_questions(questions, completer))
+    asked = asked.join(asked.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n")), "group_id")
     index = lexical.bm25_index(collection)
     scores = lexical.bm25_scores(index, lexical.question_terms(asked, text="question"))
     embedded = models.embed_distinct(asked, "question", settings.embedding_model, embedder)
-    distances = vectors.cosine_distances(embedded, collection.filter(F.col("vector").isNotNull()))
-    ranked = fusion.fuse(scores, distances, collection, asked).join(asked.select("query_id", "group_id", "query_ord"), "query_id")
-    fused = fusion.fuse_questions(ranked).withColumnRenamed("group_id", "query_id")
-    pool = fused.filter(F.col("rank") < (max(k, settings.reranker_pool_size) if settings.reranker_enabled else k))
+    held = collection.filter(F.col("vector").isNotNull())
+    columns = ["group_id", "chunk_id", "rrf", "distance", "rank"]
+    # a question on its own keeps its fused score; several are fused once more, which takes all of their ranks
+    single, several = asked.filter("_n = 1").select("query_id", "group_id"), asked.filter("_n > 1").select("query_id", "group_id", "query_ord")
+    alone = top_fused(scores.join(single.select("query_id"), "query_id", "left_semi"), embedded.filter("_n = 1"), held, collection, single, size)
+    pool = alone.join(single, "query_id").select(*columns)
+    if not several.isEmpty():
+        distances = vectors.cosine_distances(embedded.filter("_n > 1"), held)
+        ranked = fusion.fuse(scores, distances, collection, several).join(several, "query_id")
+        pool = pool.unionByName(fusion.fuse_questions(ranked).filter(F.col("rank") < size).select(*columns))
+    pool = pool.withColumnRenamed("group_id", "query_id")
     hits = pool.join(collection.select("chunk_id", "source", "page", "section_hint", "text"), "chunk_id")
     if settings.reranker_enabled:
         named = hits.join(questions.select("query_id", "question"), "query_id")

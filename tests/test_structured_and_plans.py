@@ -99,6 +99,7 @@ def test_index_and_ask(spark, tmp_path):
     asked = spark.createDataFrame([("q1", "¿Que es el VaR y cual es el limite?"), ("q2", "limite de exposicion")], "query_id string, question string")
     hits = retrieval.retrieve(collection, asked, settings, completer=divide)
     assert {(r.group_id, r.place) for r in hits.collect()} == {("q1", 0), ("q1", 1), ("q2", 0), ("q2", 1)}
+    assert {r.rrf for r in hits.filter("group_id = 'q2' AND place = 0").collect()} <= {0.033333, 0.033060, 0.03306}
     answers = {r.query_id: r for r in retrieval.answer(asked, hits.filter("group_id = 'q2'"), models.echo_completer).collect()}
     assert answers["q1"].answer == retrieval.NOT_FOUND
     assert {s.source for s in answers["q2"].sources} == {"a.txt", "Acta_b.MD"}
