@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesela.llm.curriculum import SCHEDULES
+
 try:
     import public_tokenizers
 
@@ -57,7 +59,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesela.llm.curriculum import mix_sources
 
     mixed = mix_sources(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", 0), 6).alias("position"))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +130,24 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 ) WHERE rank <= 5
 """
 
+
+
+def _inverse_sql(share: str, knots) -> str:
+    """SQL for the time by which a piecewise linear schedule has consumed a share of its integral."""
+    areas = [(t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in zip(knots, knots[1:], strict=False)]
+    total, done, out = sum(areas), 0.0, ""
+    for ((t0, w0), (t1, w1)), area in zip(zip(knots, knots[1:], strict=False), areas, strict=True):
+        need = f"greatest({share} * {total}::DOUBLE - {done}::DOUBLE, 0)"
+        slope = (w1 - w0) / (t1 - t0)
+        root = f"sqrt(greatest({w0 * w0}::DOUBLE + 2 * {slope}::DOUBLE * {need}, 0))"
+        here = f"{t0}::DOUBLE + least(2 * {need} / ({w0}::DOUBLE + {root}), {t1 - t0}::DOUBLE)"
+        out = f"CASE WHEN {share} * {total}::DOUBLE <= {done}::DOUBLE THEN {out} ELSE {here} END" if out else here
+        done += area
+    return out
+
+
+_POSITION = "CASE weight " + " ".join(f"WHEN {w} THEN {_inverse_sql('middle', knots)}" for w, knots in SCHEDULES.items()) + " END"
+
 # Water filling as a table of the sources; then each document's share of the passes over its source.
 _OP6_SQL = r"""
 WITH sized AS (
@@ -148,16 +168,15 @@ WITH sized AS (
 ), final AS (
   SELECT min_by(water, level) AS final FROM water WHERE water < level
 ), target AS (
-  SELECT source, source_size, CASE WHEN final IS NULL OR level <= final THEN cap ELSE weight * final END AS target FROM water, final
+  SELECT source, source_size, weight, CASE WHEN final IS NULL OR level <= final THEN cap ELSE weight * final END AS target FROM water, final
 ), placed AS (
-  SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS whole,
+  SELECT doc_id, size, source_size, weight, target, CAST(floor(target) AS BIGINT) AS whole,
     CAST(coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM sized s JOIN target t ON s.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, target,
-  greatest(least(whole - start, size), 0) + greatest(least(whole - start - source_size, size), 0) AS taken
-FROM placed
-"""
+SELECT doc_id, size, source_size, target, first_part + greatest(least(whole - start - source_size, size), 0) AS taken, CASE WHEN first_part > 0 THEN round(@@, 6) END AS position
+FROM (SELECT *, (start + first_part / 2) / nullif(target, 0) AS middle FROM (SELECT *, greatest(least(whole - start, size), 0) AS first_part FROM placed))
+""".replace("@@", _POSITION)
 
 _OP7_SQL = r"""
 WITH said AS (
