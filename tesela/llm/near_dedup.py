@@ -5,9 +5,11 @@ registers, and a register keeps the first arrival of all shingles.  Two texts ag
 similarity of their weights (the plain Jaccard similarity if no shingle repeats).  A shingle's process ends as soon as its next arrival
 comes after the latest of the registers, since it can't change them any more.
 
-Candidates are texts that agree in all registers of a band.  Rather than all pairs of a bucket, each member is verified against one
-representative; pairs whose members are still in different classes after that are then verified one by one, so no link between
-classes is lost to the shortcut.
+Candidates are texts that agree in all registers of a band.  Rather than all pairs of a bucket, each member is verified against the
+bucket's hub, the member with the largest buckets: among edited copies that is the text which the others stem from.  Members that are
+still in different classes after that are compared by their signatures, block by block, and pairs whose estimate may reach the
+threshold are verified: first the likeliest of each member and class, then, between what is still apart, all.  So no link between
+classes is lost to the shortcut, and pairs inside a class are never listed.
 """
 
 from __future__ import annotations
@@ -25,8 +27,16 @@ from tesela.llm.components import connected_components
 
 #: Bands and registers in each: at similarity 0.8, two texts share a band with probability 0.9993.
 BANDS, ROWS = 24, 6
+#: Registers of a signature; bands take the first, estimates all.
+REGISTERS = 384
 #: Words in a shingle, least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
+#: Least estimate at which a pair is verified: three standard errors (of 384 registers) under the least similarity.
+ESTIMATE = 0.739
+#: Members in a block of a bucket; likeliest partners of a member in each block that are verified first.
+BLOCK, LIKELIEST = 256, 1
+#: Bytes of texts whose vectors a task keeps.
+KEPT = 16 << 20
 #: Bytes of text that are worked on at once.
 CHUNK = 2 << 20
 
@@ -118,7 +128,7 @@ def prob_minhash(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, r
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tid, key, bands) of each text with shingles; without, bands is empty."""
+    """(tid, key, bands, sig) of each text with shingles; without, bands is empty.  sig: 16 bits of each register."""
     for batch in batches:
         texts, keys = batch.column("text").to_pylist(), batch.column("key")
         raw = [(x or "").encode() for x in texts]
@@ -129,16 +139,18 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner, h, weight = weighted_shingles(np.frombuffer(b"".join(lowered), np.uint8), offsets)
             have = np.unique(owner)
             index = np.searchsorted(have, owner)
-            sig = prob_minhash(index, h, weight.astype(np.float64), len(have), BANDS * ROWS)
+            sig = prob_minhash(index, h, weight.astype(np.float64), len(have), REGISTERS)
             bands = np.zeros((len(have), BANDS), _U64)
             for r in range(ROWS):
-                bands += sig.reshape(-1, BANDS, ROWS)[:, :, r] * _power(r)
+                bands += sig[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)[:, :, r] * _power(r)
             bands = mixed(bands + np.arange(BANDS, dtype=_U64)[None, :] * _U64(0xD1B54A32D192ED03)).view(np.int64)
+            short = np.zeros((hi - lo, REGISTERS), np.uint16)
+            short[have] = (sig & _U64(0xFFFF)).astype(np.uint16)
             counts = np.zeros(hi - lo, np.int64)
             counts[have] = BANDS
             arrays = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(bands.ravel()))
             tids = pa.array([hashlib.md5(x).digest() for x in raw[lo:hi]], pa.binary())
-            yield pa.RecordBatch.from_arrays([tids, keys.slice(lo, hi - lo), arrays], names=["tid", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([tids, keys.slice(lo, hi - lo), arrays, pa.array([x.tobytes() for x in short], pa.binary())], names=["tid", "key", "bands", "sig"])
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -162,20 +174,72 @@ def _vector(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, similar) of each candidate pair; the vectors of a repeated partner are kept."""
+    """(a, b, similar) of each candidate pair; vectors are kept for further pairs of a text, up to a bound."""
     kept: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+    size = 0
+
+    def vector(tid: bytes, text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal size
+        if tid not in kept:
+            if size > KEPT:
+                kept.clear()
+                size = 0
+            kept[tid] = _vector(text.as_py())
+            size += 24 * len(kept[tid][0]) + 200
+        return kept[tid]
+
     for batch in batches:
-        similar = []
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        for i in range(len(a)):
-            if b[i] not in kept:
-                if len(kept) >= 64:
-                    kept.clear()
-                kept[b[i]] = _vector(batch.column("text_b")[i].as_py())
-            similar.append(probability_jaccard(_vector(batch.column("text_a")[i].as_py()), kept[b[i]]) >= SIMILARITY - 1e-12)
+        texts = zip(batch.column("text_a"), batch.column("text_b"), strict=True)
+        similar = [probability_jaccard(vector(a[i], x), vector(b[i], y)) >= SIMILARITY - 1e-12 for i, (x, y) in enumerate(texts)]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(similar)], names=["a", "b", "similar"])
 
 
+def _likely_pairs(most: int | None):
+    """(a, b) of the pairs of two blocks, rows (at, l, r) of member lists, whose classes differ and whose estimate may do; most: of each
+    member of l, that many of the highest estimates.  A pair that shares several bands is told in the first of them, at, only."""
+
+    def members(blocks: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        rows = blocks.as_py()
+        return [x["tid"] for x in rows], np.array([x["root"] for x in rows], dtype=object), np.frombuffer(b"".join(x["sig"] for x in rows), np.uint16).reshape(len(rows), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, left, right in zip(batch.column("at").to_pylist(), batch.column("l"), batch.column("r"), strict=True):
+                l_tid, l_root, l_sig = members(left)
+                r_tid, r_root, r_sig = members(right)
+                out: tuple[list[bytes], list[bytes]] = ([], [])
+                for i, tid in enumerate(l_tid):
+                    equal = r_sig == l_sig[i]
+                    hits = np.flatnonzero((equal.mean(1) >= ESTIMATE) & (r_root != l_root[i]))
+                    bands = equal[hits, : BANDS * ROWS].reshape(len(hits), BANDS, ROWS).all(2)
+                    hits = hits[~bands[:, :at].any(1)]
+                    if most is not None:
+                        hits = hits[np.argsort(-equal[hits].sum(1), kind="stable")][:most]
+                    for j in hits.tolist():
+                        out[0].append(max(tid, r_tid[j]))
+                        out[1].append(min(tid, r_tid[j]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["a", "b"])
+
+    return run
+
+
+def _still_apart(members: DataFrame, roots: DataFrame, sigs: DataFrame, most: int | None) -> DataFrame:
+    """(a, b): likely pairs of members of one bucket that are in different classes."""
+    placed = members.join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left").select("band", "at", "tid", "hub", F.coalesce("root", "tid").alias("root"))
+    main = placed.filter(F.col("tid") == F.col("hub")).select("band", F.col("root").alias("main"))
+    sizes = placed.join(main, "band").groupBy("band").agg(F.min("main").alias("main"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("root") != F.col("main")).alias("others")).filter("others > 0")
+    apart = placed.join(sizes, "band").join(sigs, "tid").withColumn("other", F.col("root") != F.col("main"))
+    # of a bucket's members outside its hub's class, and of those inside, blocks of about 256
+    blocks = F.ceil(F.when(F.col("other"), F.col("others")).otherwise(F.col("n") - F.col("others")) / BLOCK)
+    dealt = apart.withColumn("block", F.pmod(F.xxhash64("tid"), blocks))
+    packed = stash(dealt.groupBy("band", "at", "other", "block").agg(F.collect_list(F.struct("tid", "root", "sig")).alias("rows")))
+    left = packed.filter("other").select("band", "at", F.col("block").alias("l_block"), F.col("rows").alias("l"))
+    right = packed.select("band", "other", F.col("block").alias("r_block"), F.col("rows").alias("r"))
+    pairs = left.join(right, "band").filter(~F.col("other") | (F.col("l_block") <= F.col("r_block")))
+    return pairs.select("at", "l", "r").mapInArrow(_likely_pairs(most), "a binary, b binary").distinct()
+
+
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
     with_a = pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a")
@@ -187,13 +251,16 @@ def _classified(docs: DataFrame, key: str, text: str) -> DataFrame:
     """near_classes() with the column _root, which tells classes apart even where their keys are null."""
     added = ["class_id", "class_size", "kept", "_root"]
     keyed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    signed = stash(keyed.mapInArrow(_signatures, "tid binary, key long, bands array<long>"))
+    signed = keyed.mapInArrow(_signatures, "tid binary, key long, bands array<long>, sig binary")
     # equal texts are one from here on
-    distinct = stash(signed.groupBy("tid").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")))
-    banded = distinct.select("tid", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("tid").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stash(banded.join(shared.select("band", "rep"), "band"))
-    first = stash(members.filter(F.col("tid") != F.col("rep")).select(F.col("tid").alias("a"), F.col("rep").alias("b")).distinct())
+    distinct = stash(signed.groupBy("tid").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    banded = distinct.select("tid", F.posexplode("bands").alias("at", "band"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = stash(banded.join(shared, "band"))
+    weighed = buckets.join(buckets.groupBy("tid").agg(F.sum("n").alias("weight")), "tid")
+    hubs = weighed.groupBy("band").agg(F.max(F.struct("weight", "tid"))["tid"].alias("hub"))
+    members = stash(buckets.select("band", "at", "tid").join(hubs, "band"))
+    first = stash(members.filter(F.col("tid") != F.col("hub")).select(F.greatest("tid", "hub").alias("a"), F.least("tid", "hub").alias("b")).distinct())
     # the texts of candidates only, one of each
     wanted = members.select("tid").distinct().join(distinct.select("tid", "key"), "tid")
     own = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -202,16 +269,13 @@ def _classified(docs: DataFrame, key: str, text: str) -> DataFrame:
     texts = stash(found.select("tid", "text").dropDuplicates(["tid"]))
     links = _links(first, texts)
     roots = connected_components(links)
-    # members of a bucket that are still apart
-    placed = members.select("band", "tid").join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left").select("band", "tid", F.coalesce("root", "tid").alias("root"))
-    split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter(F.col("lo") != F.col("hi")).select("band")
-    apart = stash(placed.join(split, "band"))
-    a, b = (apart.select("band", F.col("tid").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-    pairs = a.join(b, "band").filter((F.col("root_a") > F.col("root_b"))).select("a", "b").distinct()
-    tried = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = _links(stash(pairs.join(tried, ["a", "b"], "left_anti")), texts)
-    if not more.isEmpty():
-        roots = connected_components(links.unionByName(more))
+    for most in (LIKELIEST, None):
+        pairs = stash(_still_apart(members, roots, distinct.select("tid", "sig"), most).join(first, ["a", "b"], "left_anti"))
+        more = _links(pairs, texts)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = connected_components(links)
+        first = first.unionByName(pairs)
     classes = distinct.select("tid", "key", "n").join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     sizes = classes.groupBy("root").agg(F.min("key").alias("class_id"), F.sum("n").alias("class_size"))
     by_text = classes.join(sizes, "root").select("tid", "class_id", "class_size", F.col("root").alias("_root"))
