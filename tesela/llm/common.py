@@ -26,14 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
     return str(jsc.getCheckpointDir().get())
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Write a frame as Parquet into the shared folder and read it back: cuts the lineage, and outlives executors."""
+def stash(df: DataFrame, made: list[str] | None = None) -> DataFrame:
+    """Write a frame as Parquet into the shared folder and read it back: cuts the lineage, and outlives executors.
+
+    made: a list that gets the path, for clear() once nothing reads it any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, made: list[str]) -> None:
+    """Delete stashed tables."""
+    for path in made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    made.clear()
+
+
 def whole_row(df: DataFrame, without: list[str]) -> Column:
     """The columns of a frame but some as one struct, _row, so that no name of theirs meets a name used on the way."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in without]).alias("_row")

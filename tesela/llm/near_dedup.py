@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesela.llm.common import RangeHash, mixed, row_ranges, stash, whole_row
+from tesela.llm.common import RangeHash, clear, mixed, row_ranges, stash, whole_row
 from tesela.llm.components import connected_components
 
 #: Bands and registers in each: at similarity 0.8, two texts share a band with probability 0.9993.
@@ -39,6 +39,8 @@ BLOCK, LIKELIEST = 256, 1
 KEPT = 16 << 20
 #: Bytes of text that are worked on at once.
 CHUNK = 2 << 20
+#: Arrivals that are drawn at once after the first two of each shingle; bytes that a text counts at least, for its registers.
+WIDE, LEAST = 200_000, 2000
 
 _U64 = np.uint64
 _GOLDEN = _U64(0x9E3779B97F4A7C15)
@@ -119,7 +121,7 @@ def prob_minhash(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, r
         latest = first.reshape(n, registers).max(1)
         at = at[x[:, -1] < latest[owner[at]]]
         t += step
-        step = 1 if t < 2 else 4 if t < 16 else 32
+        step = 1 if t < 2 else max(1, min(32, WIDE // max(1, len(at))))
     out = np.zeros(n * registers, _U64)
     for w, v, value in taken:
         last = v == first[w]
@@ -133,7 +135,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, keys = batch.column("text").to_pylist(), batch.column("key")
         raw = [(x or "").encode() for x in texts]
         sizes = np.array([len(x) for x in raw], np.int64)
-        for lo, hi in row_ranges(sizes, CHUNK):
+        for lo, hi in row_ranges(np.maximum(sizes, LEAST), CHUNK):
             lowered = [(x or "").lower().encode() for x in texts[lo:hi]]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in lowered]))).astype(np.int64)
             owner, h, weight = weighted_shingles(np.frombuffer(b"".join(lowered), np.uint8), offsets)
@@ -224,7 +226,7 @@ def _likely_pairs(most: int | None):
     return run
 
 
-def _still_apart(members: DataFrame, roots: DataFrame, sigs: DataFrame, most: int | None) -> DataFrame:
+def _still_apart(members: DataFrame, roots: DataFrame, sigs: DataFrame, most: int | None, made: list[str]) -> DataFrame:
     """(a, b): likely pairs of members of one bucket that are in different classes."""
     placed = members.join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left").select("band", "at", "tid", "hub", F.coalesce("root", "tid").alias("root"))
     main = placed.filter(F.col("tid") == F.col("hub")).select("band", F.col("root").alias("main"))
@@ -233,52 +235,54 @@ def _still_apart(members: DataFrame, roots: DataFrame, sigs: DataFrame, most: in
     # of a bucket's members outside its hub's class, and of those inside, blocks of about 256
     blocks = F.ceil(F.when(F.col("other"), F.col("others")).otherwise(F.col("n") - F.col("others")) / BLOCK)
     dealt = apart.withColumn("block", F.pmod(F.xxhash64("tid"), blocks))
-    packed = stash(dealt.groupBy("band", "at", "other", "block").agg(F.collect_list(F.struct("tid", "root", "sig")).alias("rows")))
+    packed = stash(dealt.groupBy("band", "at", "other", "block").agg(F.collect_list(F.struct("tid", "root", "sig")).alias("rows")), made)
     left = packed.filter("other").select("band", "at", F.col("block").alias("l_block"), F.col("rows").alias("l"))
     right = packed.select("band", "other", F.col("block").alias("r_block"), F.col("rows").alias("r"))
     pairs = left.join(right, "band").filter(~F.col("other") | (F.col("l_block") <= F.col("r_block")))
     return pairs.select("at", "l", "r").mapInArrow(_likely_pairs(most), "a binary, b binary").distinct()
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, made: list[str]) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
     with_a = pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return stash(both.mapInArrow(_verify, "a binary, b binary, similar boolean").filter("similar").select("a", "b"))
+    return stash(both.mapInArrow(_verify, "a binary, b binary, similar boolean").filter("similar").select("a", "b"), made)
 
 
 def _classified(docs: DataFrame, key: str, text: str) -> DataFrame:
     """near_classes() with the column _root, which tells classes apart even where their keys are null."""
     added = ["class_id", "class_size", "kept", "_root"]
+    spark, made = docs.sparkSession, []
     keyed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     signed = keyed.mapInArrow(_signatures, "tid binary, key long, bands array<long>, sig binary")
     # equal texts are one from here on
-    distinct = stash(signed.groupBy("tid").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    distinct = stash(signed.groupBy("tid").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), made)
     banded = distinct.select("tid", F.posexplode("bands").alias("at", "band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = stash(banded.join(shared, "band"))
+    buckets = stash(banded.join(shared, "band"), made)
     weighed = buckets.join(buckets.groupBy("tid").agg(F.sum("n").alias("weight")), "tid")
     hubs = weighed.groupBy("band").agg(F.max(F.struct("weight", "tid"))["tid"].alias("hub"))
-    members = stash(buckets.select("band", "at", "tid").join(hubs, "band"))
-    first = stash(members.filter(F.col("tid") != F.col("hub")).select(F.greatest("tid", "hub").alias("a"), F.least("tid", "hub").alias("b")).distinct())
+    members = stash(buckets.select("band", "at", "tid").join(hubs, "band"), made)
+    first = stash(members.filter(F.col("tid") != F.col("hub")).select(F.greatest("tid", "hub").alias("a"), F.least("tid", "hub").alias("b")).distinct(), made)
     # the texts of candidates only, one of each
     wanted = members.select("tid").distinct().join(distinct.select("tid", "key"), "tid")
     own = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # a text's smallest key finds it, and its digest tells it from other rows of that key
     found = own.join(wanted, own.key.eqNullSafe(wanted.key)).filter(F.unhex(F.md5("text")) == F.col("tid"))
-    texts = stash(found.select("tid", "text").dropDuplicates(["tid"]))
-    links = _links(first, texts)
-    roots = connected_components(links)
+    texts = stash(found.select("tid", "text").dropDuplicates(["tid"]), made)
+    links = _links(first, texts, made)
+    roots = connected_components(links, made)
     for most in (LIKELIEST, None):
-        pairs = stash(_still_apart(members, roots, distinct.select("tid", "sig"), most).join(first, ["a", "b"], "left_anti"))
-        more = _links(pairs, texts)
+        pairs = stash(_still_apart(members, roots, distinct.select("tid", "sig"), most, made).join(first, ["a", "b"], "left_anti"), made)
+        more = _links(pairs, texts, made)
         if not more.isEmpty():
             links = links.unionByName(more)
-            roots = connected_components(links)
+            roots = connected_components(links, made)
         first = first.unionByName(pairs)
     classes = distinct.select("tid", "key", "n").join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     sizes = classes.groupBy("root").agg(F.min("key").alias("class_id"), F.sum("n").alias("class_size"))
-    by_text = classes.join(sizes, "root").select("tid", "class_id", "class_size", F.col("root").alias("_root"))
+    by_text = stash(classes.join(sizes, "root").select("tid", "class_id", "class_size", F.col("root").alias("_root")))
+    clear(spark, made)
     rows = docs.select(whole_row(docs, added), F.col(key).alias("_key"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("tid"))
     kept = F.col("_key").eqNullSafe(F.col("class_id")).alias("kept")
     return rows.join(by_text, "tid").select("_row.*", "class_id", "class_size", kept, "_root")
