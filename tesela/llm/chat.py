@@ -53,12 +53,10 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     for k in range(max(0, math.ceil(math.log2(most)))):
         step = 1 << k
         paths = paths.unionByName(paths.join(up, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("above") + step).alias("above")))
-        if k % 4 == 3:
-            paths = stash(paths)
+        paths = stash(paths)
         far = up.select("tree", F.col("node").alias("to"), F.col("to").alias("further"))
-        up = up.join(far, ["tree", "to"]).select("tree", "node", F.col("further").alias("to"))
-        if k % 4 == 3:
-            up = stash(up)
+        # a self-join doubles its plan, so each round starts from a table
+        up = stash(up.join(far, ["tree", "to"]).select("tree", "node", F.col("further").alias("to")))
     scored = paths.join(nodes.select("tree", "node", "score"), ["tree", "node"])
     totals = scored.groupBy("tree", "leaf").agg(F.sum("score").alias("path_score"))
     return paths.join(totals, ["tree", "leaf"])
