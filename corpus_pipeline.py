@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm.bpe import decode_ids, encode_texts
+from tesela.llm.bpe import encode_checked
 from tesela.llm.common import stash
 from tesela.llm.curriculum import training_order
 from tesela.llm.exact_dedup import drop_copies
@@ -50,9 +50,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids binary, round_trip boolean): token ids of whole texts, and whether decoding restores them."""
-    encoded = encode_texts(docs.select("doc_id", "lang", "source", "text"), "text", VOCABULARY)
-    decoded = decode_ids(encoded, "ids", VOCABULARY)
-    return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    encoded = encode_checked(docs.select("doc_id", "lang", "source", "text"), "text", VOCABULARY)
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("bpe_encode", bpe_encode)]

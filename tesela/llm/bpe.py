@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 from tesela.llm.common import whole_row
 
 #: Words whose ids a worker keeps, and byte states it keeps; both tables start anew when full.
-MAX_WORDS, MAX_STATES = 400_000, 200_000
+MAX_WORDS, MAX_STATES = 200_000, 80_000
+
+#: Rows of a batch that are Python objects at once.
+SLICE = 256
 
 # The pattern that byte-level vocabularies split text by, and the code points it may be narrowed to below U+0250.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -242,6 +245,12 @@ def automaton(vocabulary: str) -> BpeAutomaton:
     return _COMPILED[vocabulary]
 
 
+def _sliced(texts: pa.Array, make) -> pa.Array:
+    """make() over slices of a batch, so that Python's objects for a few rows exist at a time."""
+    parts = [make(texts.slice(at, SLICE).to_pylist()) for at in range(0, max(1, len(texts)), SLICE)]
+    return pa.concat_arrays(parts) if len(parts) > 1 else parts[0]
+
+
 def _per_text(df: DataFrame, text: str | Column, kind: str, of) -> DataFrame:
     """df with the columns of the struct `kind`, which of(automaton-independent text list) makes from each Arrow batch."""
     column = F.col(text) if isinstance(text, str) else text
@@ -260,12 +269,35 @@ def encode_texts(df: DataFrame, text: str, vocabulary: str) -> DataFrame:
 
     def ids(texts: pa.Array) -> pa.Array:
         encode = automaton(vocabulary).encode
-        made = [encode(t) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([len(x) // 4 for x in made], pa.int64()), pa.array(made, pa.binary())], ["n_tokens", "ids"])
+
+        def make(rows: list[str]) -> pa.Array:
+            made = [encode(t) for t in rows]
+            return pa.StructArray.from_arrays([pa.array([len(x) // 4 for x in made], pa.int64()), pa.array(made, pa.binary())], ["n_tokens", "ids"])
+
+        return _sliced(texts, make)
 
     return _per_text(df, text, "struct<n_tokens:bigint,ids:binary>", ids)
 
 
+def encode_checked(df: DataFrame, text: str, vocabulary: str) -> DataFrame:
+    """encode_texts() with round_trip boolean: whether decoding the ids gives the text again.
+
+    Ids are decoded in the worker that made them, so one automaton serves both ways.
+    """
+
+    def ids(texts: pa.Array) -> pa.Array:
+        table = automaton(vocabulary)
+
+        def make(rows: list[str]) -> pa.Array:
+            made = [table.encode(t) for t in rows]
+            same = [table.decode(x) == t for x, t in zip(made, rows, strict=True)]
+            return pa.StructArray.from_arrays([pa.array([len(x) // 4 for x in made], pa.int64()), pa.array(made, pa.binary()), pa.array(same, pa.bool_())], ["n_tokens", "ids", "round_trip"])
+
+        return _sliced(texts, make)
+
+    return _per_text(df, text, "struct<n_tokens:bigint,ids:binary,round_trip:boolean>", ids)
+
+
 def decode_ids(df: DataFrame, ids: str, vocabulary: str) -> DataFrame:
     """Decode ids written as by encode_texts: df with decoded string.  Null and empty ids give the empty text."""
 
@@ -284,13 +316,17 @@ def encoding_digests(df: DataFrame, text: str, vocabulary: str) -> DataFrame:
 
     def digests(texts: pa.Array) -> pa.Array:
         table = automaton(vocabulary)
-        n, ids_sha, text_sha = [], [], []
-        for t in texts.to_pylist():
-            ids = table.encode(t)
-            n.append(len(ids) // 4)
-            ids_sha.append(hashlib.sha256(ids).hexdigest())
-            text_sha.append(hashlib.sha256(table.decode(ids).encode("utf-8")).hexdigest())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+        def make(rows: list[str]) -> pa.Array:
+            n, ids_sha, text_sha = [], [], []
+            for t in rows:
+                ids = table.encode(t)
+                n.append(len(ids) // 4)
+                ids_sha.append(hashlib.sha256(ids).hexdigest())
+                text_sha.append(hashlib.sha256(table.decode(ids).encode("utf-8")).hexdigest())
+            return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+        return _sliced(texts, make)
 
     return _per_text(df, text, "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>", digests)
 
@@ -300,6 +336,6 @@ def count_tokens(df: DataFrame, text: str, vocabulary: str) -> DataFrame:
 
     def counts(texts: pa.Array) -> pa.Array:
         count = automaton(vocabulary).count
-        return pa.StructArray.from_arrays([pa.array([count(t) for t in texts.to_pylist()], pa.int64())], ["n_tokens"])
+        return _sliced(texts, lambda rows: pa.StructArray.from_arrays([pa.array([count(t) for t in rows], pa.int64())], ["n_tokens"]))
 
     return _per_text(df, text, "struct<n_tokens:bigint>", counts)
