@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesela.llm.common import whole_row
+from tesela.llm.common import release, whole_row
 
 #: Words whose ids a worker keeps, and byte states it keeps; both tables start anew when full.
 MAX_WORDS, MAX_STATES = 200_000, 80_000
@@ -248,7 +248,10 @@ def automaton(vocabulary: str) -> BpeAutomaton:
 def _sliced(texts: pa.Array, make) -> pa.Array:
     """make() over slices of a batch, so that Python's objects for a few rows exist at a time."""
     parts = [make(texts.slice(at, SLICE).to_pylist()) for at in range(0, max(1, len(texts)), SLICE)]
-    return pa.concat_arrays(parts) if len(parts) > 1 else parts[0]
+    whole = pa.concat_arrays(parts) if len(parts) > 1 else parts[0]
+    del parts
+    release()
+    return whole
 
 
 def _per_text(df: DataFrame, text: str | Column, kind: str, of) -> DataFrame:

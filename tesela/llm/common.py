@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,6 +49,13 @@ def clear(spark: SparkSession, made: list[str]) -> None:
     made.clear()
 
 
+def release() -> None:
+    """Give a worker's freed memory back to the machine: idle workers live on between stages and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def whole_row(df: DataFrame, without: list[str]) -> Column:
     """The columns of a frame but some as one struct, _row, so that no name of theirs meets a name used on the way."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in without]).alias("_row")
@@ -103,7 +112,7 @@ class RangeHash:
     def _tables(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         have = cls._powers.get(base)
         if have is None or len(have[0]) < n:
-            size = 1 << max(16, n.bit_length())
+            size = 1 << max(16, (n - 1).bit_length())
             inverse = pow(base, -1, 1 << 64)
             have = tuple(np.concatenate((np.ones(1, _U64), np.cumprod(np.full(size - 1, b, _U64)))) for b in (base, inverse))
             if size <= 1 << 23:  # very long texts make their own

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesela.llm.common import stash, text_bytes, whole_row
+from tesela.llm.common import release, stash, text_bytes, whole_row
 
 #: Bytes of text that a table may hold, and bytes that a bucket should get.
 TABLE_BYTES, BUCKET_BYTES = 96 << 20, 24 << 20
@@ -111,6 +111,8 @@ def _collapse(budget: int):
                     yield from _rows(table, range(len(table.texts)), True)
                     table = ContentTable()
         yield from _rows(table, range(len(table.texts)), True)
+        del table
+        release()
 
     return run
 
@@ -144,6 +146,8 @@ def _bucket(budget: int, level: int):
         for t in tables:
             if t:
                 yield from _rows(t, range(len(t.texts)), False)
+        tables.clear()
+        release()
 
     return run
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesela.llm.common import RangeHash, clear, mixed, row_ranges, stash, whole_row
+from tesela.llm.common import RangeHash, clear, mixed, release, row_ranges, stash, whole_row
 from tesela.llm.components import connected_components
 
 #: Bands and registers in each: at similarity 0.8, two texts share a band with probability 0.9993.
@@ -38,7 +38,7 @@ BLOCK, LIKELIEST = 256, 1
 #: Bytes of texts whose vectors a task keeps.
 KEPT = 16 << 20
 #: Bytes of text that are worked on at once.
-CHUNK = 2 << 20
+CHUNK = (1 << 20) - 1
 #: Arrivals that are drawn at once after the first two of each shingle; bytes that a text counts at least, for its registers.
 WIDE, LEAST = 200_000, 2000
 
@@ -153,6 +153,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             arrays = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(bands.ravel()))
             tids = pa.array([hashlib.md5(x).digest() for x in raw[lo:hi]], pa.binary())
             yield pa.RecordBatch.from_arrays([tids, keys.slice(lo, hi - lo), arrays, pa.array([x.tobytes() for x in short], pa.binary())], names=["tid", "key", "bands", "sig"])
+        release()
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -195,6 +196,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = zip(batch.column("text_a"), batch.column("text_b"), strict=True)
         similar = [probability_jaccard(vector(a[i], x), vector(b[i], y)) >= SIMILARITY - 1e-12 for i, (x, y) in enumerate(texts)]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(similar)], names=["a", "b", "similar"])
+    kept.clear()
+    release()
 
 
 def _likely_pairs(most: int | None):
