@@ -1,9 +1,11 @@
 """Main text of web pages by two passes over their blocks.
 
 Pass one decides blocks from their own evidence: where they stand (menus, footers, adverts, forms and the like are out, as named by
-elements or by class, id and role), their link density, and their length with the density of stop words.  Short blocks and those with
-middling evidence stay ambiguous.  Pass two gives these the label of the nearest decided neighbours: headings that of the next one
-below, others that on which both sides agree, else that of the nearer side within the same section.
+elements or by class, id and role), their link density, and their length with the density of stop words.  An <article> or <main> is
+one more piece of evidence: its words count double where the parts of a page are compared, and in parts that have few dense words
+beside the fullest one (teaser cards, or what stands around an article) a block must be twice as long to be text.  Short blocks and
+those with middling evidence stay ambiguous.  Pass two gives these the label of the nearest decided neighbours in the same part or
+the parts inside it: headings that of the next one below, others that on which both sides agree, else that of the nearer side.
 """
 
 from __future__ import annotations
@@ -56,6 +58,8 @@ CONTAINERS = frozenset("article aside body details dialog div fieldset figure fo
 
 #: Pass one: words from which a block with enough stop words is text; stop-word densities; link density from which a block is a menu.
 LONG, DENSE, SPARSE, LINKED = 12, 0.20, 0.08, 0.5
+#: Weight of a dense word in an article; share of the fullest part's weight from which a part is full; articles in articles that are told apart.
+MARKED, FULL, DEPTH = 2, 0.5, 8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in SKIPPED}
@@ -82,13 +86,15 @@ def _is_outside(name: str, attrs: str) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", _ATTR.sub(" ", attrs)))
 
 
-def page_blocks(page: str) -> list[tuple[str, int, int, str, bool, bool]]:
-    """(text, words, linked words, kind, outside, in an article) of each block with text, in page order; kind: the element it is in."""
+def page_blocks(page: str) -> list[tuple[str, int, int, str, bool, tuple[int, ...]]]:
+    """(text, words, linked words, kind, outside, articles) of each block with text, in page order; kind: the element it is in; articles:
+    the numbers of the article and main elements around it, outermost first."""
     blocks: list = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, outside, article
+    stack: list[tuple[str, bool, tuple[int, ...]]] = []  # open elements: name, outside, articles
     parts: list[tuple[str, bool]] = []
-    outside = article = linked = False
-    kind, at = "", 0
+    outside = linked = False
+    article: tuple[int, ...] = ()
+    kind, at, articles = "", 0, 0
 
     def flush() -> None:
         if parts:
@@ -127,7 +133,7 @@ def page_blocks(page: str) -> list[tuple[str, int, int, str, bool, bool]]:
                         break
                     if stack[i][0] in CONTAINERS and name not in CONTAINERS:
                         break
-                outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, ())
                 kind, linked = (stack[-1][0] if stack else ""), False
             continue
         if name in _ENDS:
@@ -147,8 +153,11 @@ def page_blocks(page: str) -> list[tuple[str, int, int, str, bool, bool]]:
                 continue
             if stack and (name == stack[-1][0] and name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or stack[-1][0] == "p"):
                 stack.pop()  # these close themselves
-                outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            inside = article or name in ("article", "main")
+                outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, ())
+            inside = article
+            if name in ("article", "main") and len(article) < DEPTH:
+                articles += 1
+                inside = (*article, articles)
             # a page's header is outside, an article's own header counts only by its headings
             header = name == "header" or any(s[0] == "header" for s in stack)
             outside = outside or _is_outside(name, m["attrs"] or "") or (header and name == "header" and not inside)
@@ -160,45 +169,59 @@ def page_blocks(page: str) -> list[tuple[str, int, int, str, bool, bool]]:
     return blocks
 
 
-def classify_blocks(blocks: list[tuple[str, int, int, str, bool, bool]]) -> list[bool]:
+def classify_blocks(blocks: list[tuple[str, int, int, str, bool, tuple[int, ...]]]) -> list[bool]:
     """Which blocks are main text: the two passes."""
-    has_article = any(b[5] and not b[4] for b in blocks)
+    stops, weight = [], {}
+    for text, n, links, kind, outside, part in blocks:
+        words = _WORD.findall(text.lower())
+        stops.append(sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0)
+        if not outside:
+            dense = n >= LONG and stops[-1] >= DENSE and links <= LINKED * n and kind not in HEADINGS
+            weight[part] = weight.get(part, 0) + dense * n * (MARKED if part else 1)
+    best = max(weight.values(), default=0)
+    # a part is full by its own words or by those of a part inside it
+    full = {part[:i] for part, w in weight.items() if w >= FULL * best for i in range(len(part) + 1) if i or not part}
     labels = []
-    for text, n, links, kind, outside, article in blocks:
+    for stop, (_, n, links, kind, outside, part) in zip(stops, blocks, strict=True):
         density = links / n if n else 0.0
-        if outside or density > LINKED or (has_article and not article):
+        if outside or density > LINKED:
             labels.append(BAD)
-            continue
-        words = _WORD.findall(text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if kind in HEADINGS:
+        elif kind in HEADINGS:
             labels.append(OPEN)
-        elif n >= LONG and stops >= DENSE:
+        elif n >= (LONG if part in full else 2 * LONG) and stop >= DENSE:
             labels.append(GOOD)
-        elif n >= LONG and stops < SPARSE and not article:
+        elif n >= LONG and stop < SPARSE and not (part and part in full):
             labels.append(BAD)
         else:
-            labels.append(OPEN)
-    out, n = list(labels), len(labels)
-    before, after = [(BAD, n + 1)] * n, [(BAD, n + 1)] * n
-    seen, gap = BAD, n + 1
-    for i in range(n):
-        before[i] = (seen, gap)
-        seen, gap = (labels[i], 1) if labels[i] else (seen, gap + 1)
-    seen, gap = BAD, n + 1
-    for i in range(n - 1, -1, -1):
-        after[i] = (seen, gap)
-        seen, gap = (labels[i], 1) if labels[i] else (seen, gap + 1)
-    for i, (_, _, _, kind, _, article) in enumerate(blocks):
+            labels.append(OPEN)  # a long block without stop words, too, in a full article: tables and other languages stand there
+
+    def sides(order: range) -> list[tuple[int, int]]:
+        """(label, distance) of the nearest decided block before each one in that order, in its part or the parts inside."""
+        seen: dict[tuple[int, ...], tuple[int, int]] = {}
+        out = [(OPEN, 0)] * len(blocks)
+        for step, i in enumerate(order):
+            part = blocks[i][5]
+            label, where = seen.get(part, (OPEN, 0))
+            out[i] = (label, step - where)
+            if labels[i]:
+                # what a page marks as outside doesn't speak for the articles around it
+                for depth in range(len(part) + 1) if not (blocks[i][4] and part) else (0,):
+                    seen[part[:depth]] = (labels[i], step)
+        return out
+
+    n = len(blocks)
+    before, after, out = sides(range(n)), sides(range(n - 1, -1, -1)), list(labels)
+    for i, (_, _, _, kind, _, part) in enumerate(blocks):
         if labels[i] == OPEN:
-            (up, far_up), (down, far_down) = before[i], after[i]
-            if article and has_article:
-                # decided neighbours that a page marks as outside don't speak for what stands in its article
-                out[i] = GOOD
-            elif up == down:
+            lean = GOOD if part and part in full else BAD
+            (up, far_up), (down, far_down) = ((label or lean, far if label else n + 1) for label, far in (before[i], after[i]))
+            if up == down:
                 out[i] = up
             elif kind in HEADINGS:
-                out[i] = down
+                # the title of a full article may have its links below
+                out[i] = lean if lean == GOOD and before[i][0] == OPEN else down
+            elif far_up == far_down and len(weight) > 1:
+                out[i] = lean
             else:
                 out[i] = up if far_up <= far_down else down
     return [x == GOOD for x in out]

@@ -31,6 +31,27 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+TEASER = "<article><h3>Card</h3><p>Short teaser of the card.</p><a href=x>Read more</a></article>"
+LINKS = "<p><a href=x>one two three</a> <a href=y>four</a></p>"
+SPARSE = " ".join(f"keyword{i}" for i in range(30))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div><h1>Head</h1><p>{LONG}</p><p>tiny</p><p>{MORE}</p></div>{TEASER}{TEASER}", f"Head\n{LONG}\ntiny\n{MORE}"),
+        (f"<main><h1>Head</h1><div>{LONG}</div><div>{MORE}</div>{TEASER}{TEASER}</main>", f"Head\n{LONG}\n{MORE}"),
+        (f"<main><h1>Head</h1><article><p>{LONG}</p><p>{MORE}</p></article></main>", f"Head\n{LONG}\n{MORE}"),
+        (f"<article><h1>Head</h1><p>{LONG}</p><p>{MORE}</p>{LINKS}<p>{SPARSE}</p><h4>Tags</h4>{LINKS}</article>", f"Head\n{LONG}\n{MORE}"),
+        (f"<article><p>{SPARSE}</p><p>uno</p></article>", f"{SPARSE}\nuno"),
+        (f"<article><p>{LONG}</p><p>{MORE}</p></article><div>{LONG} {MORE}</div>", f"{LONG}\n{MORE}\n{LONG} {MORE}"),
+        (f"<div><h1>Head</h1><div>{LONG}</div><div>ok</div><div>{MORE}</div></div><div>{SPARSE}</div>", f"Head\n{LONG}\nok\n{MORE}"),
+    ],
+)
+def test_articles_are_evidence_among_others(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", f"<p>{LONG}</p>"), (2, None, None)], "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS _row")
     out = html_text.extract_main_text(df)
