@@ -45,12 +45,23 @@ BLOCKS = frozenset(
 )
 OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-OUTSIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adslot|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|nav(?:bar|igation)?|menus?|breadcrumbs?|side-?bar|footer|masthead|"
-    r"site-?header|page-?header|comments?|respond|replies|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|"
-    r"recommend(?:ed|ations)?|widgets?|toolbar|pagination|pager|copyright|legal|disclaimer|paywall)(?:$|[\s_-])",
-    re.I,
+#: A class or id marks its element if it is such a name, or names with affixes that say which part of them; `no-sidebar` or `legal-news` don't.
+OUTSIDE_NAMES = frozenset(
+    """
+    ad ads advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promotion promos promotions banner
+    nav navbar navigation menu menus breadcrumb breadcrumbs sidebar footer masthead siteheader pageheader comment comments respond replies disqus cookie
+    cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login search share sharing social related recommend
+    recommended recommendation recommendations widget widgets toolbar pagination pager copyright legal disclaimer paywall
+    """.split()
+)
+OUTSIDE_AFFIXES = frozenset(
+    """
+    area articles bar block body bottom box button buttons card center col column container desktop dialog fixed form global group header holder icons
+    inner item items large left links list main message mobile module outer overlay page panel popup post posts primary region right row secondary
+    section site slot small stories sticky text title top unit wrap wrapper zone
+    """.split()
 )
+_JOINED = re.compile(r"(?<![a-z])(side|site|page)[-_](bar|header)(?![a-z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A closing tag of these elements ends all that is open inside.
@@ -63,6 +74,7 @@ MARKED, FULL, DEPTH = 2, 0.5, 8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in SKIPPED}
+_PAIRS = {name: re.compile(rf"<(?P<close>/?){name}(?=[\s/>])(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I) for name in SKIPPED}
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
@@ -70,31 +82,59 @@ _WORD = re.compile(r"\w+")
 GOOD, BAD, OPEN = 1, -1, 0
 
 
-def _is_outside(name: str, attrs: str) -> bool:
+def _is_named(value: str) -> bool:
+    """Whether a class or id names a part outside the main text."""
+    for token in _JOINED.sub(r"\1\2", value.lower()).split():
+        parts = [p.rstrip("0123456789") for p in re.split(r"[-_]+", token)]
+        if any(p in OUTSIDE_NAMES for p in parts) and all(not p or p in OUTSIDE_NAMES or p in OUTSIDE_AFFIXES for p in parts):
+            return True
+    return False
+
+
+def _is_outside(name: str, attrs: str) -> tuple[bool, bool]:
+    """(whether an element stands outside the main text, whether only its class or id says so)."""
     if name in OUTSIDE:
-        return True
+        return True, False
     if not attrs.strip():
-        return False
+        return False, False
+    named = False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), html_entities.unescape(m[2] or m[3] or m[4] or "")
         if key == "role" and value.strip().lower() in OUTSIDE_ROLES:
-            return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and OUTSIDE_NAMES.search(value):
-            return True
+            return True, False
+        named = named or (key in ("class", "id") and name not in ("html", "body", "article", "main") and _is_named(value))
         if key in ("hidden",) or (key == "aria-hidden" and value.strip().lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", _ATTR.sub(" ", attrs)))
+            return True, False
+    if re.search(r"(?:^|\s)hidden(?:\s|$)", _ATTR.sub(" ", attrs)):
+        return True, False
+    return named, named
+
+
+def _skipped_to(page: str, name: str) -> dict[int, int]:
+    """Where the content of each element of that name ends, by the end of its start tag; elements that don't end are left out."""
+    open_at, ends = [], {}
+    for m in _PAIRS[name].finditer(page):
+        if m["close"]:
+            if open_at:
+                ends[open_at.pop()] = m.end()
+        elif not m["attrs"].endswith("/"):
+            open_at.append(m.end())
+    return ends
 
 
 def page_blocks(page: str) -> list[tuple[str, int, int, str, bool, tuple[int, ...]]]:
     """(text, words, linked words, kind, outside, articles) of each block with text, in page order; kind: the element it is in; articles:
     the numbers of the article and main elements around it, outermost first."""
     blocks: list = []
-    stack: list[tuple[str, bool, tuple[int, ...]]] = []  # open elements: name, outside, articles
+    # open elements: name, outside, articles, named parts
+    stack: list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]] = []
     parts: list[tuple[str, bool]] = []
     outside = linked = False
     article: tuple[int, ...] = ()
-    kind, at, articles = "", 0, 0
+    names: tuple[int, ...] = ()
+    kind, at, articles, parts_named = "", 0, 0, 0
+    named_in: list[tuple[int, ...]] = []  # of each block, the numbers of the elements around it that their names put outside
+    skips: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         if parts:
@@ -103,6 +143,7 @@ def page_blocks(page: str) -> list[tuple[str, int, int, str, bool, tuple[int, ..
                 n = len(text.split())
                 links = sum(len(p.split()) for p, a in parts if a)
                 blocks.append((text, n, min(n, links), kind, outside, article))
+                named_in.append(names)
             parts.clear()
 
     def say(raw: str) -> None:
@@ -133,14 +174,20 @@ def page_blocks(page: str) -> list[tuple[str, int, int, str, bool, tuple[int, ..
                         break
                     if stack[i][0] in CONTAINERS and name not in CONTAINERS:
                         break
-                outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, ())
+                outside, article, names = stack[-1][1:] if stack else (False, (), ())
                 kind, linked = (stack[-1][0] if stack else ""), False
             continue
         if name in _ENDS:
             if name == "title" and any(s[0] == "svg" for s in stack):
                 continue
-            end = _ENDS[name].search(page, at)
-            at = end.end() if end else len(page)
+            if name in ("script", "style"):
+                end = _ENDS[name].search(page, at)
+                at = end.end() if end else len(page)
+            else:
+                # an element that closes itself or never ends takes no text with it
+                if name not in skips:
+                    skips[name] = _skipped_to(page, name)
+                at = skips[name].get(at, at)
             continue
         if name == "a":
             linked = True
@@ -153,28 +200,49 @@ def page_blocks(page: str) -> list[tuple[str, int, int, str, bool, tuple[int, ..
                 continue
             if stack and (name == stack[-1][0] and name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or stack[-1][0] == "p"):
                 stack.pop()  # these close themselves
-                outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, ())
+                outside, article, names = stack[-1][1:] if stack else (False, (), ())
             inside = article
             if name in ("article", "main") and len(article) < DEPTH:
                 articles += 1
                 inside = (*article, articles)
             # a page's header is outside, an article's own header counts only by its headings
             header = name == "header" or any(s[0] == "header" for s in stack)
-            outside = outside or _is_outside(name, m["attrs"] or "") or (header and name == "header" and not inside)
+            is_outside, only_named = _is_outside(name, m["attrs"] or "")
+            if only_named and len(names) < DEPTH:
+                parts_named += 1
+                names = (*names, parts_named)
+            outside = outside or (is_outside and not only_named) or (header and name == "header" and not inside)
             article, kind = inside, name
             if header and inside and name not in HEADINGS and name == "header":
-                outside = False
-            stack.append((name, outside, article))
+                outside, names = False, ()
+            stack.append((name, outside, article, names))
     flush()
-    return blocks
+    return _with_names(blocks, named_in) if parts_named else blocks
+
+
+def _with_names(blocks: list, named_in: list[tuple[int, ...]]) -> list:
+    """The blocks, those in named parts outside, unless the part wraps the page's text: it has several dense blocks and nine tenths of
+    the dense words, and none stands in an article outside of it."""
+    held: dict[int, list[int]] = {}  # words, blocks, words in articles
+    total = [0, 0, 0]
+    for (text, n, links, kind, outside, part), names in zip(blocks, named_in, strict=True):
+        if not outside and n >= LONG and links <= LINKED * n and kind not in HEADINGS and _stop_density(text) >= DENSE:
+            for counts in (total, *(held.setdefault(x, [0, 0, 0]) for x in names)):
+                counts[0], counts[1], counts[2] = counts[0] + n, counts[1] + 1, counts[2] + (n if part else 0)
+    wraps = {x for x, c in held.items() if c[1] > 1 and c[0] >= 0.9 * total[0] and c[2] == total[2]}
+    return [(*b[:4], b[4] or any(x not in wraps for x in names), b[5]) for b, names in zip(blocks, named_in, strict=True)]
+
+
+def _stop_density(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
 def classify_blocks(blocks: list[tuple[str, int, int, str, bool, tuple[int, ...]]]) -> list[bool]:
     """Which blocks are main text: the two passes."""
     stops, weight = [], {}
     for text, n, links, kind, outside, part in blocks:
-        words = _WORD.findall(text.lower())
-        stops.append(sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0)
+        stops.append(_stop_density(text))
         if not outside:
             dense = n >= LONG and stops[-1] >= DENSE and links <= LINKED * n and kind not in HEADINGS
             weight[part] = weight.get(part, 0) + dense * n * (MARKED if part else 1)

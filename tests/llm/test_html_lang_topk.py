@@ -52,6 +52,21 @@ def test_articles_are_evidence_among_others(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        *[(f"<div class='{c}'><p>{LONG}</p></div>", LONG) for c in ("site-content no-sidebar", "has-sidebar", "content-no-comments", "legal-news", "social-science")],
+        *[(f"<div class='{c}'><p>{LONG}</p></div><p>{MORE}</p>", MORE) for c in ("ad", "x ad-slot-2", "site-footer", "side-bar", "cookie_notice", "comments-area", "Related-Posts")],
+        (f"<div id=search><p>{LONG}</p><p>{MORE}</p><div class=comments>{LONG}</div></div>", f"{LONG}\n{MORE}"),
+        (f"<p>{LONG}</p><svg class=i/><p>{MORE}</p><math/><p>ok</p><p>{LONG}</p>", f"{LONG}\n{MORE}\nok\n{LONG}"),
+        (f"<p>{LONG}</p><button><p>{MORE}</p><svg/><p>ok</p><p>{LONG}</p><svg><g>no</g><svg>no</svg>no</svg>", f"{LONG}\n{MORE}\nok\n{LONG}"),
+        (f"<p>{LONG}</p><script>{MORE}", LONG),
+    ],
+)
+def test_names_and_unclosed_elements_leave_the_text(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", f"<p>{LONG}</p>"), (2, None, None)], "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS _row")
     out = html_text.extract_main_text(df)
