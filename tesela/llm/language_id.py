@@ -19,8 +19,8 @@ from tesela.llm.common import mixed, release, row_ranges, stash, text_bytes, who
 
 #: Rows of the hashed n-gram table; the model is at most this many rows a language, whatever the corpus.
 TABLE = 1 << 16
-#: Labels that a model may hold, the most frequent ones: with TABLE, the bound of what the driver gathers and workers receive.
-MAX_LANGUAGES = 64
+#: Labels that a model may hold (256 MB of TABLE); with more, learning raises an error.  Labels whose counts are held at once.
+MAX_LANGUAGES, GROUP = 1024, 64
 #: Bytes of text that are worked on at once; steps of EM; pseudo-count of an n-gram; the weight of the penalty on each language.
 CHUNK, STEPS, SMOOTH, PENALTY = 1 << 20, 12, 0.1, 3.0
 
@@ -62,20 +62,27 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each task's n-gram counts by label: one row of the whole table a label that it meets."""
+    """Each task's n-gram counts by label, told whenever a group of labels is full: the sums over tasks add them up."""
     tables: dict[str, np.ndarray] = {}
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for label, counts in tables.items():
+            rows = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(rows), pa.string()), pa.array(rows, pa.int64()), pa.array(counts[rows], pa.int64())], names=["lang", "gram", "n"])
+        tables.clear()
+
     for batch in batches:
         labels = np.array(batch.column("lang").to_pylist(), dtype=object)
         for label in set(labels):
+            if label not in tables and len(tables) == GROUP:
+                yield from told()
             rows = pa.array(np.flatnonzero(labels == label))
             data, offsets = text_bytes(batch.column("text").take(rows))
             counts = tables.setdefault(label, np.zeros(TABLE, np.int64))
             for lo, hi in row_ranges(np.diff(offsets), 4 * CHUNK):
                 grams, _, _ = _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 counts += np.bincount(grams, minlength=TABLE)
-    for label, counts in tables.items():
-        rows = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([label] * len(rows), pa.string()), pa.array(rows, pa.int64()), pa.array(counts[rows], pa.int64())], names=["lang", "gram", "n"])
+    yield from told()
 
 
 def is_held_out(key: Column) -> Column:
@@ -84,20 +91,23 @@ def is_held_out(key: Column) -> Column:
 
 
 def learn_languages(labelled: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Learn from every row with text and label.  n-gram counts are summed on the cluster; the driver gets the hashed table, whose
-    size is bounded by TABLE rows a language and MAX_LANGUAGES languages (the most frequent labels, ties by name)."""
+    """Learn from every row with text and label; every label is kept.  n-gram counts are summed on the cluster; the driver gets the hashed
+    table by groups of labels.  More than MAX_LANGUAGES labels with n-grams raise a ValueError."""
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = stash(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    top = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES)
-    languages = sorted(r["lang"] for r in top.select("lang").collect())
-    table = np.zeros((TABLE, len(languages)))
-    if languages:
-        got = counts.filter(F.col("lang").isin(languages)).toArrow()
-        place = {x: i for i, x in enumerate(languages)}
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels: the model would not fit, and dropping some would give wrong languages")
+    log_p = np.zeros((TABLE, len(languages)), np.float32)
+    for lo in range(0, len(languages), GROUP):
+        group = languages[lo : lo + GROUP]
+        got = counts.filter(F.col("lang").isin(group)).toArrow()
+        place = {x: i for i, x in enumerate(group)}
         columns = np.array([place[x] for x in got.column("lang").to_pylist()], np.int64)
-        table[got.column("gram").to_numpy(), columns] = got.column("n").to_numpy()
-    smooth = table + SMOOTH
-    return LanguageModel(languages, np.log(smooth / smooth.sum(0, keepdims=True)).astype(np.float32) if languages else table.astype(np.float32))
+        smooth = np.full((TABLE, len(group)), SMOOTH)
+        smooth[got.column("gram").to_numpy(), columns] += got.column("n").to_numpy()
+        log_p[:, lo : lo + len(group)] = np.log(smooth / smooth.sum(0, keepdims=True))
+    return LanguageModel(languages, log_p)
 
 
 def _mixture(likely: np.ndarray, starts: np.ndarray, sizes: np.ndarray, start_with: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +128,10 @@ def infer_mixtures(model: LanguageModel, data: np.ndarray, offsets: np.ndarray)
     k = len(model.languages)
     if not len(starts) or not k:
         return np.zeros(0, np.int64), np.zeros((0, k), np.float32)
-    score = np.add.reduceat(model.log_p[grams], starts, axis=0)
+    # the likelihoods of the words of about CHUNK bytes and four languages at once
+    score, bounds = np.zeros((len(starts), k), np.float32), np.append(starts, len(grams))
+    for lo, hi in row_ranges(np.diff(bounds), 4 * CHUNK // k):
+        score[lo:hi] = np.add.reduceat(model.log_p[grams[bounds[lo] : bounds[hi]]], starts[lo:hi] - bounds[lo], axis=0)
     likely = np.exp(np.maximum(score - score.max(1, keepdims=True), -60.0))  # of each word, up to a factor that all languages share
     first = np.flatnonzero(np.concatenate(([True], np.diff(owner) > 0)))
     docs, sizes = owner[first], np.diff(np.concatenate((first, [len(owner)])))
@@ -154,7 +167,7 @@ def _predict(model: LanguageModel):
         data, offsets = text_bytes(keys_and_texts)
         languages = [UNDETERMINED] * n
         scores, sets = np.zeros(n), [[] for _ in range(n)]
-        for lo, hi in row_ranges(np.diff(offsets), CHUNK):
+        for lo, hi in row_ranges(np.diff(offsets), 4 * CHUNK // max(4, len(model.languages))):
             docs, shares = infer_mixtures(model, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             top = shares.argmax(1) if len(docs) else []
             for d, share, t in zip(docs, shares, top, strict=True):

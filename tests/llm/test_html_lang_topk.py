@@ -112,6 +112,18 @@ def test_mixtures_and_edges(spark):
     assert language_id.identify_languages(df.limit(0), model).count() == 0
 
 
+def test_every_label_is_learned(spark, monkeypatch):
+    words = [f"{chr(97 + i // 10)}{chr(107 + i % 10)}{chr(97 + i // 10)}" for i in range(70)]
+    rows = [(i, f"{w} " * (100 - i), f"l{i:02}") for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn_languages(df)
+    assert model.languages == [r[2] for r in rows]
+    assert all(r.lang_pred == r.lang for r in language_id.identify_languages(df, model).collect())
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 69)
+    with pytest.raises(ValueError):
+        language_id.learn_languages(df)
+
+
 def brute_topk(vectors, every, k):
     out = []
     for q, v in vectors.items():
