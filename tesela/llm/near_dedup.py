@@ -7,9 +7,9 @@ comes after the latest of the registers, since it can't change them any more.
 
 Candidates are texts that agree in all registers of a band.  Rather than all pairs of a bucket, each member is verified against the
 bucket's hub, the member with the largest buckets: among edited copies that is the text which the others stem from.  Members that are
-still in different classes after that are compared by their signatures, block by block, and pairs whose estimate may reach the
-threshold are verified: first the likeliest of each member and class, then, between what is still apart, all.  So no link between
-classes is lost to the shortcut, and pairs inside a class are never listed.
+still in different classes after that are compared block by block: first the pair of each member with the highest estimate is
+verified, if that may reach the threshold, then, between what is still apart, all pairs, whatever their estimate.  So no link of a
+candidate pair is lost to the shortcut, and pairs inside a class are never listed.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ BANDS, ROWS = 24, 6
 REGISTERS = 384
 #: Words in a shingle, least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
-#: Least estimate at which a pair is verified: three standard errors (of 384 registers) under the least similarity.
+#: Least estimate at which a pair is verified before the last round, which verifies all: three standard errors (of 384 registers) under the least similarity.
 ESTIMATE = 0.739
 #: Members in a block of a bucket; likeliest partners of a member in each block that are verified first.
 BLOCK, LIKELIEST = 256, 1
@@ -201,26 +201,26 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _likely_pairs(most: int | None):
-    """(a, b) of the pairs of two blocks, rows (at, l, r) of member lists, whose classes differ and whose estimate may do; most: of each
-    member of l, that many of the highest estimates.  A pair that shares several bands is told in the first of them, at, only."""
+    """(a, b) of the pairs of two blocks, rows (at, l, r) of member lists, whose classes differ; most: of each member of l, that many of
+    the highest estimates, if these may do; None: all.  A pair that shares several bands is told in the first of them, at, only."""
 
-    def members(blocks: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    def members(blocks: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         rows = blocks.as_py()
-        return [x["tid"] for x in rows], np.array([x["root"] for x in rows], dtype=object), np.frombuffer(b"".join(x["sig"] for x in rows), np.uint16).reshape(len(rows), -1)
+        return [x["tid"] for x in rows], np.array([x["root"] for x in rows], dtype=object), np.frombuffer(b"".join(x["sig"] for x in rows), np.uint16).reshape(len(rows), -1), np.array([x["bands"] for x in rows], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, left, right in zip(batch.column("at").to_pylist(), batch.column("l"), batch.column("r"), strict=True):
-                l_tid, l_root, l_sig = members(left)
-                r_tid, r_root, r_sig = members(right)
+                l_tid, l_root, l_sig, l_bands = members(left)
+                r_tid, r_root, r_sig, r_bands = members(right)
                 out: tuple[list[bytes], list[bytes]] = ([], [])
                 for i, tid in enumerate(l_tid):
-                    equal = r_sig == l_sig[i]
-                    hits = np.flatnonzero((equal.mean(1) >= ESTIMATE) & (r_root != l_root[i]))
-                    bands = equal[hits, : BANDS * ROWS].reshape(len(hits), BANDS, ROWS).all(2)
-                    hits = hits[~bands[:, :at].any(1)]
+                    hits = np.flatnonzero(r_root != l_root[i])
+                    hits = hits[~(r_bands[hits, :at] == l_bands[i, :at]).any(1)]
                     if most is not None:
-                        hits = hits[np.argsort(-equal[hits].sum(1), kind="stable")][:most]
+                        alike = (r_sig[hits] == l_sig[i]).mean(1)
+                        best = np.argsort(-alike, kind="stable")[:most]
+                        hits = hits[best[alike[best] >= ESTIMATE]]
                     for j in hits.tolist():
                         out[0].append(max(tid, r_tid[j]))
                         out[1].append(min(tid, r_tid[j]))
@@ -238,7 +238,7 @@ def _still_apart(members: DataFrame, roots: DataFrame, sigs: DataFrame, most: in
     # of a bucket's members outside its hub's class, and of those inside, blocks of about 256
     blocks = F.ceil(F.when(F.col("other"), F.col("others")).otherwise(F.col("n") - F.col("others")) / BLOCK)
     dealt = apart.withColumn("block", F.pmod(F.xxhash64("tid"), blocks))
-    packed = stash(dealt.groupBy("band", "at", "other", "block").agg(F.collect_list(F.struct("tid", "root", "sig")).alias("rows")), made)
+    packed = stash(dealt.groupBy("band", "at", "other", "block").agg(F.collect_list(F.struct("tid", "root", "sig", "bands")).alias("rows")), made)
     left = packed.filter("other").select("band", "at", F.col("block").alias("l_block"), F.col("rows").alias("l"))
     right = packed.select("band", "other", F.col("block").alias("r_block"), F.col("rows").alias("r"))
     pairs = left.join(right, "band").filter(~F.col("other") | (F.col("l_block") <= F.col("r_block")))
@@ -276,7 +276,7 @@ def _classified(docs: DataFrame, key: str, text: str) -> DataFrame:
     links = _links(first, texts, made)
     roots = connected_components(links, made)
     for most in (LIKELIEST, None):
-        pairs = stash(_still_apart(members, roots, distinct.select("tid", "sig"), most, made).join(first, ["a", "b"], "left_anti"), made)
+        pairs = stash(_still_apart(members, roots, distinct.select("tid", "sig", "bands"), most, made).join(first, ["a", "b"], "left_anti"), made)
         more = _links(pairs, texts, made)
         if not more.isEmpty():
             links = links.unionByName(more)

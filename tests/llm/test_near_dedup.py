@@ -64,6 +64,21 @@ def test_exact_similarity_and_estimate():
     assert (sig[0] == sig[1]).mean() == pytest.approx(naive, abs=0.05)
 
 
+def test_last_round_verifies_all_pairs_of_different_classes():
+    import pyarrow as pa
+
+    def block(tid, root, register, bands):
+        return [{"tid": tid, "root": root, "sig": np.full(nd.REGISTERS, register, np.uint16).tobytes(), "bands": bands}]
+
+    # no register agrees in the first pair; in the second all do, but no earlier band; the third shares an earlier band
+    far, same = list(range(nd.BANDS)), list(range(100, 100 + nd.BANDS))
+    left = [block(b"a", b"a", 1, far), block(b"c", b"c", 1, far), block(b"e", b"e", 1, far)]
+    right = [block(b"b", b"b", 2, same), block(b"d", b"d", 1, same), block(b"f", b"f", 1, far)]
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 3, 3]), pa.array(left), pa.array(right)], names=["at", "l", "r"])
+    pairs = [(r["a"], r["b"]) for b in nd._likely_pairs(None)(iter([batch])) for r in b.to_pylist()]
+    assert pairs == [(b"b", b"a"), (b"d", b"c")]
+
+
 def test_edges_nulls_ties_and_clashing_columns(spark):
     long = " ".join(f"w{i}" for i in range(60))
     near = long.replace("w30", "other")
