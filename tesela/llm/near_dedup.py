@@ -103,21 +103,27 @@ def weighted_shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS)
 
 
 def prob_minhash(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, registers: int) -> np.ndarray:
-    """The signatures (n, registers) of n weighted sets; sets without elements have zeros."""
+    """The signatures (n, registers) of n weighted sets; sets without elements have zeros.
+
+    An arrival's time and register depend on its element and its number alone, and times add up one by one, so a set has the same
+    signature whatever sets are signed beside it and however many arrivals are drawn at once.
+    """
     first, taken = np.full(n * registers, np.inf), []
     at, passed, t, step = np.arange(len(h)), np.zeros(len(h)), 0, 1
     while len(at):
         count = (np.arange(step, dtype=_U64) + _U64(t + 1))[None, :] * _GOLDEN
         bits = mixed(h[at][:, None] + count)
         gaps = -np.log1p(-((bits >> _U64(11)).astype(np.float64) * 2.0**-53))
-        x = passed[at][:, None] + np.cumsum(gaps, axis=1) / weight[at][:, None]
-        where = owner[at][:, None] * registers + (mixed(bits + _U64(t)) % _U64(registers)).astype(np.int64)
+        gaps[:, 0] += passed[at]
+        waited = np.cumsum(gaps, axis=1)
+        x = waited / weight[at][:, None]
+        where = owner[at][:, None] * registers + (mixed(bits + _GOLDEN) % _U64(registers)).astype(np.int64)
         won = x < first[where]
         w, v = where[won], x[won]
         np.minimum.at(first, w, v)
         hit = v == first[w]
         taken.append((w[hit], v[hit], np.broadcast_to(h[at][:, None], x.shape)[won][hit]))
-        passed[at] = x[:, -1]
+        passed[at] = waited[:, -1]
         latest = first.reshape(n, registers).max(1)
         at = at[x[:, -1] < latest[owner[at]]]
         t += step
@@ -238,10 +244,17 @@ def _still_apart(members: DataFrame, roots: DataFrame, sigs: DataFrame, most: in
     # of a bucket's members outside its hub's class, and of those inside, blocks of about 256
     blocks = F.ceil(F.when(F.col("other"), F.col("others")).otherwise(F.col("n") - F.col("others")) / BLOCK)
     dealt = apart.withColumn("block", F.pmod(F.xxhash64("tid"), blocks))
-    packed = stash(dealt.groupBy("band", "at", "other", "block").agg(F.collect_list(F.struct("tid", "root", "sig", "bands")).alias("rows")), made)
-    left = packed.filter("other").select("band", "at", F.col("block").alias("l_block"), F.col("rows").alias("l"))
-    right = packed.select("band", "other", F.col("block").alias("r_block"), F.col("rows").alias("r"))
-    pairs = left.join(right, "band").filter(~F.col("other") | (F.col("l_block") <= F.col("r_block")))
+    kept = dealt.groupBy("band", "at", "other", "block").agg(F.collect_list(F.struct("tid", "root", "sig", "bands")).alias("rows"), F.first("n").alias("n"), F.first("others").alias("others"))
+    packed = stash(kept, made)
+    # each block goes to the pairs of blocks that it is part of, which are keys of their own: a bucket's pairs are dealt over the cluster
+    last = F.ceil(F.col("others") / BLOCK) - 1
+    inside = F.ceil((F.col("n") - F.col("others")) / BLOCK) - 1
+    met = F.sequence("block", last)
+    left = packed.filter("other").withColumn("pair", F.explode(F.concat(F.transform(met, lambda b: F.struct(F.lit(True).alias("other"), b.alias("r"))), F.transform(F.sequence(F.lit(0).cast("long"), inside), lambda b: F.struct(F.lit(False).alias("other"), b.alias("r"))))))
+    left = left.select("band", "at", F.col("pair.other").alias("other"), F.col("block").alias("l_block"), F.col("pair.r").alias("r_block"), F.col("rows").alias("l"))
+    meets = F.when(F.col("other"), F.sequence(F.lit(0).cast("long"), "block")).otherwise(F.sequence(F.lit(0).cast("long"), last))
+    right = packed.select("band", "other", F.explode(meets).alias("l_block"), F.col("block").alias("r_block"), F.col("rows").alias("r"))
+    pairs = left.join(right, ["band", "other", "l_block", "r_block"])
     return pairs.select("at", "l", "r").mapInArrow(_likely_pairs(most), "a binary, b binary").distinct()
 
 

@@ -92,3 +92,35 @@ def test_edges_nulls_ties_and_clashing_columns(spark):
     assert nd.near_classes(spark.createDataFrame([], SCHEMA)).count() == 0
     kept = nd.drop_near_copies(spark.createDataFrame([(1, long), (1, long), (2, near), (None, "a b c"), (None, "d e f")], SCHEMA))
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, -1, 1]
+
+
+def test_a_text_has_one_signature_in_any_company():
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(["red", "blue", "stone", "river", "of", "and", "seven"], int(n))).encode() for n in rng.integers(1, 400, 120)]
+
+    def signed(some):
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in some]))).astype(np.int64)
+        owner, h, weight = nd.weighted_shingles(np.frombuffer(b"".join(some), np.uint8), offsets)
+        return nd.prob_minhash(owner, h, weight.astype(np.float64), len(some), nd.REGISTERS)
+
+    crowd = signed(texts)
+    for i, t in enumerate(texts):
+        assert (signed([t])[0] == crowd[i]).all()
+        assert (signed([t, texts[0]])[0] == crowd[i]).all()
+    wide, nd.WIDE = nd.WIDE, 400
+    try:
+        assert (signed(texts) == crowd).all()
+    finally:
+        nd.WIDE = wide
+
+
+def test_blocks_of_a_large_bucket_meet_once(spark):
+    """A bucket of several blocks: every pair of members in different classes is compared, whatever blocks they are in."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(w if (i + k) % 60 else f"x{k}" for i, w in enumerate(base))) for k in range(40)]
+    block, nd.BLOCK = nd.BLOCK, 4
+    try:
+        got = {r.doc_id: r.class_id for r in nd.near_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    finally:
+        nd.BLOCK = block
+    assert got == brute_classes(rows)
