@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +36,8 @@ WORDS, SIMILARITY = 5, 0.8
 ESTIMATE = 0.739
 #: Members in a block of a bucket; likeliest partners of a member in each block that are verified first.
 BLOCK, LIKELIEST = 256, 1
-#: Bytes of texts whose vectors a task keeps.
-KEPT = 16 << 20
-#: Bytes of text that are worked on at once.
-CHUNK = (1 << 20) - 1
+#: Bytes of text that are worked on at once, and bytes of pairs of texts (most texts are in several pairs).
+CHUNK, PAIRS_CHUNK = (1 << 20) - 1, 4 << 20
 #: Arrivals that are drawn at once after the first two of each shingle; bytes that a text counts at least, for its registers.
 WIDE, LEAST = 200_000, 2000
 
@@ -162,48 +161,57 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
 
 
-def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Exact probability Jaccard similarity of two weighted sets, given as (sorted hashes, weights)."""
-    both = np.union1d(a[0], b[0])
-    x, y = np.zeros(len(both)), np.zeros(len(both))
-    x[np.searchsorted(both, a[0])] = a[1]
-    y[np.searchsorted(both, b[0])] = b[1]
-    common = np.flatnonzero((x > 0) & (y > 0))
+def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: float = 0.0) -> float:
+    """Exact probability Jaccard similarity of two weighted sets, given as (sorted hashes, weights); 0 if it is certain to be under least."""
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    if not len(a[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    common = b[0][at] == a[0]
+    x, y = a[1][common], b[1][at[common]]
+    n, total_a, total_b = len(x), a[1].sum(), b[1].sum()
+    if total_a == len(a[0]) and total_b == len(b[0]):
+        return n / (len(a[0]) + len(b[0]) - n)  # no weight but 1: the plain Jaccard similarity
+    # no element adds more than its share of either set
+    if np.minimum(x / total_a, y / total_b).sum() < least:
+        return 0.0
+    only_a, only_b = total_a - x.sum(), total_b - y.sum()
+    pairs, times = np.unique(np.stack((x, y), 1), axis=0, return_counts=True)
+    u, v = pairs[:, 0], pairs[:, 1]
     total = 0.0
-    pairs, times = np.unique(np.stack((x[common], y[common]), 1), axis=0, return_counts=True)
-    for (u, v), n in zip(pairs, times, strict=True):
-        total += n / np.maximum(x / u, y / v).sum()
+    for i, n in enumerate(times):
+        total += n / ((times * np.maximum(u / u[i], v / v[i])).sum() + only_a / u[i] + only_b / v[i])
     return total
 
 
-def _vector(text: str) -> tuple[np.ndarray, np.ndarray]:
-    raw = text.lower().encode()
-    _, h, weight = weighted_shingles(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64))
-    return h, weight.astype(np.float64)
-
-
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, similar) of each candidate pair; vectors are kept for further pairs of a text, up to a bound."""
-    kept: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-    size = 0
-
-    def vector(tid: bytes, text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-        nonlocal size
-        if tid not in kept:
-            if size > KEPT:
-                kept.clear()
-                size = 0
-            kept[tid] = _vector(text.as_py())
-            size += 24 * len(kept[tid][0]) + 200
-        return kept[tid]
-
+    """(a, b) of the candidate pairs that are similar.  The texts of some rows are turned into weighted sets together, each once."""
     for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        texts = zip(batch.column("text_a"), batch.column("text_b"), strict=True)
-        similar = [probability_jaccard(vector(a[i], x), vector(b[i], y)) >= SIMILARITY - 1e-12 for i, (x, y) in enumerate(texts)]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(similar)], names=["a", "b", "similar"])
-    kept.clear()
-    release()
+        tids = (batch.column("a").to_pylist(), batch.column("b").to_pylist())
+        columns = (batch.column("text_a"), batch.column("text_b"))
+        sizes = np.asarray(pc.binary_length(columns[0])).astype(np.int64) + np.asarray(pc.binary_length(columns[1]))
+        out: tuple[list[bytes], list[bytes]] = ([], [])
+        for lo, hi in row_ranges(sizes, PAIRS_CHUNK):
+            place: dict[bytes, int] = {}
+            lowered = []
+            for side, column in zip(tids, columns, strict=True):
+                for i in range(lo, hi):
+                    if side[i] not in place:
+                        place[side[i]] = len(lowered)
+                        lowered.append(column[i].as_py().lower().encode())
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in lowered]))).astype(np.int64)
+            owner, h, weight = weighted_shingles(np.frombuffer(b"".join(lowered), np.uint8), offsets)
+            weight = weight.astype(np.float64)
+            cut = np.searchsorted(owner, np.arange(len(lowered) + 1))
+            for a, b in zip(tids[0][lo:hi], tids[1][lo:hi], strict=True):
+                i, j = place[a], place[b]
+                one, two = slice(cut[i], cut[i + 1]), slice(cut[j], cut[j + 1])
+                if probability_jaccard((h[one], weight[one]), (h[two], weight[two]), SIMILARITY - 1e-9) >= SIMILARITY - 1e-12:
+                    out[0].append(a)
+                    out[1].append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["a", "b"])
+        release()
 
 
 def _likely_pairs(most: int | None):
@@ -262,7 +270,7 @@ def _links(pairs: DataFrame, texts: DataFrame, made: list[str]) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
     with_a = pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return stash(both.mapInArrow(_verify, "a binary, b binary, similar boolean").filter("similar").select("a", "b"), made)
+    return stash(both.mapInArrow(_verify, "a binary, b binary"), made)
 
 
 def _classified(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -59,6 +59,12 @@ def test_exact_similarity_and_estimate():
     b = (np.arange(31, 331, dtype=np.uint64), rng.integers(1, 4, 300).astype(float))
     naive = similarity(Counter(dict(zip(a[0].tolist(), a[1], strict=True))), Counter(dict(zip(b[0].tolist(), b[1], strict=True))))
     assert nd.probability_jaccard(a, b) == pytest.approx(naive)
+    assert nd.probability_jaccard(a, b, naive - 0.01) == pytest.approx(naive)
+    for weights in ((1, 2), (1, 6)):
+        for n in (1, 5, 40):
+            x, y = (dict(zip(rng.integers(0, 60, n).tolist(), rng.integers(*weights, n).tolist(), strict=True)) for _ in range(2))
+            vectors = [(np.array(sorted(c), np.uint64), np.array([c[k] for k in sorted(c)], float)) for c in (x, y)]
+            assert nd.probability_jaccard(*vectors) == pytest.approx(similarity(Counter(x), Counter(y)))
     owner = np.repeat([0, 1], 300)
     sig = nd.prob_minhash(owner, np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1])), 2, 2000)
     assert (sig[0] == sig[1]).mean() == pytest.approx(naive, abs=0.05)
