@@ -1,5 +1,5 @@
 """Exact deduplication in the manner of a Grace hash join: texts are dealt to buckets, and an open-addressing table in each task
-compares complete content; what doesn't fit is written to the shared folder and dealt again by further bits of the hash.
+compares complete content; parts of a bucket that don't fit are spilled to the shared folder and dealt again, until every bucket fits.
 
 Copies meet early: each task first collapses the copies among the rows that it reads, so however large a group of copies is, one
 text of it at most per task is shuffled.  Buckets return one small row per distinct text.
@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from tesela.llm.common import release, stash, text_bytes, whole_row
 
-#: Bytes of text that a table may hold, and bytes that a bucket should get.
-TABLE_BYTES, BUCKET_BYTES = 96 << 20, 24 << 20
+#: Bytes of text that a task's tables may hold; a bucket should get a quarter of it.
+TABLE_BYTES = 96 << 20
+#: Buckets that one deal makes at most; more rows than they can hold are dealt in several levels.
+MOST_BUCKETS = 20_000
 #: Hash bits that tell the parts of an overfull bucket apart.
 PART_BITS = 4
 
@@ -80,9 +82,9 @@ _GROUPS = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("group_s
 _SCHEMA = "digest binary, keep_id long, group_size long, n_bytes long, text binary"
 
 
-def _rows(table: ContentTable, ks, with_text: bool) -> Iterator[pa.RecordBatch]:
+def _rows(table: ContentTable, with_text: bool) -> Iterator[pa.RecordBatch]:
     """The table's entries in batches of about 8 MB."""
-    ks, start = list(ks), 0
+    ks, start = range(len(table.texts)), 0
     while start < len(ks):
         end, size = start, 0
         while end < len(ks) and (size < 8 << 20) and end - start < 20_000:
@@ -108,9 +110,9 @@ def _collapse(budget: int):
                 text = fold(bytes(data[offsets[i] : offsets[i + 1]]))
                 table.add(hashlib.sha256(text).digest(), text, key, 1)
                 if table.size > budget:
-                    yield from _rows(table, range(len(table.texts)), True)
+                    yield from _rows(table, True)
                     table = ContentTable()
-        yield from _rows(table, range(len(table.texts)), True)
+        yield from _rows(table, True)
         del table
         release()
 
@@ -118,55 +120,71 @@ def _collapse(budget: int):
 
 
 def _bucket(budget: int, level: int):
-    """Build the table of a task's buckets; parts that don't fit leave with their text for the next level."""
-    shift = 64 - PART_BITS * (level + 1)
+    """Build the tables of a task's bucket, one a part; parts that don't fit leave with their texts, to be dealt again.
+
+    The largest part leaves first, and any may leave, so what stays is within the budget; only a part of a single text, which no further
+    deal could make smaller, stays whatever its size if it is the last.
+    """
+    odd = pow(0x9E3779B97F4A7C15, level + 1, 1 << 64)
 
     def part_of(digest: bytes) -> int:
-        return (int.from_bytes(digest[8:16], "big") >> shift) & ((1 << PART_BITS) - 1) if shift >= 0 else 0
+        return (int.from_bytes(digest[8:16], "big") * odd % (1 << 64)) >> (64 - PART_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: list[ContentTable | None] = [ContentTable() for _ in range(1 << PART_BITS)]
+        tables: dict[int, ContentTable] = {k: ContentTable() for k in range(1 << PART_BITS)}
+        size = 0
         for batch in batches:
             sent = []
             for row in zip(*(batch.column(c).to_pylist() for c in ("digest", "text", "keep_id", "group_size")), strict=True):
                 k = part_of(row[0])
-                if tables[k] is None:
+                if k not in tables:
                     sent.append(row)
                     continue
+                before = tables[k].size
                 tables[k].add(*row)
-                while sum(t.size for t in tables if t) > budget and sum(t is not None for t in tables) > 1:
-                    k = max((i for i, t in enumerate(tables) if t), key=lambda i: tables[i].size)
-                    yield from _rows(tables[k], range(len(tables[k].texts)), True)
-                    tables[k] = None
+                size += tables[k].size - before
+                while size > budget:
+                    k = max(tables, key=lambda i: tables[i].size)
+                    if len(tables[k].texts) == 1 and sum(t.size > 0 for t in tables.values()) == 1:
+                        break
+                    size -= tables[k].size
+                    yield from _rows(tables.pop(k), True)
             if sent:
                 yield pa.RecordBatch.from_arrays([
                     pa.array([x[0] for x in sent], pa.binary()), pa.array([x[2] for x in sent], pa.int64()), pa.array([x[3] for x in sent], pa.int64()),
                     pa.array([len(x[1]) for x in sent], pa.int64()), pa.array([x[1] for x in sent], pa.binary()),
                 ], schema=_GROUPS)
-        for t in tables:
-            if t:
-                yield from _rows(t, range(len(t.texts)), False)
+        for t in tables.values():
+            yield from _rows(t, False)
         tables.clear()
         release()
 
     return run
 
 
-def content_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """(digest binary, keep_id long, group_size long), one row per distinct folded text; see dedup_exact."""
-    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pending = named.mapInArrow(_collapse(table_bytes // 4), _SCHEMA)
+def content_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES, most_buckets: int = MOST_BUCKETS) -> DataFrame:
+    """(digest binary, keep_id long, group_size long), one row per distinct folded text; see dedup_exact.
+
+    A level deals its rows to buckets that should hold a quarter of a table each, by the bytes of its texts.  What its buckets spill is
+    dealt again by another hash, all at once if most_buckets are enough for it, else in slices by hash, one after another.
+    """
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    done, level = [], 0
-    while True:
-        # the first level deals by the hash's first bits, each further one by bits not used before
-        dealt = pending.repartition(parts << min(level, 6), F.substring("digest", 1 + level % 8, 8 + level % 8))
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # rows to deal, their bytes, and at which level
+    waiting, done = [(named.mapInArrow(_collapse(table_bytes // 4), _SCHEMA), size, 0)], []
+    while waiting:
+        pending, size, level = waiting.pop()
+        buckets = min(most_buckets, max(parts, -(-4 * size // table_bytes)))
+        dealt = pending.repartition(buckets, F.xxhash64("digest", F.lit(level)))
         result = stash(dealt.mapInArrow(_bucket(table_bytes, level), _SCHEMA))
         done.append(result.filter(F.col("text").isNull()).select("digest", "keep_id", "group_size"))
-        pending = result.filter(F.col("text").isNotNull())
-        level += 1
-        if pending.isEmpty():
-            break
+        spilled = result.filter(F.col("text").isNotNull())
+        size = spilled.agg(F.sum("n_bytes")).first()[0]
+        if size is not None:
+            slices = -(-4 * size // (table_bytes * most_buckets))
+            slot = F.pmod(F.xxhash64("digest", F.lit(-1 - level)), F.lit(slices))
+            waiting += [(spilled.filter(slot == k) if slices > 1 else spilled, size // slices, level + 1) for k in range(slices)]
     groups = done[0]
     for more in done[1:]:
         groups = groups.unionByName(more)

@@ -128,3 +128,28 @@ def test_long_chain(spark):
     rows = [(1, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(700)]
     r = chat.format_paths(chat.linear_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
     assert r.n_turns == 700 and len(r.loss_spans) == 350
+
+
+def test_no_part_of_a_bucket_outgrows_the_table():
+    """All texts of one bucket, and of one part of it: whatever doesn't fit leaves, and what stays is within the budget."""
+    import pyarrow as pa
+
+    odd, bits = 0x9E3779B97F4A7C15, exact_dedup.PART_BITS
+    texts = [b"text %d " % i + b"z" * 400 for i in range(4000)]
+    digests = [hashlib.sha256(t).digest() for t in texts]
+    one_part = [(d, t) for d, t in zip(digests, texts, strict=True) if (int.from_bytes(d[8:16], "big") * odd % (1 << 64)) >> (64 - bits) == 3]
+    assert len(one_part) > 100
+    for rows in (list(zip(digests, texts, strict=True)), one_part):
+        batches = [pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows[k : k + 50]]), pa.array([1] * len(rows[k : k + 50])), pa.array([1] * len(rows[k : k + 50])), pa.array([t for _, t in rows[k : k + 50]])], names=["digest", "keep_id", "group_size", "text"]) for k in range(0, len(rows), 50)]
+        stayed, left = Counter(), Counter()
+        for b in exact_dedup._bucket(30_000, 0)(iter(batches)):
+            for r in b.to_pylist():
+                (stayed if r["text"] is None else left)[r["digest"]] += r["n_bytes"] + 200
+        assert sum(stayed.values()) <= 30_000 and stayed.keys() | left.keys() == {d for d, _ in rows} and not stayed.keys() & left.keys()
+
+
+def test_levels_deal_in_slices(spark):
+    rows = [(i, f"text {i % 400} " + "y" * 900) for i in range(800)] + [(1000, "q" * 60_000), (1001, "Q" * 60_000)]
+    groups = exact_dedup.content_groups(spark.createDataFrame(rows, DOCS), table_bytes=20_000, most_buckets=4)
+    got = Counter((r.keep_id, r.group_size) for r in groups.collect())
+    assert got == Counter([(400 + i, 2) for i in range(400)] + [(1001, 2)])
