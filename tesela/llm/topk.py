@@ -3,7 +3,7 @@
 Vectors are grouped by length into blocks.  A query's k-th best score so far, divided by the product of the lengths, is the least
 cosine that a better partner in a block must have (the local threshold).  Where no partner can reach it, the block is skipped; where
 the threshold is high, coordinates prune: a partner's coordinate must lie near the query's, which bounds the rest by the lengths of what
-remains; else only lengths prune.  Products of what is left are verified in exact integers.
+remains; else only lengths prune.  Products of what is left are verified in exact integers, of any size.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesela.llm.common import stash
@@ -23,197 +23,217 @@ BLOCK, QUERIES = 2048, 256
 WIDTH = 0.02
 #: Local thresholds (cosines) above which coordinates prune before products are formed.
 COORDINATES_FROM = 0.9
+#: Components from here on can't be multiplied in doubles.
+LARGEST = 2.0**500
 
 
 def integer_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """(id long, v array<bigint>, dim int, norm double) with components floor(scale * x).
+    """(id long, v array<double>, dim int, norm double) with components floor(scale * x), whole numbers.
 
-    Vectors that are null or empty, hold null or non-finite components, or whose scaled components leave 2**31 take no part.
+    Vectors that are null or empty, or hold null or non-finite components, take no part.  A component beyond LARGEST, of which squares
+    would leave a double, raises an error; floats never reach it.
     """
-    limit = float(1 << 31)
-    fine = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double") * scale) < limit))  # false for NaN and infinities, too
-    rows = df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)).filter(fine & ~F.exists(vector, lambda x: F.isnan(x)))
-    v = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
-    rows = rows.select(F.col(key).cast("long").alias("id"), v.alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    rows = df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)).filter(F.coalesce(fine, F.lit(False)))
+
+    def whole(x):
+        y = x.cast("double") * scale
+        # from 2**52 on every double is whole, and floor() would cut it to a long
+        return F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).when(F.abs(y) < LARGEST, y).otherwise(F.raise_error("a vector's component is too large for products").cast("double"))
+
+    rows = rows.select(F.col(key).cast("long").alias("id"), F.transform(vector, whole).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     return rows.select("id", "v", F.size("v").alias("dim"), norm.alias("norm"))
 
 
-_BLOCKS = "dim int, block long, top double, ids binary, vectors binary"
+_BLOCKS = "dim int, block long, top double, rows binary, ids binary, vectors binary"
+
+
+def _packed(dim: int, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([dim], pa.int32()), pa.array([int(rows[0])], pa.int64()), pa.array([float(norms.max())]), *(pa.array([x.tobytes()], pa.binary()) for x in (rows, ids, vectors))],
+        names=["dim", "block", "top", "rows", "ids", "vectors"],
+    )
 
 
 def _pack(size: int):
-    """Rows sorted by dimension and length to blocks: their ids and vectors as bytes, and the greatest length."""
+    """Rows sorted by dimension and length to blocks: their numbers, ids and vectors as bytes, and the greatest length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
-
-        def flush(dim: int) -> pa.RecordBatch:
-            ids, vectors, norms = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
-            tag = int(ids[0])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), pa.array([tag], pa.int64()), pa.array([float(norms.max())]), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())],
-                names=["dim", "block", "top", "ids", "vectors"],
-            )
-
         for batch in batches:
-            dims, ids, norms = (batch.column(c).to_numpy() for c in ("dim", "id", "norm"))
+            dims, rows, ids, norms = (batch.column(c).to_numpy() for c in ("dim", "row", "id", "norm"))
             flat = batch.column("v").flatten().to_numpy()
             starts = np.concatenate(([0], np.cumsum(dims)))
             # consecutive rows of one dimension
             for part in np.split(np.arange(len(dims)), np.flatnonzero(np.diff(dims)) + 1):
                 for lo in range(0, len(part), size):
-                    rows = part[lo : lo + size]
-                    d = int(dims[rows[0]]) if len(rows) else 0
+                    at = part[lo : lo + size]
+                    d = int(dims[at[0]]) if len(at) else 0
                     if d:
-                        held.setdefault(d, []).append((ids[rows], flat[starts[rows[0]] : starts[rows[-1] + 1]].astype("<i8").reshape(len(rows), d), norms[rows]))
+                        held.setdefault(d, []).append((rows[at], ids[at], flat[starts[at[0]] : starts[at[-1] + 1]].reshape(len(at), d), norms[at]))
                         if sum(len(x[0]) for x in held[d]) >= size:
-                            yield flush(d)
-        for d in list(held):
-            yield flush(d)
+                            yield _packed(d, *(np.concatenate(x) for x in zip(*held.pop(d), strict=True)))
+        for d, kept in held.items():
+            yield _packed(d, *(np.concatenate(x) for x in zip(*kept, strict=True)))
 
     return run
 
 
-def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products: in doubles where they are exact, else in integers."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
-    if most < 2**53:
-        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    if most >= 2**63:
-        raise OverflowError("an inner product may leave 64 bits")
-    return q @ c.T
+def _exact(q: np.ndarray, c: np.ndarray) -> list[int]:
+    """The inner products of one vector with others, in integers of any size."""
+    whole = [int(x) for x in q]
+    return [sum(a * int(b) for a, b in zip(whole, row, strict=True)) for row in c]
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, score) of each query's k best in a block, without those below least, itself left out; ties to smaller ids."""
-    q_norm, c_norm = (np.sqrt((x.astype(np.float64) ** 2).sum(1)) for x in (q, c))
+def _chosen(near: np.ndarray, q: np.ndarray, c: np.ndarray, k: int, least: float) -> tuple[np.ndarray, list[int]]:
+    """(places in c, exact products) of the vectors of c that may be among a vector's k best of at least `least`; near: c @ q in doubles.
+
+    Where doubles may round, they only choose: within their error bound of the k-th best, products are formed again in integers.
+    """
+    if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * len(q) < 2**53:
+        hit = np.flatnonzero(near >= least)
+        if len(hit) > k:
+            hit = hit[near[hit] >= np.partition(near[hit], len(hit) - k)[len(hit) - k]]
+        return hit, near[hit].astype(np.int64).tolist()
+    error = (len(q) + 4) * 2.0**-52 * (np.abs(c) @ np.abs(q))
+    hit = np.flatnonzero(near + error >= least)
+    if len(hit) > k:
+        sure = near[hit] - error[hit]
+        hit = hit[near[hit] + error[hit] >= np.partition(sure, len(hit) - k)[len(hit) - k]]
+    return hit, _exact(q, c[hit])
+
+
+def search_block(q_rows, q_ids, q, least, c_rows, c_ids, c, k: int) -> tuple[list[int], list[int], list[int], list[int]]:
+    """(row and id of the query, id of the candidate, score) of each query's k best in a block, itself left out; ties to smaller ids.
+
+    Candidates that can't reach least, the query's k-th best score so far, may be missing.
+    """
+    q_norm, c_norm = (np.sqrt((x**2).sum(1)) for x in (q, c))
     slack = 1 + 1e-9
-    bound = np.where(np.isfinite(least), least, -np.inf)
     top = c_norm.max(initial=0.0)
     with np.errstate(divide="ignore", invalid="ignore"):
-        local = np.where((q_norm * top) > 0, bound / (q_norm * top), np.where(bound > 0, np.inf, -np.inf))
+        local = np.where((q_norm * top) > 0, least / (q_norm * top), np.where(least > 0, np.inf, -np.inf))
+    out: tuple[list[int], list[int], list[int], list[int]] = ([], [], [], [])
+
+    def tell(i: int, some: np.ndarray, near: np.ndarray, vectors: np.ndarray) -> None:
+        other = np.flatnonzero(c_rows[some] != q_rows[i])
+        if len(other) < len(some):
+            some, near, vectors = some[other], near[other], vectors[other]
+        at, scores = _chosen(near, q[i], vectors, k, least[i])
+        for score, vec in sorted(zip(scores, c_ids[some[at]].tolist(), strict=True), key=lambda x: (-x[0], x[1]))[:k]:
+            for column, value in zip(out, (int(q_rows[i]), int(q_ids[i]), vec, score), strict=True):
+                column.append(value)
+
     alive = np.flatnonzero(local <= slack)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    by_coordinate = alive[local[alive] >= COORDINATES_FROM]
     by_length = alive[local[alive] < COORDINATES_FROM]
-    for rows, coordinates in ((by_length, False), (by_coordinate, True)):
-        if not len(rows):
-            continue
-        keep = np.ones(len(c), bool)
-        if coordinates:
-            # on a query's largest coordinate f: q_f c_f + |rest of q| |rest of c| bounds the product
-            keep = np.zeros((len(rows), len(c)), bool)
-            focus = np.abs(q[rows]).argmax(1)
-            for i, (row, f) in enumerate(zip(rows, focus, strict=True)):
-                qf, cf = float(q[row, f]), c[:, f].astype(np.float64)
-                rest = np.sqrt(np.maximum(q_norm[row] ** 2 - qf**2, 0)) * np.sqrt(np.maximum(c_norm**2 - cf**2, 0))
-                keep[i] = (qf * cf + rest) * slack + 1e-6 >= bound[row]
-            some = keep.any(0)
-        else:
-            # lengths only: a candidate shorter than the weakest query's threshold allows can't be in any answer
-            some = c_norm * q_norm[rows].max() * slack + 1e-6 >= bound[rows].min()
-        cols = np.flatnonzero(some)
-        if not len(cols):
-            continue
-        s = _scores(q[rows], c[cols])
-        ok = (s >= bound[rows][:, None]) & (q_ids[rows][:, None] != c_ids[cols][None, :])
-        if coordinates:
-            ok &= keep[:, cols]
-        for i in range(len(rows)):
-            hit = np.flatnonzero(ok[i])
-            if len(hit) > k:
-                cut = np.partition(s[i, hit], len(hit) - k)[len(hit) - k]
-                hit = hit[s[i, hit] >= cut]
-            order = np.lexsort((c_ids[cols[hit]], -s[i, hit]))[:k]
-            hit = hit[order]
-            out.append((np.full(len(hit), q_ids[rows[i]]), c_ids[cols[hit]], s[i, hit]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    if len(by_length):
+        # a candidate that is too short for the weakest threshold can't be in any answer
+        some = np.flatnonzero(c_norm * q_norm[by_length].max() * slack + 1e-6 >= least[by_length].min())
+        near = q[by_length] @ c[some].T
+        for i, row in zip(by_length, near, strict=True):
+            tell(i, some, row, c[some] if len(some) < len(c) else c)
+    for i in alive[local[alive] >= COORDINATES_FROM]:
+        # on the query's largest coordinate f: q_f c_f + |rest of q| |rest of c| bounds the product; rounding may leave 1e-7 of the lengths
+        f = np.abs(q[i]).argmax()
+        rest = np.sqrt(np.maximum(q_norm[i] ** 2 - q[i, f] ** 2, 0)) * np.sqrt(np.maximum(c_norm**2 - c[:, f] ** 2, 0))
+        some = np.flatnonzero(q[i, f] * c[:, f] + rest + 1e-7 * q_norm[i] * c_norm + 1e-6 >= least[i])
+        if len(some):
+            tell(i, some, c[some] @ q[i], c[some])
+    return out
+
+
+def _sortable(score: int) -> bytes:
+    """Bytes in the order of integers that leave 64 bits; empty for others, whose long tells them apart."""
+    if -(1 << 63) < score < (1 << 63) - 1:
+        return b""
+    size = (score.bit_length() >> 3) + 1
+    sign, order = (1, size) if score > 0 else (0, 0xFFFF - size)
+    return bytes([sign]) + order.to_bytes(2, "big") + score.to_bytes(size, "big", signed=True)
 
 
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                d = row["dim"]
-                q_ids, c_ids, least = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["least"], "<f8")
-                q, c = np.frombuffer(row["q_vectors"], "<i8").reshape(-1, d), np.frombuffer(row["vectors"], "<i8").reshape(-1, d)
-                a, b, s = search_block(q_ids, q, least, c_ids, c, k)
-                for lo in range(0, len(a), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 50_000], pa.int64()) for x in (a, b, s)], names=["query_id", "vec_id", "score"])
+                q_rows, q_ids, c_rows, c_ids = (np.frombuffer(row[x], "<i8") for x in ("q_rows", "q_ids", "rows", "ids"))
+                q, c = (np.frombuffer(row[x], "<f8").reshape(-1, row["dim"]) for x in ("q_vectors", "vectors"))
+                at, a, b, s = search_block(q_rows, q_ids, q, np.frombuffer(row["least"], "<f8"), c_rows, c_ids, c, k)
+                shown = [min(max(x, -(1 << 63)), (1 << 63) - 1) for x in s]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (at, a, b, shown)), pa.array([_sortable(x) for x in s], pa.binary())], names=["q_row", "query_id", "vec_id", "score", "beyond"])
 
     return run
 
 
-_HITS = "query_id long, vec_id long, score long"
+_HITS = "q_row long, query_id long, vec_id long, score long, beyond binary"
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("q_row").orderBy(F.col("score").desc(), F.col("beyond").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _with_least(queries: DataFrame, least: DataFrame | None) -> DataFrame:
-    """Query rows grouped to blocks of like length, with each query's k-th best score so far (-inf if it has fewer)."""
-    rows = queries if least is None else queries.join(least, queries.id == least.query_id, "left").drop("query_id")
-    bound = F.lit(float("-inf")) if least is None else F.coalesce("least", F.lit(float("-inf")))
-    return rows.withColumn("least", bound.cast("double"))
+def top_products(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
+    """The k highest integer inner products of each query among all other vectors, ties to the smaller id.
 
+    vectors: as integer_vectors makes them; is_query: which rows ask.  Returns (query_id long, rank
+    int from 1, vec_id long, score long); fewer rows where fewer candidates have the query's dimension.  Empty tables give none.  Rows
+    that share an id are vectors of their own: each asks for itself, so their ranks repeat, and each is a candidate of the others.
+    Products are exact and ranked exactly, whatever their size; a score beyond 64 bits is returned as the nearest long.
 
-def top_products(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The k highest integer inner products of each query among all vectors but its own id, ties to the smaller id.
-
-    vectors and queries: as integer_vectors makes them, ids unique.  (query_id long, rank int from 1, vec_id long, score long); fewer
-    rows where fewer candidates have the query's dimension.  Empty tables give none.
-
-    Candidates are packed into blocks of 2,048 of like length, queries into blocks of 256.  First each query meets a few blocks of the
+    Candidates are packed into blocks of 2,048 of like length, queries into blocks of 256.  First each query meets two blocks of the
     greatest lengths, which gives its first threshold; then all other pairs of blocks whose lengths can still reach the weakest
-    threshold of the query block are searched, each in a task of its own.
+    threshold of the query block are searched.  Where all vectors have one length (normalised embeddings), only coordinates prune.
+    Pairs of blocks are dealt to a grid of tasks, whose sides follow the sizes of the two tables, so little is sent twice.
     """
     spark = vectors.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    numbered = stash(vectors.withColumn("row", F.monotonically_increasing_id()))
     bucket = F.floor(F.log(F.greatest("norm", F.lit(1e-9))) / WIDTH)
     # sorted runs of one dimension and one length bucket; a bucket that many vectors share is spread by its id
-    dealt = vectors.withColumn("_bucket", bucket).repartitionByRange(parts, "dim", F.col("_bucket").desc(), F.xxhash64("id")).sortWithinPartitions("dim", F.col("_bucket").desc())
-    blocks = stash(dealt.select("id", "v", "dim", "norm").mapInArrow(_pack(BLOCK), _BLOCKS))
+    dealt = numbered.withColumn("_bucket", bucket).repartitionByRange(parts, "dim", F.col("_bucket").desc(), F.xxhash64("row")).sortWithinPartitions("dim", F.col("_bucket").desc())
+    blocks = stash(dealt.select("row", "id", "v", "dim", "norm").mapInArrow(_pack(BLOCK), _BLOCKS))
+    queries = numbered.filter(is_query)
+    asking, total = queries.count(), numbered.count()
+    spread = max(1, -(-asking // QUERIES))
+    asked = queries.withColumn("_q", F.pmod(F.xxhash64("row"), F.lit(spread)))
+    # a grid of 4 cells a partition: few rows where queries are few
+    height = max(1, min(spread, round((4 * parts * asking / max(1, total)) ** 0.5)))
+    width = -(-4 * parts // height)
 
     def hits(asked: DataFrame, some: DataFrame) -> DataFrame:
-        packed = asked.groupBy("dim", "_q").agg(F.sort_array(F.collect_list(F.struct("id", "v", "least", "norm"))).alias("_rows"))
-        packed = packed.mapInArrow(_pack_queries, "dim int, q_ids binary, q_vectors binary, least binary, weakest double, q_top double")
-        # the stated query set meets all blocks: a copy of each query block for each slot, and slots hold a share of the blocks each
-        packed = packed.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(4 * parts - 1)))).withColumnRenamed("dim", "_dim")
-        slots = some.withColumn("_at", F.pmod(F.xxhash64("block", "dim"), F.lit(4 * parts)))
-        pairs = slots.join(packed, (F.col("_at") == F.col("_slot")) & (F.col("dim") == F.col("_dim")) & (F.col("weakest") <= F.col("q_top") * F.col("top") * (1 + 1e-9)))
-        return pairs.select("dim", "ids", "vectors", "q_ids", "q_vectors", "least").mapInArrow(_search(k), _HITS)
-
-    count = queries.count()
-    spread = max(1, -(-count // QUERIES))
-    asked = queries.withColumn("_q", F.pmod(F.xxhash64("id"), F.lit(spread)))
+        packed = asked.groupBy("dim", "_q").agg(F.collect_list(F.struct("row", "id", "v", "least", "norm")).alias("_rows"))
+        packed = packed.mapInArrow(_pack_queries, "dim int, q_block long, q_rows binary, q_ids binary, q_vectors binary, least binary, weakest double, q_top double")
+        packed = packed.withColumn("_line", F.pmod(F.xxhash64("q_block"), F.lit(height))).withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).withColumnRenamed("dim", "_dim")
+        slots = some.withColumn("_at", F.pmod(F.xxhash64("block"), F.lit(width))).withColumn("_height", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+        met = (F.col("_at") == F.col("_cell")) & (F.col("_height") == F.col("_line")) & (F.col("dim") == F.col("_dim"))
+        pairs = slots.join(packed, met & (F.col("weakest") <= F.col("q_top") * F.col("top") * (1 + 1e-9)))
+        return pairs.select("dim", "rows", "ids", "vectors", "q_rows", "q_ids", "q_vectors", "least").mapInArrow(_search(k), _HITS)
+
     by_top = Window.partitionBy("dim").orderBy(F.col("top").desc(), "block")
     firsts = blocks.select("dim", "block", "top").withColumn("_n", F.row_number().over(by_top)).filter("_n <= 2").select("dim", "block")
-    first = hits(_with_least(asked, None), blocks.join(firsts, ["dim", "block"], "left_semi"))
+    first = hits(asked.withColumn("least", F.lit(float("-inf"))), blocks.join(firsts, ["dim", "block"], "left_semi"))
     found = stash(_best(first, k))
-    least = found.filter(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("least"))
-    rest = hits(_with_least(asked, least), blocks.join(firsts, ["dim", "block"], "left_anti"))
-    both = found.select("query_id", "vec_id", "score").unionByName(rest)
+    # the k-th best score so far as a double that isn't above it; a score that was cut from below is no bound
+    score = F.col("score").cast("double")
+    bound = F.when(F.col("score") > -(2**63), score - F.abs(score) * 1e-15)
+    least = found.filter(F.col("rank") == k).select(F.col("q_row").alias("row"), bound.alias("least"))
+    rest = hits(asked.join(least, "row", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))), blocks.join(firsts, ["dim", "block"], "left_anti"))
+    both = found.select("q_row", "query_id", "vec_id", "score", "beyond").unionByName(rest)
     return _best(both, k).select("query_id", "rank", "vec_id", "score")
 
 
 def _pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            rows = row["_rows"]
-            ids, least = np.array([r["id"] for r in rows], "<i8"), np.array([r["least"] for r in rows], "<f8")
-            vectors = np.array([r["v"] for r in rows], "<i8")
+            asked = sorted(row["_rows"], key=lambda r: r["row"])
+            rows, ids, least, vectors = (np.array([r[x] for r in asked], t) for x, t in (("row", "<i8"), ("id", "<i8"), ("least", "<f8"), ("v", "<f8")))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row["dim"]], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary()), pa.array([least.tobytes()], pa.binary()), pa.array([float(least.min())]), pa.array([max(r["norm"] for r in rows)])],
-                names=["dim", "q_ids", "q_vectors", "least", "weakest", "q_top"],
+                [pa.array([row["dim"]], pa.int32()), pa.array([row["_q"]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (rows, ids, vectors, least)), pa.array([float(least.min())]), pa.array([max(r["norm"] for r in asked)])],
+                names=["dim", "q_block", "q_rows", "q_ids", "q_vectors", "least", "weakest", "q_top"],
             )
 
 
 def norm_bucket_topk(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5) -> DataFrame:
     """top_products over a table's integer vectors; queries are the rows whose id is divisible by `every`."""
-    vectors = stash(integer_vectors(df, key, vector))
-    return top_products(vectors, vectors.filter(F.col("id") % every == 0), k)
+    return top_products(integer_vectors(df, key, vector), F.col("id") % every == 0, k)

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -150,6 +152,26 @@ def test_topk_against_brute_force(spark, monkeypatch):
     assert topk.norm_bucket_topk(df.limit(0)).count() == 0
 
 
+def test_topk_of_large_components_and_repeated_ids(spark):
+    """All finite vectors take part, products are exact where neither doubles nor longs hold them, and rows of one id are rows of their own."""
+    import math
+
+    rng = np.random.default_rng(6)
+    sizes = [1.0, 1e3, 2e7, 3e9, 1e30]
+    rows = [(i % 90, (rng.normal(size=4) * sizes[i % 5]).astype(np.float32).tolist()) for i in range(180)]
+    rows += [(200, [3.0e38, -3.0e38, 3.0e38, 1.0]), (201, [-3.0e38, 3.0e38, -3.0e38, 1.0]), (0, rows[0][1])]
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.norm_bucket_topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    whole = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows]
+    want = Counter()
+    for at, (q, v) in enumerate(whole):
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for n, (c, w) in enumerate(whole) if n != at)[:5]
+            want.update((q, i, c, min(max(-s, -(2**63)), 2**63 - 1)) for i, (s, c) in enumerate(scores, 1))
+    assert got == want
+    keys = [topk._sortable(x) for x in (-(2**200), -(2**70) - 1, -(2**70), -(2**63))] + [topk._sortable(x) for x in (2**63, 2**70, 2**70 + 1, 2**200)]
+    assert keys == sorted(keys)
+
+
 def test_both_prunings_keep_the_best():
     rng = np.random.default_rng(5)
     c = rng.integers(-50, 50, (400, 6))
@@ -158,6 +180,7 @@ def test_both_prunings_keep_the_best():
     s[np.arange(20), np.arange(20)] = -(10**9)
     best = np.sort(s, axis=1)[:, -3:]
     for least in (np.full(20, -np.inf), best[:, 0].astype(float), best[:, 2].astype(float)):
-        a, b, v = topk.search_block(np.arange(20), q, least, np.arange(400), c, 3)
+        rows, a, b, v = map(np.array, topk.search_block(np.arange(20), np.arange(20), q.astype(float), least, np.arange(400), np.arange(400), c.astype(float), 3))
+        assert (rows == a).all()
         for i in range(20):
             assert sorted(v[a == i]) == sorted(x for x in best[i] if x >= least[i])
