@@ -6,10 +6,10 @@ arc leads to the same state from everywhere, and a state is the chain of copies
 merge's number.  An arc w = uv exists in a state if u's arc existed there when w was made, hence a walk down the left parts of w
 answers whether it exists; the answers are kept in a table of (state, token).
 
-The paths of that automaton over bytes are followed deterministically too: a byte state holds the places in the current word where a
-token can still be under way (its trie node and the automaton's state there).  For each prefix of a word exactly one token ends a
-correct tokenization of it; a byte state is labelled with it.  Byte states and their transitions are made when first met, so texts
-are encoded by table look-ups: one per byte of a new word, one per word that was seen before.  Decoding emits the arcs' labels.
+A word is encoded by following arcs: at each place, the tokens that begin there are found in the vocabulary's trie, and the longest whose
+arc exists is taken.  Every path from the start spells the one correct tokenization of its text, so each place of a word has one path at
+most: where no arc leads on, the place is given up for good and the token before it is replaced by a shorter one.  The words of a text
+that were met before are looked up.  Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 
 from tesela.llm.common import release, whole_row
 
-#: Words whose ids a worker keeps, and byte states it keeps; both tables start anew when full.
-MAX_WORDS, MAX_STATES = 200_000, 80_000
+#: Bytes of the words that a worker keeps in each of two generations, and characters of the longest word that is kept.
+WORD_BYTES, LONGEST = 40 << 20, 500
+#: Answers about arcs that a worker keeps; they start anew when full.
+MAX_ARCS = 150_000
 
 #: Rows of a batch that are Python objects at once.
 SLICE = 256
@@ -60,10 +63,9 @@ class BpeAutomaton:
         self.labels, self.specials = labels, specials
         self._specials = re.compile("|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True))) if specials else None
         self._compile(merges)
-        self._trie(merges)
-        self._reset()
-        self._words = _Words(self)
-        self._counts = _Counts(self)
+        self._trie()
+        self._words = _Memo(lambda word: np.array(self.encode_word(word.encode("utf-8", "replace")), "<u4").tobytes())
+        self._counts = _Memo(lambda word: len(self.encode_word(word.encode("utf-8", "replace"))))
 
     @classmethod
     def from_json(cls, text: str) -> BpeAutomaton:
@@ -85,7 +87,7 @@ class BpeAutomaton:
         self._after = [0] * n  # the state to which a token's arc leads
         self._parts: list[tuple[int, int] | None] = [None] * n  # (left part, number of the merge)
         self._removed: list[dict[int, int]] = [{}]  # of each state: the arcs removed, with the merge's number
-        self._arcs: dict[tuple[int, int], bool] = {}
+        self._arcs: dict[int, bool] = {}
         leads = [n + 1]  # arcs that lead to each state; the start has one from outside
         for time, (u, v, w) in enumerate(merges):
             if self._parts[w] is None:
@@ -103,26 +105,27 @@ class BpeAutomaton:
                     q = self._after[u] = len(leads) - 1
                 # a state that only u leads to is its own copy
                 self._removed[q][v] = time
-                self._arcs.pop((q, v), None)
+                self._arcs.pop(q << 32 | v, None)
         self._arcs.clear()  # the last word on each arc is only known now
 
     def _has_arc(self, state: int, token: int) -> bool:
-        known = self._arcs.get((state, token))
+        key = state << 32 | token
+        known = self._arcs.get(key)
         if known is None:
             removed, part, known = self._removed[state], token, token not in self._removed[state]
             while known and (made := self._parts[part]) is not None:
                 part, time = made
                 known = removed.get(part, time + 1) > time
-            if len(self._arcs) > 4 * MAX_STATES:
+            if len(self._arcs) >= MAX_ARCS:
                 self._arcs.clear()
-            self._arcs[state, token] = known
+            self._arcs[key] = known
         return known
 
-    def _trie(self, merges: list[tuple[int, int, int]]) -> None:
+    def _trie(self) -> None:
         """Nodes of the vocabulary's trie by (node, byte), and the token that ends at a node."""
         self._child: dict[int, int] = {}
         self._token: list[int] = [-1]
-        self._inner: list[bool] = [False]
+        self._sizes = [len(label or b"") for label in self.labels]
         special = set(self.specials.values())
         for i, label in enumerate(self.labels):
             if label and i not in special:
@@ -132,52 +135,37 @@ class BpeAutomaton:
                     if nxt is None:
                         nxt = self._child[node << 8 | b] = len(self._token)
                         self._token.append(-1)
-                        self._inner.append(False)
-                        self._inner[node] = True
                     node = nxt
                 self._token[node] = i
 
-    def _reset(self) -> None:
-        self._states: dict[tuple, int] = {((0, 0),): 0}
-        self._active: list[tuple] = [((0, 0),)]
-        self._last: list[int] = [-1]
-        self._step: dict[int, int] = {}
-
-    def _move(self, state: int, byte: int) -> int:
-        active, last = [], -1
-        for node, before in self._active[state]:
-            nxt = self._child.get(node << 8 | byte)
-            if nxt is not None:
-                token = self._token[nxt]
-                if token >= 0 and last < 0 and self._has_arc(before, token):
-                    last = token
-                if self._inner[nxt]:
-                    active.append((nxt, before))
-        active.append((0, self._after[last]))
-        key = (tuple(active), last)
-        made = self._states.get(key)
-        if made is None:
-            made = self._states[key] = len(self._active)
-            self._active.append(key[0])
-            self._last.append(last)
-        self._step[state << 8 | byte] = made
-        return made
-
     def encode_word(self, word: bytes) -> list[int]:
         """The ids of one pre-split word."""
-        if len(self._active) > MAX_STATES:
-            self._reset()
-        state, step, ends = 0, self._step, []
-        for byte in word:
-            nxt = step.get(state << 8 | byte)
-            state = self._move(state, byte) if nxt is None else nxt
-            ends.append(self._last[state])
-        out, at = [], len(word)
-        while at:
-            token = ends[at - 1]
-            out.append(token)
-            at -= len(self.labels[token])
-        out.reverse()
+        child, token_at, sizes, after, arcs = self._child.get, self._token, self._sizes, self._after, self._arcs.get
+        at, state, dead = 0, 0, set()
+        out: list[int] = []
+        before: list[tuple[int, int, list[int]]] = []  # of each token taken: where it begins, the state there, shorter tokens there
+        found = None
+        while at < len(word):
+            if found is None:
+                node, found = 0, []
+                for byte in word[at:]:
+                    node = child(node << 8 | byte)
+                    if node is None:
+                        break
+                    if token_at[node] >= 0:
+                        found.append(token_at[node])
+            while found:
+                token = found.pop()
+                known = arcs(state << 32 | token)
+                if (self._has_arc(state, token) if known is None else known) and at + sizes[token] not in dead:
+                    out.append(token)
+                    before.append((at, state, found))
+                    at, state, found = at + sizes[token], after[token], None
+                    break
+            else:
+                dead.add(at)
+                out.pop()
+                at, state, found = before.pop()
         return out
 
     def _pieces(self, text: str) -> Iterator[tuple[str, int]]:
@@ -192,7 +180,7 @@ class BpeAutomaton:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         out = []
         for piece, special in self._pieces(text):
-            out.extend(map(self._words.__getitem__, split_words(piece)))
+            out.append(b"".join(map(self._words.__getitem__, split_words(piece))))
             if special >= 0:
                 out.append(special.to_bytes(4, "little"))
         return b"".join(out)
@@ -202,35 +190,40 @@ class BpeAutomaton:
         return sum(sum(map(self._counts.__getitem__, split_words(piece))) + (special >= 0) for piece, special in self._pieces(text))
 
     def decode(self, ids: bytes) -> str:
-        """The text of ids written as by encode; bytes that aren't UTF-8 become U+FFFD."""
-        labels = self.labels
-        return b"".join([labels[i] for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
-
-
-class _Words(dict):
-    """A word's ids as bytes, encoded when first asked for."""
-
-    def __init__(self, automaton: BpeAutomaton):
-        self._automaton = automaton
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        ids = self._automaton.encode_word(word.encode("utf-8", "replace"))
-        made = self[word] = b"".join([i.to_bytes(4, "little") for i in ids])
-        return made
-
-
-class _Counts(dict):
-    """A word's number of ids."""
+        """The text of ids written as by encode; bytes that aren't UTF-8, ids without a label and a rest of fewer than 4 bytes become U+FFFD."""
+        labels, whole = self.labels, len(ids) & ~3
+        try:
+            parts = [labels[i] for i in memoryview(ids)[:whole].cast("I")]
+        except IndexError:
+            parts = [labels[i] if i < len(labels) else None for i in memoryview(ids)[:whole].cast("I")]
+        if whole < len(ids):
+            parts.append(None)
+        try:
+            return b"".join(parts).decode("utf-8", "replace")
+        except TypeError:
+            return b"".join([b"\xff" if x is None else x for x in parts]).decode("utf-8", "replace")
+
+
+class _Memo(dict):
+    """What make() gives for a word, made when first asked for.
+
+    Two generations of bounded bytes: a full one becomes the elder, and words of the elder that are met again are kept on.
+    """
 
-    def __init__(self, automaton: BpeAutomaton):
-        self._automaton = automaton
+    def __init__(self, make):
+        self._make, self._elder, self._bytes = make, {}, 0
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        made = self[word] = len(self._automaton.encode_word(word.encode("utf-8", "replace")))
+    def __missing__(self, word: str):
+        made = self._elder.get(word)
+        if made is None:
+            made = self._make(word)
+        if len(word) <= LONGEST:
+            # what Python takes for the word, what is made of it and their place, at least
+            self._bytes += 200 + 6 * len(word)
+            if self._bytes > WORD_BYTES:
+                self._elder, self._bytes = dict(self), 0
+                self.clear()
+            self[word] = made
         return made
 
 
@@ -302,7 +295,8 @@ def encode_checked(df: DataFrame, text: str, vocabulary: str) -> DataFrame:
 
 
 def decode_ids(df: DataFrame, ids: str, vocabulary: str) -> DataFrame:
-    """Decode ids written as by encode_texts: df with decoded string.  Null and empty ids give the empty text."""
+    """Decode ids written as by encode_texts: df with decoded string.  Null and empty ids give the empty text; ids outside the
+    vocabulary, a rest of fewer than 4 bytes and bytes that aren't UTF-8 become U+FFFD."""
 
     def texts(column: pa.Array) -> pa.Array:
         decode = automaton(vocabulary).decode

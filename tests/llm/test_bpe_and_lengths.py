@@ -86,3 +86,20 @@ def test_query_counts_as_the_library(spark):
     docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     want = Counter(len(PEER.encode(t, add_special_tokens=False).ids) for t in docs)
     assert {r.n_tokens: r.n_docs for r in op10_token_counts(spark, "/root/testdata/sf0.001").collect()} == dict(want)
+
+
+def test_decoding_ids_that_no_text_has():
+    table = bpe.automaton(VOCABULARY)
+    good = table.encode("abc d")
+    assert table.decode(good + b"\xff\xff\xff\xff" + good) == "abc d\ufffdabc d"
+    assert table.decode(good + b"\1\2") == "abc d\ufffd"
+    assert table.decode(b"") == ""
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "WORD_BYTES", 20_000)
+    memo = bpe._Memo(len)
+    for i in range(5000):
+        assert memo[f"w{i % 700}x"] == len(f"w{i % 700}x") and memo["often"] == 5
+        assert len(memo) + len(memo._elder) < 200
+    assert memo["y" * 100_000] == 100_000 and "y" * 100_000 not in memo
