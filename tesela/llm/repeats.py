@@ -3,7 +3,8 @@
 Every 200-byte string of a text belongs to one anchor: the leftmost place in it whose 32-byte hash is least.  Equal strings have equal
 anchors at equal offsets, so all matches of a string lie among the pieces of text around one anchor hash.  A piece is what an anchor
 owns: the union of its strings, at most 368 bytes.  The cluster counts anchors by hash; pieces of anchors that occur once can't repeat
-and go no further.  Equal pieces enter the index once, with their number.
+and go no further.  Equal pieces (by 128 bits of hash) are one from there on: where there are several, all their strings repeat, and only
+those of which the anchor has other pieces, too, enter the index, once.
 
 Blocks of pieces (all pieces of an anchor hash in one block) are indexed: their Burrows-Wheeler transform is cut into runs, and only at
 run ends are the text position and its neighbour in suffix order sampled.  Matching statistics are streamed from these samples: at a
@@ -12,7 +13,7 @@ because inside a run neighbours stay neighbours.  The longer of the matches with
 with any other place in the block; where it reaches 200 bytes, the string repeats.
 
 An anchor with too many different pieces for a block (a passage with many surroundings) is taken string by string instead: 128-bit
-hashes of its 200-byte strings are counted with partial sums.
+hashes of its 200-byte strings are counted with partial sums.  That is as exact: a string repeats if its hash occurs twice.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from tesela.llm.common import RangeHash, mixed, row_ranges, stash, text_bytes, w
 LENGTH, ANCHOR = 200, 32
 #: Bytes of text worked on at once; bytes of pieces in an indexed block; different pieces of one anchor that a block may hold.
 CHUNK, BLOCK_BYTES, MANY = 2 << 20, 1 << 20, 2000
+#: Portions of rows by which hot keys of a join are dealt, and rows of a portion at least.
+PORTIONS, LEAST_PORTION = 10_000, 1000
 #: Places whose keys fit 24 bits.
 SLICE = (1 << 24) - LENGTH
 
@@ -261,19 +264,33 @@ def _string_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted pieces of each text: rows (text, wanted: array of (anchor, content, start, strings))."""
+    """The wanted pieces of each text: rows (text, wanted: array of (anchor, content, many, start, strings))."""
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         raw = memoryview(data)
         wanted = batch.column("wanted")
         doc = np.repeat(np.arange(len(wanted)), np.asarray(wanted.value_lengths().fill_null(0)))
-        fields = {f: x.to_numpy() for f, x in zip(("anchor", "content", "start", "strings"), wanted.flatten().flatten(), strict=True)}
+        fields = {f: x.to_numpy(zero_copy_only=False) for f, x in zip(("anchor", "content", "many", "start", "strings"), wanted.flatten().flatten(), strict=True)}
         begin = offsets[doc] + fields["start"]
         end = begin + fields["strings"] - 1 + LENGTH
         for k in range(0, max(1, len(doc)), 20_000):
             s = slice(k, k + 20_000)
             pieces = [bytes(raw[a:b]) for a, b in zip(begin[s], end[s], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(fields["anchor"][s]), pa.array(fields["content"][s]), pa.array(pieces, pa.binary())], names=["anchor", "content", "piece"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(fields[f][s]) for f in ("anchor", "content", "many")), pa.array(pieces, pa.binary())], names=["anchor", "content", "many", "piece"])
+
+
+def _join_counted(rows: DataFrame, counted: DataFrame, on: list[str], spread: list[str]) -> DataFrame:
+    """rows joined with counted, a table with one row a key and n, the key's number of rows (dropped).
+
+    A key's rows are dealt in portions of a ten-thousandth of all rows, by the columns `spread`.  Keys of more than one portion are few,
+    10,000 at most, so their list is broadcast; their rows of counted are copied once a portion, which makes 20,000 copies at most.
+    """
+    portion = max((counted.agg(F.sum("n")).first()[0] or 0) / PORTIONS, LEAST_PORTION)
+    portions = F.ceil(F.col("n") / portion)
+    hot = F.broadcast(counted.filter(F.col("n") > portion).select(*on, portions.alias("_portions")))
+    dealt = rows.join(hot, on, "left").withColumn("_portion", F.when(F.col("_portions").isNotNull(), F.pmod(F.xxhash64(*spread), "_portions")).otherwise(0)).drop("_portions")
+    copies = counted.withColumn("_portion", F.explode(F.sequence(F.lit(0).cast("long"), portions - 1))).drop("n")
+    return dealt.join(copies, [*on, "_portion"]).drop("_portion")
 
 
 def repeated_ranges(texts: DataFrame) -> DataFrame:
@@ -282,30 +299,31 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     session = texts.sparkSession
     parts = max(1, int(session.conf.get("spark.sql.shuffle.partitions")))
     anchors = texts.select("text").mapInArrow(_anchors, "anchor long, n long")
-    often = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
-    pieces = stash(texts.mapInArrow(_pieces, _PIECES).join(often, "anchor"))
+    often = stash(anchors.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1"))
+    pieces = stash(_join_counted(texts.mapInArrow(_pieces, _PIECES), often, ["anchor"], ["key", "tag", "start"]))
     rep = F.struct("key", "tag", "start", "strings")
     kinds = stash(pieces.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(rep).alias("rep")))
-    mixed_kinds = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants")).filter("variants > 1")
-    several = stash(kinds.join(mixed_kinds, "anchor").select("anchor", "content", "variants", "rep.*"))
-    wanted = several.groupBy("key", "tag").agg(F.collect_list(F.struct("anchor", "content", "start", "strings")).alias("wanted"))
+    variants = stash(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("many", F.col("n") > MANY))
+    several = stash(_join_counted(kinds.select("anchor", "content", "rep"), variants, ["anchor"], ["content"]).select("anchor", "content", "many", "rep.*"))
+    wanted = several.groupBy("key", "tag").agg(F.collect_list(F.struct("anchor", "content", "many", "start", "strings")).alias("wanted"))
     # rows that repeat hold the same text: the pieces of any one do
-    found = texts.join(wanted, ["key", "tag"]).select("text", "wanted").mapInArrow(_cut, "anchor long, content long, piece binary")
-    cut = stash(found)
-    blocks = several.filter(F.col("variants") <= MANY)
-    total = blocks.agg(F.sum(F.col("strings") + LENGTH)).first()[0] or 0
+    found = texts.join(wanted, ["key", "tag"]).select("text", "wanted").mapInArrow(_cut, "anchor long, content long, many boolean, piece binary")
+    cut = stash(found.dropDuplicates(["anchor", "content"]))
+    total = several.filter(~F.col("many")).agg(F.sum(F.col("strings") + LENGTH)).first()[0] or 0
     n_blocks = max(parts, -(-int(total) // BLOCK_BYTES))
-    few = cut.join(mixed_kinds.filter(F.col("variants") <= MANY).select("anchor"), "anchor", "left_semi").dropDuplicates(["anchor", "content"])
-    dealt = few.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(n_blocks))).repartition(n_blocks, "block").sortWithinPartitions("block")
+    # at most MANY pieces of an anchor come together
+    dealt = cut.filter(~F.col("many")).withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(n_blocks))).repartition(n_blocks, "block").sortWithinPartitions("block")
     indexed = dealt.select("block", "anchor", "content", "piece").mapInArrow(_index_blocks, _RANGES)
-    many = cut.join(mixed_kinds.filter(F.col("variants") > MANY).select("anchor"), "anchor", "left_semi").dropDuplicates(["anchor", "content"])
-    strings = many.mapInArrow(_string_hashes, "anchor long, content long, at int, s1 long, s2 long")
-    again = strings.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("s1", "s2")
-    counted = strings.join(again, ["s1", "s2"]).select("anchor", "content", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
-    copies = kinds.filter("n > 1").select("anchor", "content", F.lit(0).alias("lo"), F.col("rep.strings").alias("hi"))
-    ranges = stash(copies.unionByName(indexed).unionByName(counted))
-    hits = pieces.join(ranges, ["anchor", "content"]).select("key", "tag", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") - 1 + LENGTH).alias("hi"))
-    return hits.groupBy("key", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    strings = stash(cut.filter("many").select("anchor", "content", "piece").mapInArrow(_string_hashes, "anchor long, content long, at int, s1 long, s2 long"))
+    again = stash(strings.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    counted = _join_counted(strings, again, ["s1", "s2"], ["content", "at"]).select("anchor", "content", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
+    # pieces that occur more than once repeat as a whole; of others, the ranges of their strings (169 at most)
+    ranges = indexed.unionByName(counted).groupBy("anchor", "content").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("rep.strings").alias("hi")))
+    marked = kinds.join(ranges, ["anchor", "content"], "left").select("anchor", "content", "n", F.when(F.col("n") > 1, whole).otherwise(F.col("ranges")).alias("ranges")).filter("ranges IS NOT NULL")
+    hits = _join_counted(pieces, stash(marked), ["anchor", "content"], ["key", "tag", "start"]).select("key", "tag", "start", F.explode("ranges").alias("r"))
+    spans = F.struct((F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") - 1 + LENGTH).alias("hi"))
+    return hits.groupBy("key", "tag").agg(F.collect_set(spans).alias("spans"))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
