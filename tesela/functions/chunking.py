@@ -8,9 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Places to cut at, the first that occurs in a text first; '' cuts anywhere.
+# Places to cut at, the first that occurs in a text first ('' cuts anywhere), and pipe tables.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
-
 _TABLE = re.compile(r"(?:^[ \t]*\|.*\|[ \t]*(?:\n|\Z)){2,}", re.M)
 
 

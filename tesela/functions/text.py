@@ -27,14 +27,14 @@ STOPWORDS_ES = (
 
 # What makes a heading, a pipe table, a claim, a compound question, and the sign of an answer without result.
 HEADING = (
-    r"(?dimu)^(?U:\s)*("
-    r"ART[IÍ]CULO(?U:\s)+(?U:\d)+[^\n]{0,120}"
-    r"|CAP[IÍ]TULO(?U:\s)+(?:[IVXLCDM]|(?U:\d))+[^\n]{0,120}"
-    r"|SECCI[OÓ]N(?U:\s)+[\p{L}\p{N}_\-\.]+[^\n]{0,120}"
-    r"|PARTE(?U:\s)+(?:[IVXLCDM]|(?U:\d))+[^\n]{0,120}"
-    r"|PASO(?U:\s)+(?U:\d)+[^\n]{0,120}"
-    r"|(?U:\d)+(?:\.(?U:\d)+){0,3}(?:\.|(?U:\s))+[A-Za-zÁÉÍÓÚÑáéíóúñ][^\n]{2,100}"
-    r"|[A-ZÁÉÍÓÚÑ]{3,}(?:(?U:\s)+(?:[A-ZÁÉÍÓÚÑ\-]|(?U:\d)){2,}){1,8}"
+    r"(?dimU)^\s*("
+    r"ART[IÍ]CULO\s+\d+[^\n]{0,120}"
+    r"|CAP[IÍ]TULO\s+[IVXLCDM\d]+[^\n]{0,120}"
+    r"|SECCI[OÓ]N\s+[\p{L}\p{N}_\-\.]+[^\n]{0,120}"
+    r"|PARTE\s+[IVXLCDM\d]+[^\n]{0,120}"
+    r"|PASO\s+\d+[^\n]{0,120}"
+    r"|\d+(?:\.\d+){0,3}[\.\s]+[A-Za-zÁÉÍÓÚÑáéíóúñ][^\n]{2,100}"
+    r"|[A-ZÁÉÍÓÚÑ]{3,}(?:\s+[A-ZÁÉÍÓÚÑ\d\-]{2,}){1,8}"
     r")"
 )
 TABLE = r"(?dm)(?:^[ \t]*\|.*\|[ \t]*(?:\n|\z)){2,}"
@@ -103,7 +103,8 @@ def contains_folded(text: Column, part: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Words of two or more characters in lower case that are no Spanish stop words; they keep their accents."""
     words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    return F.filter(words, lambda t: (F.length(t) > 1) & ~strip_accents(t).isin(STOPWORDS_ES))
+    bare = lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(strip_accents(t))  # noqa: E731  (ASCII words have no accents)
+    return F.filter(words, lambda t: (F.length(t) > 1) & ~bare(t).isin(STOPWORDS_ES))
 
 
 def chunk_id(source: Column, page: Column, index: Column) -> Column:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesela.functions.text import tokens
+from tesela.sources.stage import staged
 
 # The formula's constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -15,26 +18,50 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass
 class Bm25Index:
-    """lengths: (chunk_id, dl); postings: (chunk_id, term, tf); terms: (term, df, idf); stats: one row (n, avgdl, average_idf)."""
+    """chunks: (chunk_id, dl, counts: array<struct<term, tf>>); terms: (term, df, idf); stats: one row (n, avgdl, average_idf)."""
 
-    lengths: DataFrame
-    postings: DataFrame
+    chunks: DataFrame
     terms: DataFrame
     stats: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(chunk_id, term, tf, dl), one row for each term of a chunk."""
+        return self.chunks.select("chunk_id", "dl", F.explode("counts").alias("c")).select("chunk_id", "c.term", "c.tf", "dl")
+
+
+def _counted(rows: pa.Array) -> pa.Array:
+    """Each row's distinct terms with their numbers: the terms of a batch are numbered, and equal (row, number) pairs counted at once."""
+    sizes = np.asarray(rows.value_lengths().fill_null(0), np.int64)
+    coded = rows.flatten().dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    width = max(1, len(coded.dictionary))
+    pairs, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * width + code, return_counts=True)
+    ends = np.searchsorted(pairs, np.arange(len(sizes) + 1) * width)
+    entries = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pairs % width)), pa.array(tf, pa.int64())], ["term", "tf"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+
+
+def term_counts(text: Column) -> Column:
+    """array<struct<term, tf>> of a text, counted inside the row: no shuffle of its tokens."""
+    return F.arrow_udf(_counted, "array<struct<term:string,tf:bigint>>")(tokens(F.coalesce(text, F.lit(""))))
+
 
 def bm25_index(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> Bm25Index:
-    """Postings and statistics of a corpus.  Postings are summed before the shuffle by (chunk, term); the document counts by term."""
-    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks"))
-    lengths = rows.select("chunk_id", F.size("toks").cast("long").alias("dl"))
-    postings = rows.select("chunk_id", F.explode("toks").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    # df from each chunk's distinct terms: no shuffle by (chunk, term) is needed for it
-    df = rows.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """Term counts by chunk and statistics of a corpus.
+
+    Texts are read once: their counts are staged, and everything else reads these.  Only distinct terms with partial sums are shuffled.
+    """
+    counted = chunks.select(F.col(chunk_id).alias("chunk_id"), term_counts(F.col(text)).alias("counts"))
+    rows = staged(counted.select("chunk_id", F.aggregate("counts", F.lit(0).cast("long"), lambda n, c: n + c.tf).alias("dl"), "counts"))
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    df = rows.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # totals and averages are single rows
     raw = df.crossJoin(F.broadcast(totals)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    raw = staged(raw)
     average = raw.agg(F.avg("raw").alias("average_idf"))
     terms = raw.crossJoin(F.broadcast(average)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("average_idf")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(lengths, postings, terms, totals.crossJoin(F.broadcast(average)))
+    return Bm25Index(rows, terms, totals.crossJoin(F.broadcast(average)))
 
 
 def question_terms(questions: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:
@@ -46,9 +73,10 @@ def question_terms(questions: DataFrame, query_id: str = "query_id", text: str =
 def bm25_scores(index: Bm25Index, terms: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) of the chunks that hold a term of the question; all others score 0.
 
-    Only postings of asked terms are kept before anything is joined to them.
+    A chunk's counts meet the asked terms where they lie (those are as many as the questions have; Spark broadcasts them while they are
+    few), and all of a chunk's hits are summed in its task before the one shuffle, of a row for each pair of question and chunk.
     """
-    asked = terms.join(index.terms, "term").withColumn("gain", F.col("qn") * F.col("idf"))
-    hits = index.postings.join(asked.select("query_id", "term", "gain"), "term").join(index.lengths, "chunk_id").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    asked = terms.join(index.terms, "term").select("query_id", "term", (F.col("qn") * F.col("idf")).alias("gain"))
+    hits = index.postings.join(asked, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     part = F.col("gain") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))

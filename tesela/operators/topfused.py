@@ -17,30 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesela.operators import fusion
+from tesela.operators.vectors import cosine_distances, first_places, unit_distances, unit_rows
+from tesela.sources.stage import staged
 
 #: Questions whose vectors and candidates workers receive at once.
 QUESTIONS = 2048
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Vectors as rows of unit length in doubles; zero vectors and those of another width become NaN."""
-    out = np.full((len(column), width), np.nan)
-    sizes = np.asarray(column.value_lengths().fill_null(0))
-    good = np.flatnonzero(sizes == width)
-    if len(good):
-        flat = column.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        out[good] = flat.reshape(len(good), width)
-    norms = np.sqrt((out**2).sum(1, keepdims=True))
-    return out / np.where(norms == 0, np.nan, norms)
-
-
-def _distances(chunks: np.ndarray, questions: np.ndarray) -> np.ndarray:
-    """(questions, chunks), rounded; 1 where a vector is zero."""
-    d = np.round(1.0 - np.nan_to_num(questions @ np.nan_to_num(chunks).T), 9)
-    d[:, np.isnan(chunks[:, 0])] = 1.0
-    return d
-
-
 def _nearest(ids: list, questions: np.ndarray, most: int):
     """(query_id, chunk_id, distance) of each question's nearest chunks in each batch."""
 
@@ -49,16 +32,10 @@ def _nearest(ids: list, questions: np.ndarray, most: int):
             keys = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
             if not len(keys):
                 continue
-            d = _distances(_matrix(batch.column("vector"), questions.shape[1]), questions)
+            d = unit_distances(unit_rows(batch.column("vector"), questions.shape[1]), questions)
             q, c = [], []
             for i in range(len(ids)):
-                hits = np.arange(len(keys))
-                if len(hits) > most:
-                    cut = np.partition(d[i], most - 1)[most - 1]
-                    hits = np.flatnonzero(d[i] <= cut)
-                    if len(hits) > most:
-                        at = np.flatnonzero(d[i] == cut)
-                        hits = np.concatenate((np.flatnonzero(d[i] < cut), at[np.argsort(keys[at], kind="stable")]))[:most]
+                hits = first_places(d[i], keys, most)
                 q.append(np.full(len(hits), i))
                 c.append(hits)
             q, c = np.concatenate(q), np.concatenate(c)
@@ -75,7 +52,7 @@ def _count_nearer(ids: list, questions: np.ndarray, marks: list[tuple[np.ndarray
             keys = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
             if not len(keys):
                 continue
-            d = _distances(_matrix(batch.column("vector"), questions.shape[1]), questions)
+            d = unit_distances(unit_rows(batch.column("vector"), questions.shape[1]), questions)
             q, names, counts = [], [], []
             for i, (far, mark) in enumerate(marks):
                 if not len(far):
@@ -135,10 +112,8 @@ def top_fused(scores: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFr
     scores: (query_id, chunk_id, score), 0 without a row; vectors: (id, vector).  Scores below 0 (a vocabulary in which most terms occur
     in most chunks) go to fuse().
     """
-    scores = scores.withColumn("score", F.round("score", 9)).persist()
+    scores = staged(scores.withColumn("score", F.round("score", 9)))
     if not scores.filter("score < 0").isEmpty():
-        from tesela.operators.vectors import cosine_distances
-
         return fusion.fuse(scores, cosine_distances(query_vectors, chunk_vectors), chunk_ids, question_ids).filter(F.col("rank") < k)
     asked = [r[0] for r in question_ids.select("query_id").distinct().collect()]
     parts = [_block(scores, query_vectors, chunk_vectors, chunk_ids, asked[at : at + QUESTIONS], k) for at in range(0, max(1, len(asked)), QUESTIONS)]
@@ -167,7 +142,7 @@ def _block(scores: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame
     held = {r["query_id"]: r["vector"] for r in query_vectors.join(F.broadcast(questions), "query_id").select("query_id", "vector").collect()}
     ids = sorted(held)
     width = len(next(iter(held.values()))) if held else 1
-    matrix = _matrix(pa.array([held[i] for i in ids], pa.list_(pa.float64())), width) if ids else np.zeros((0, 1))
+    matrix = unit_rows(pa.array([held[i] for i in ids], pa.list_(pa.float64())), width) if ids else np.zeros((0, 1))
     hits = f"query_id {q_type}, chunk_id {c_type}, distance double"
     if ids:
         near = chunk_vectors.select("chunk_id", "vector").mapInArrow(_nearest(ids, matrix, most), hits)
@@ -175,14 +150,14 @@ def _block(scores: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame
         near = spark.createDataFrame([], hits)
     semantic = near.withColumn("v_rank", (F.row_number().over(per.orderBy("distance", "chunk_id")) - 1).cast("long")).filter(F.col("v_rank") < most)
     # at most 2 * most rows a question
-    found = lexical.join(semantic, ["query_id", "chunk_id"], "full_outer").persist()
+    found = staged(lexical.join(semantic, ["query_id", "chunk_id"], "full_outer"))
     # ranks among the distances of those found by words only
     by_words = found.filter(F.col("v_rank").isNull()).select("query_id", "chunk_id").join(chunk_vectors.select("chunk_id", "vector"), "chunk_id").collect() if ids else []
     marks: list[tuple[list, list]] = [([], []) for _ in ids]
     place = {q: i for i, q in enumerate(ids)}
     for r in by_words:
         if (i := place.get(r["query_id"])) is not None:
-            d = _distances(_matrix(pa.array([r["vector"]], pa.list_(pa.float64())), width), matrix[i : i + 1])[0, 0]
+            d = unit_distances(unit_rows(pa.array([r["vector"]], pa.list_(pa.float64())), width), matrix[i : i + 1])[0, 0]
             marks[i][0].append(d)
             marks[i][1].append(r["chunk_id"])
     arrays = [(np.array(d), np.array(c, dtype=object)) for d, c in marks]

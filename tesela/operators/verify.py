@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesela.functions import text
 
 
-def unsupported_claims(answers: DataFrame, key: str = "id", answer: str = "answer", context: str = "context") -> DataFrame:
-    """(key, kind, claim, at): claims that the context doesn't hold; at orders them.
+def unsupported(answer: Column, context: Column) -> Column:
+    """array<struct<at, kind, claim>> of an answer's claims that the context doesn't hold; at orders them.
 
-    Claims that read the same when normalised count once, the first; numbers that are trivial don't count.
+    Claims of a kind that read the same when normalised count once, the first; numbers that are trivial don't count.  All inside the row.
     """
-    rows = answers.select(F.col(key).alias("_key"), F.posexplode(text.claims(F.coalesce(F.col(answer), F.lit("")))).alias("at", "c"), text.normalized(F.coalesce(F.col(context), F.lit(""))).alias("_context"))
-    rows = rows.select("_key", "at", "c.kind", "c.claim", "_context").withColumn("_norm", text.normalized(F.col("claim")))
-    first = Window.partitionBy("_key", "kind", "_norm").orderBy("at")
-    rows = rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    trivial = (F.col("kind") == "numero") & F.regexp_replace("claim", "[^0-9]", "").isin(text.TRIVIAL_NUMBERS)
-    return rows.filter(~trivial & ~text.claim_in_context(F.col("claim"), F.col("_context"))).select(F.col("_key").alias(key), "kind", "claim", "at")
+    found = text.claims(F.coalesce(answer, F.lit("")))
+    named = F.transform(found, lambda c, i: F.struct(i.alias("at"), c.kind.alias("kind"), c.claim.alias("claim"), F.concat(c.kind, F.lit(" "), text.normalized(c.claim)).alias("name")))
+    names = F.transform(named, lambda c: c["name"])
+    firsts = F.filter(named, lambda c: F.array_position(names, c["name"]) == c["at"] + 1)
+    held = text.normalized(F.coalesce(context, F.lit("")))
+    trivial = lambda c: (c.kind == "numero") & F.regexp_replace(c.claim, "[^0-9]", "").isin(text.TRIVIAL_NUMBERS)
+    return F.transform(F.filter(firsts, lambda c: ~trivial(c) & ~text.claim_in_context(c.claim, held)), lambda c: F.struct(c["at"].alias("at"), c.kind.alias("kind"), c.claim.alias("claim")))
+
+
+def unsupported_claims(answers: DataFrame, key: str = "id", answer: str = "answer", context: str = "context") -> DataFrame:
+    """(key, kind, claim, at), a row for each claim that the context doesn't hold."""
+    rows = answers.select(key, F.explode(unsupported(F.col(answer), F.col(context))).alias("c"))
+    return rows.select(key, "c.kind", "c.claim", "c.at")
 
 
 def with_warnings(answers: DataFrame, key: str = "id", answer: str = "answer", context: str = "context") -> DataFrame:
     """answers with warnings, an ordered array<struct<kind, claim>>, empty where all is supported."""
-    found = unsupported_claims(answers, key, answer, context).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "kind", "claim"))).alias("_w"))
-    listed = F.transform("_w", lambda w: F.struct(w.kind.alias("kind"), w.claim.alias("claim")))
-    none = F.array().cast("array<struct<kind:string,claim:string>>")
-    return answers.join(found, key, "left").withColumn("warnings", F.coalesce(listed, none)).drop("_w")
+    return answers.withColumn("warnings", F.transform(unsupported(F.col(answer), F.col(context)), lambda w: F.struct(w.kind.alias("kind"), w.claim.alias("claim"))))
 
 
 def explode_warnings(log: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from tesela.operators.topfused import top_fused
 from tesela.plans import assistant
 from tesela.sources import files as file_ops
 from tesela.sources import snapshots
+from tesela.sources.stage import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,7 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS_ES) + "]"
@@ -556,7 +557,7 @@ SELECT count(*) AS n, round(avg(coalesce(recall, 0)), 6) AS recall_rate, 1.0::DO
 def eval_aggregate(spark, sf_dir):
     """Questions are passages: a source is expected if a document of it holds the passage, and the passage itself stands for the answer."""
     questions, corpus = _questions(spark, sf_dir), _corpus(spark, sf_dir)
-    holds = corpus.crossJoin(questions).filter(F.contains("text", F.col("question"))).groupBy("query_id").agg(F.collect_set("source").alias("expected_sources"))
+    holds = evaluation.passage_holders(corpus, questions).join(corpus.select("chunk_id", "source"), "chunk_id").groupBy("query_id").agg(F.collect_set("source").alias("expected_sources"))
     top = _top(spark, sf_dir, TOP_K).join(corpus, "chunk_id")
     ordered = F.array_sort(F.collect_list(F.struct("rank", "text")))
     got = top.groupBy("query_id").agg(F.collect_list("source").alias("sources"), F.array_join(F.transform(ordered, lambda x: x.text), "\n\n").alias("context"))

@@ -79,8 +79,21 @@ def test_scores(spark):
     assert (m.tp, m.fp, m.fn, m.precision, m.recall, m.f1) == (1, 1, 2, 0.5, 0.333, 0.4)
     cov = spark.createDataFrame([(["Límite 28"], ["limite", "zz"]), ([], [])], "i array<string>, k array<string>").select(evaluation.keyword_coverage(F.col("i"), F.col("k")).alias("c"))
     assert [r.c for r in cov.collect()] == [0.5, 1.0]
-    lat = spark.createDataFrame([(list(range(12)),)], "l array<int>").select(evaluation.harness_p95(F.col("l")).alias("p")).first().p
-    assert lat == 10
+
+
+def test_report_percentiles_by_group(spark):
+    rows = [("a", i) for i in range(12)] + [("b", 7), (None, 3), (None, 5), ("b", None)]
+    cases = spark.createDataFrame(rows, "g string, latency_ms long").selectExpr("*", "1.0D AS recall", "1.0D AS accuracy", "0.5D AS faithfulness", "0 AS n_warnings")
+    got = {r.g: (r.n, r.p50_ms, r.p95_ms) for r in evaluation.evaluation_report(cases, "g").collect()}
+    assert got == {"a": (12, 5, 10), "b": (2, 7, 7), None: (2, 4, 3)}
+    assert evaluation.evaluation_report(cases.filter("g = 'a'")).first().p95_ms == 10
+
+
+def test_passage_holders(spark):
+    texts = spark.createDataFrame([(1, "uno dos tres cuatro"), (2, "xuno dos tresx"), (3, "dos tres uno"), (4, None), (5, "a.b")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "uno dos tres"), (2, "dos tres"), (3, ""), (4, None), (5, "uno nada tres"), (6, ".")], "query_id long, question string")
+    got = {(r.query_id, r.chunk_id) for r in evaluation.passage_holders(texts, asked).collect()}
+    assert got == {(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 1), (3, 2), (3, 3), (3, 5), (6, 5)}
 
 
 def test_purge_boundary_and_bursts(spark):
