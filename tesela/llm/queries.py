@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesela.llm.curriculum import SCHEDULES
+from tesela.sources.stage import spread
 
 try:
     import public_tokenizers
@@ -18,7 +19,8 @@ except ModuleNotFoundError:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that comes in fewer splits than there are cores is dealt to all of them."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
