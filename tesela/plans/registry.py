@@ -97,9 +97,20 @@ def chunk_ids(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", text.chunk_id(F.col("source"), F.col("doc_id"), F.lit(0)).alias("chunk_id"))
 
 
-@query()
+_WITH_TABLE = "text || chr(10) || chr(10) || '| key | value |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' | x |' || chr(10) || chr(10) || 'fin ' || doc_id"
+
+
+@query(rf"""
+WITH cut AS (
+  SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS place
+  FROM (SELECT doc_id, string_split(regexp_replace({_WITH_TABLE}, '(?m)(?:^[ \t]*\|.*\|[ \t]*(?:\n|\z)){{2,}}', chr(1) || '\0' || chr(1), 'g'), chr(1)) AS parts FROM documents)
+), trimmed AS (SELECT doc_id, place, place % 2 = 0 AS is_table, regexp_replace(regexp_replace(part, '^\s+', ''), '\s+$', '') AS s FROM cut)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INTEGER) AS ord, is_table, CAST(length(s) AS INTEGER) AS n_chars, sha256(s) AS sha256 FROM trimmed WHERE s <> ''
+""")
 def table_segments(spark, sf_dir):
-    parts = documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.table_segments(F.col("text"))).alias("ord", "s"))
+    """Each document with a pipe table after it."""
+    table = F.concat(F.lit("\n\n| key | value |\n| --- | --- |\n| "), "doc_id", F.lit(" | x |\n\nfin "), "doc_id")
+    parts = documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.table_segments(F.concat("text", table))).alias("ord", "s"))
     return parts.select("doc_id", "ord", "s.is_table", F.length("s.text").alias("n_chars"), F.sha2("s.text", 256).alias("sha256"))
 
 
@@ -112,22 +123,23 @@ def recursive_chunks(spark, sf_dir):
     return chunk_ops.chunk_pages(_pages(spark, sf_dir)).select("chunk_id", "source", "page", "chunk_index", "section_hint", "is_table", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
 
 
-# RE2 twin of a simplified heading: a line that starts with two words of three and two ASCII letters or more
-_HEAD_RE2 = "(?im)^([A-Z]{3,} [A-Z]{2,})"
+# RE2 reads the heading pattern with its own flags; white space and digits are ASCII in these tables
+_HEAD_RE2 = text.HEADING.replace("(?dimU)", "(?im)")
+_BEFORE_RE2 = "(?im)\\A((?s:.*?))(?:" + text.HEADING.removeprefix("(?dimU)") + ")"
 
 
 @query(f"""
-WITH h AS (SELECT doc_id, source, regexp_extract_all(text, '{_HEAD_RE2}', 1) AS heads, text FROM documents),
-o AS (SELECT *, CASE WHEN len(heads) > 0 AND strpos(text, heads[1]) - 1 <= 0.33 * length(text) THEN heads[1] ELSE '' END AS own, CASE WHEN len(heads) > 0 THEN heads[-1] END AS lasth FROM h)
-SELECT doc_id, source, coalesce(nullif(own, ''), last_value(lasth IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS section_hint FROM o
+WITH h AS (
+  SELECT doc_id, source, text, list_transform(regexp_extract_all(text, '{_HEAD_RE2}', 1), lambda x: substr(trim(x, ' ' || chr(9) || chr(10) || chr(13)), 1, 120)) AS heads, length(regexp_extract(text, '{_BEFORE_RE2}', 1)) AS begins FROM documents
+), o AS (SELECT *, CASE WHEN len(heads) > 0 AND begins <= 0.33 * length(text) THEN heads[1] ELSE '' END AS own, CASE WHEN len(heads) > 0 THEN heads[-1] END AS lasth FROM h)
+SELECT doc_id, source, CAST(len(heads) AS INTEGER) AS n_headings, own, coalesce(nullif(own, ''), last_value(lasth IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS section_hint FROM o
 """)
 def section_hint_inherit(spark, sf_dir):
-    heads = F.regexp_extract_all("text", F.lit(r"(?dim)^([A-Z]{3,} [A-Z]{2,})"), F.lit(1))
-    rows = documents(spark, sf_dir).withColumn("heads", heads)
-    first = F.get("heads", 0)
-    own = F.when(first.isNotNull() & (F.instr("text", first) - 1 <= F.length("text") * 0.33), first).otherwise("")
-    rows = rows.select("doc_id", "source", own.alias("own"), F.try_element_at("heads", F.lit(-1)).alias("lasth"))
-    return rows.select("doc_id", "source", chunk_ops.inherited_hint(F.col("own"), F.col("lasth"), Window.partitionBy("source").orderBy("doc_id")).alias("section_hint"))
+    """Documents as pages of their source."""
+    heads = text.headings(F.col("text"))
+    rows = documents(spark, sf_dir).select("doc_id", "source", F.size(heads).alias("n_headings"), text.section_hint(F.col("text")).alias("own"), F.try_element_at(heads, F.lit(-1)).alias("lasth"))
+    hint = chunk_ops.inherited_hint(F.col("own"), F.col("lasth"), Window.partitionBy("source").orderBy("doc_id"))
+    return rows.select("doc_id", "source", "n_headings", "own", hint.alias("section_hint"))
 
 
 @query(r"""
@@ -457,18 +469,19 @@ def debounce_sessions(spark, sf_dir):
 
 # ---------------------------------------------------------------- synchronisation
 
-_OLD = "SELECT doc_id, 'f' || doc_id AS source, sha256(text) AS sha256 FROM documents WHERE doc_id % 5 <> 0"
-_NEW = "SELECT doc_id, 'f' || doc_id AS source, CASE WHEN doc_id % 7 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS sha256 FROM documents WHERE doc_id % 11 <> 0"
+_OLD = "SELECT doc_id, 'f' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '-old' ELSE '' END AS source, sha256(text) AS sha256 FROM documents"
+_NEW = "SELECT doc_id, 'f' || doc_id || CASE WHEN doc_id % 11 = 0 THEN '-new' ELSE '' END AS source, CASE WHEN doc_id % 7 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS sha256 FROM documents"
 _STATE = """SELECT coalesce(o.source, n.source) AS source,
   CASE WHEN o.source IS NULL THEN 'new' WHEN n.source IS NULL THEN 'deleted' WHEN o.sha256 = n.sha256 THEN 'unchanged' ELSE 'modified' END AS status, n.sha256 FROM o FULL JOIN n ON o.source = n.source"""
 
 
 def _versions(spark, sf_dir):
-    """Two versions of a folder: some files only in either, some changed."""
-    d = documents(spark, sf_dir).withColumn("source", F.concat(F.lit("f"), "doc_id"))
-    old = d.filter(F.col("doc_id") % 5 != 0).select("doc_id", "source", "text", F.sha2("text", 256).alias("sha256"))
+    """Two versions of a folder: some files bear a name that only one version knows, some changed."""
+    d = documents(spark, sf_dir)
+    named = lambda n, mark: F.concat(F.lit("f"), "doc_id", F.when(F.col("doc_id") % n == 0, mark).otherwise(""))
+    old = d.select("doc_id", named(5, "-old").alias("source"), "text", F.sha2("text", 256).alias("sha256"))
     changed = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    return old, d.filter(F.col("doc_id") % 11 != 0).select("doc_id", "source", changed.alias("text"), F.sha2(changed, 256).alias("sha256"))
+    return old, d.select("doc_id", named(11, "-new").alias("source"), changed.alias("text"), F.sha2(changed, 256).alias("sha256"))
 
 
 @query(f"WITH o AS ({_OLD}), n AS ({_NEW}) {_STATE}")
@@ -488,12 +501,14 @@ def sync_apply(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS version, CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0
+SELECT doc_id AS chunk_id, 'old' AS version, text FROM documents WHERE doc_id % 3 <> 0
+UNION ALL SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE -1 - doc_id END AS chunk_id, 'new' AS version, text || '!' AS text FROM documents
 """)
 def upsert_chunks(spark, sf_dir):
-    d = documents(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id")
-    old = d.filter(F.col("chunk_id") % 2 == 0).select("chunk_id", F.lit("old").alias("version"), "text")
-    new = d.filter(F.col("chunk_id") % 3 == 0).select("chunk_id", F.lit("new").alias("version"), F.concat("text", F.lit("!")).alias("text"))
+    """All documents, then all again: every third under its key, the rest under a new one."""
+    old = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.lit("old").alias("version"), "text")
+    key = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).otherwise(-1 - F.col("doc_id"))
+    new = documents(spark, sf_dir).select(key.alias("chunk_id"), F.lit("new").alias("version"), F.concat("text", F.lit("!")).alias("text"))
     return snapshots.upsert(snapshots.upsert(old, new), new)
 
 
@@ -616,3 +631,89 @@ def bbox_anti_join(spark, sf_dir):
     objects = li.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x0"), F.col("l_discount").alias("top"), (F.col("l_quantity") + 1).alias("x1"), (F.col("l_discount") + 0.01).alias("bottom"))
     boxes = li.filter("l_linenumber = 1").select("l_orderkey", (F.col("l_quantity") - 3).alias("x0"), (F.col("l_discount") - 0.03).alias("top"), (F.col("l_quantity") + 9).alias("x1"), (F.col("l_discount") + 0.04).alias("bottom"))
     return chunk_ops.outside_boxes(objects, boxes, ["l_orderkey"]).select("l_orderkey", "l_linenumber")
+
+
+# ---------------------------------------------------------------- plans around a model
+
+# The stand-in model repeats the start of its prompt, so a prompt that holds JSON gets it back as its answer.
+
+
+@query("""
+SELECT doc_id AS query_id, array_to_string(CASE doc_id % 3 WHEN 0 THEN ['¿Que es ' || source || '?', 'Como va ' || doc_id || '?'] WHEN 1 THEN ['Que es ' || source || ' y como va ' || doc_id || '? []'] ELSE ['¿Que es ' || source || '?'] END, '|') AS subs FROM documents
+""")
+def decompose_questions(spark, sf_dir):
+    """A compound question with good parts, one without, and a simple one, by turns."""
+    from tesela.plans.retrieval import sub_questions
+
+    d = documents(spark, sf_dir)
+    listed = F.concat(F.lit("Que es y como va? [\"¿Que es "), "source", F.lit("?\", \"corta\", \"Como va "), "doc_id", F.lit("?\", \"\"]"))
+    bare = F.concat(F.lit("Que es "), "source", F.lit(" y como va "), "doc_id", F.lit("? []"))
+    asked = F.when(F.col("doc_id") % 3 == 0, listed).when(F.col("doc_id") % 3 == 1, bare).otherwise(F.concat(F.lit("¿Que es "), "source", F.lit("?")))
+    return sub_questions(d.select(F.col("doc_id").alias("query_id"), asked.alias("question")), models.echo_completer).select("query_id", F.array_join("subs", "|").alias("subs"))
+
+
+@query("""
+WITH e AS (SELECT event_id, value / 100 AS w FROM events), c AS (SELECT event_id, least(w, 1.0) AS a, 0.25::DOUBLE AS b FROM e)
+SELECT event_id, 'riesgo_mercado' AS label, round(b / greatest(a + b, 1.0), 4) AS weight FROM c
+UNION ALL SELECT event_id, 'riesgo_credito' AS label, round(a / greatest(a + b, 1.0), 4) AS weight FROM c WHERE a > 0
+""")
+def classify_texts(spark, sf_dir):
+    """Texts whose answers name two known labels, one of them twice, and an unknown one."""
+    value = F.col("value") / 100
+    answer = F.concat(F.lit('[{"label": "riesgo_credito", "weight": '), F.format_string("%.6f", value), F.lit('}, {"label": "otra", "weight": 1}, {"label": "Riesgo_Mercado", "weight": 0.25}, {"label": "riesgo_mercado", "weight": 0.9}]'))
+    out = assistant.classify(table(spark, sf_dir, "events").select("event_id", answer.alias("text")), "zero_shot", models.echo_completer)
+    return out.select("event_id", F.explode("labels").alias("x")).select("event_id", "x.label", "x.weight")
+
+
+_ITEMS = """
+WITH said AS (SELECT conv_id AS source, turn AS page, {0} AS item FROM conversations WHERE text IS NOT NULL),
+f AS (SELECT *, row_number() OVER (PARTITION BY source, lower(item) ORDER BY page) AS n FROM said WHERE item <> '')
+SELECT source, field, items FROM (
+  SELECT CAST(source AS VARCHAR) AS source, '{1}' AS field, string_agg(item, '|' ORDER BY page) AS items FROM f WHERE n = 1 GROUP BY source
+)
+"""
+_FIRST_WORD = r"regexp_extract(text, '[\pL\pN_]+')"
+
+
+def _model_chunks(spark, sf_dir, field):
+    """Turns as chunks whose answer lists the turn's first word in one field; the reducing prompt starts with no JSON object of its own."""
+    word = F.regexp_extract("text", text.TOKEN, 0)
+    body = F.to_json(F.create_map(F.lit(field), F.array(word)))
+    return table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select(F.col("conv_id").cast("string").alias("source"), F.col("turn").alias("page"), F.lit(0).alias("chunk_index"), body.alias("text"))
+
+
+def _reduces_to_nothing(system: str, user: str, temperature: float = 0.1, most: int = 1024) -> str:
+    """Repeats a chunk's prompt; has no answer to a reducing one, so the parts are merged."""
+    return "" if "Parciales:" in user else user[:most]
+
+
+def _listed(results: DataFrame) -> DataFrame:
+    return results.filter(F.size("items") > 0).select("source", "field", F.array_join("items", "|").alias("items"))
+
+
+@query(_ITEMS.format(_FIRST_WORD, "limites_regulatorios"))
+def extract_items(spark, sf_dir):
+    out = assistant.extract(_model_chunks(spark, sf_dir, "limites_regulatorios"), "zero_shot", _reduces_to_nothing)
+    return _listed(out)
+
+
+@query(_ITEMS.format(_FIRST_WORD, "decisiones"))
+def summarize_items(spark, sf_dir):
+    out = assistant.summarize(_model_chunks(spark, sf_dir, "decisiones"), "cot", _reduces_to_nothing)
+    return _listed(out)
+
+
+@query(r"""
+SELECT doc_id AS query_id, sha256(CASE WHEN doc_id % 2 = 0 THEN regexp_replace(substr('Contexto:' || chr(10) || '[Fragmento 1] Fuente: ' || source || ' | Pagina: ' || doc_id || ' | Seccion: (sin titulo)' || chr(10) || chr(10) || text
+  || chr(10) || chr(10) || 'Pregunta: Que dice ' || source || '?', 1, 1024), '\s+$', '') ELSE 'No encuentro esta informacion en los documentos indexados.' END) AS answer_sha256, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS n_sources FROM documents
+""")
+def answer_questions(spark, sf_dir):
+    """A question for each document; the document is its hit for every other one, the rest find nothing."""
+    from tesela.plans import retrieval
+
+    d = documents(spark, sf_dir)
+    questions = d.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("Que dice "), "source", F.lit("?")).alias("question"))
+    found = d.filter(F.col("doc_id") % 2 == 0)
+    hits = found.select(F.col("doc_id").alias("group_id"), F.lit(0).alias("place"), "source", F.col("doc_id").alias("page"), F.lit("").alias("section_hint"), "text", F.lit(0.5).alias("distance"))
+    out = retrieval.answer(questions, hits, models.echo_completer)
+    return out.select("query_id", F.sha2("answer", 256).alias("answer_sha256"), F.coalesce(F.array_size("sources"), F.lit(0)).alias("n_sources"))
