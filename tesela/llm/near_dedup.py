@@ -8,8 +8,8 @@ comes after the latest of the registers, since it can't change them any more.
 Candidates are texts that agree in all registers of a band.  Rather than all pairs of a bucket, each member is verified against the
 bucket's hub, the member with the largest buckets: among edited copies that is the text which the others stem from.  Members that are
 still in different classes after that are compared block by block: first the pair of each member with the highest estimate is
-verified, if that may reach the threshold, then, between what is still apart, all pairs, whatever their estimate.  So no link of a
-candidate pair is lost to the shortcut, and pairs inside a class are never listed.
+verified, if that may reach the threshold, then, between what is still apart, all pairs, inside the tasks that compare two blocks, which
+return links only.  So no link of a candidate pair is lost to the shortcut, and no pairs of a bucket are listed.
 """
 
 from __future__ import annotations
@@ -32,10 +32,12 @@ BANDS, ROWS = 24, 6
 REGISTERS = 384
 #: Words in a shingle, least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
-#: Least estimate at which a pair is verified before the last round, which verifies all: three standard errors (of 384 registers) under the least similarity.
+#: Least estimate at which a pair is verified before the last round: three standard errors (of 384 registers) under the least similarity.
 ESTIMATE = 0.739
-#: Members in a block of a bucket; likeliest partners of a member in each block that are verified first.
-BLOCK, LIKELIEST = 256, 1
+#: Least estimate at which the last round compares texts: a similar pair falls under it as rarely as 64-bit hashes collide (nine errors).
+CERTAIN = 0.6
+#: Members in a block of a bucket, without and with their texts; likeliest partners of a member in each block that are verified first.
+BLOCK, TEXTS, LIKELIEST = 256, 128, 1
 #: Bytes of text that are worked on at once, and bytes of pairs of texts (most texts are in several pairs).
 CHUNK, PAIRS_CHUNK = (1 << 20) - 1, 4 << 20
 #: Arrivals that are drawn at once after the first two of each shingle; bytes that a text counts at least, for its registers.
@@ -214,56 +216,93 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
 
 
-def _likely_pairs(most: int | None):
-    """(a, b) of the pairs of two blocks, rows (at, l, r) of member lists, whose classes differ; most: of each member of l, that many of
-    the highest estimates, if these may do; None: all.  A pair that shares several bands is told in the first of them, at, only."""
-
-    def members(blocks: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        rows = blocks.as_py()
-        return [x["tid"] for x in rows], np.array([x["root"] for x in rows], dtype=object), np.frombuffer(b"".join(x["sig"] for x in rows), np.uint16).reshape(len(rows), -1), np.array([x["bands"] for x in rows], np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, left, right in zip(batch.column("at").to_pylist(), batch.column("l"), batch.column("r"), strict=True):
-                l_tid, l_root, l_sig, l_bands = members(left)
-                r_tid, r_root, r_sig, r_bands = members(right)
-                out: tuple[list[bytes], list[bytes]] = ([], [])
-                for i, tid in enumerate(l_tid):
-                    hits = np.flatnonzero(r_root != l_root[i])
-                    hits = hits[~(r_bands[hits, :at] == l_bands[i, :at]).any(1)]
-                    if most is not None:
-                        alike = (r_sig[hits] == l_sig[i]).mean(1)
-                        best = np.argsort(-alike, kind="stable")[:most]
-                        hits = hits[best[alike[best] >= ESTIMATE]]
-                    for j in hits.tolist():
-                        out[0].append(max(tid, r_tid[j]))
-                        out[1].append(min(tid, r_tid[j]))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["a", "b"])
-
-    return run
-
-
-def _still_apart(members: DataFrame, roots: DataFrame, sigs: DataFrame, most: int | None, made: list[str]) -> DataFrame:
-    """(a, b): likely pairs of members of one bucket that are in different classes."""
+def _members(blocks: pa.ListScalar) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(tids, classes, registers, bands, texts) of a block."""
+    rows = blocks.as_py()
+    roots, bands = np.array([x["root"] for x in rows], dtype=object), np.array([x["bands"] for x in rows], np.int64)
+    return [x["tid"] for x in rows], roots, np.frombuffer(b"".join(x["sig"] for x in rows), np.uint16).reshape(len(rows), -1), bands, [x.get("text") for x in rows]
+
+
+def _partners(i: int, at: int, left: tuple, right: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(places in right, estimates) of the members of other classes than left's i-th, best first.  A pair that shares several bands is told
+    in the first of them, at, only."""
+    hits = np.flatnonzero(right[1] != left[1][i])
+    hits = hits[~(right[3][hits, :at] == left[3][i, :at]).any(1)]
+    alike = (right[2][hits] == left[2][i]).mean(1)
+    best = np.argsort(-alike, kind="stable")
+    return hits[best], alike[best]
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple, tuple]]:
+    for batch in batches:
+        for at, left, right in zip(batch.column("at").to_pylist(), batch.column("l"), batch.column("r"), strict=True):
+            yield at, _members(left), _members(right)
+
+
+def _likely_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of two blocks, rows (at, l, r) of member lists: each member of l with its likeliest partners of other classes in r."""
+    for at, left, right in _block_pairs(batches):
+        out: tuple[list[bytes], list[bytes]] = ([], [])
+        for i, tid in enumerate(left[0]):
+            hits, alike = _partners(i, at, left, right)
+            for j in hits[:LIKELIEST][alike[:LIKELIEST] >= ESTIMATE].tolist():
+                out[0].append(max(tid, right[0][j]))
+                out[1].append(min(tid, right[0][j]))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["a", "b"])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): similar pairs of two blocks, enough to join all classes that have one.
+
+    Every pair whose classes are still different is verified here, in the task, so only links leave it: fewer than its members.
+    """
+    for at, left, right in _block_pairs(batches):
+        texts = [(t or "").lower().encode() for t in (*left[4], *right[4])]
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int64)
+        owner, h, weight = weighted_shingles(np.frombuffer(b"".join(texts), np.uint8), offsets)
+        cut, weight = np.searchsorted(owner, np.arange(len(texts) + 1)), weight.astype(np.float64)
+        sets = [(h[cut[k] : cut[k + 1]], weight[cut[k] : cut[k + 1]]) for k in range(len(texts))]
+        joined: dict[bytes, bytes] = {}
+
+        def top(root: bytes, joined: dict[bytes, bytes] = joined) -> bytes:
+            while root in joined:
+                root = joined[root]
+            return root
+
+        out: tuple[list[bytes], list[bytes]] = ([], [])
+        for i, tid in enumerate(left[0]):
+            hits, alike = _partners(i, at, left, right)
+            for j in hits[alike >= CERTAIN].tolist():
+                mine, other = top(left[1][i]), top(right[1][j])
+                if mine != other and probability_jaccard(sets[i], sets[len(left[0]) + j], SIMILARITY - 1e-9) >= SIMILARITY - 1e-12:
+                    joined[max(mine, other)] = min(mine, other)
+                    out[0].append(max(tid, right[0][j]))
+                    out[1].append(min(tid, right[0][j]))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["a", "b"])
+        release()
+
+
+def _still_apart(members: DataFrame, roots: DataFrame, sigs: DataFrame, run, block: int, made: list[str]) -> DataFrame:
+    """(a, b): what run() finds in the pairs of blocks of members of one bucket that are in different classes; sigs: what it needs of them."""
     placed = members.join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left").select("band", "at", "tid", "hub", F.coalesce("root", "tid").alias("root"))
     main = placed.filter(F.col("tid") == F.col("hub")).select("band", F.col("root").alias("main"))
     sizes = placed.join(main, "band").groupBy("band").agg(F.min("main").alias("main"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("root") != F.col("main")).alias("others")).filter("others > 0")
     apart = placed.join(sizes, "band").join(sigs, "tid").withColumn("other", F.col("root") != F.col("main"))
-    # of a bucket's members outside its hub's class, and of those inside, blocks of about 256
-    blocks = F.ceil(F.when(F.col("other"), F.col("others")).otherwise(F.col("n") - F.col("others")) / BLOCK)
+    # of a bucket's members outside its hub's class, and of those inside, blocks of about that many
+    blocks = F.ceil(F.when(F.col("other"), F.col("others")).otherwise(F.col("n") - F.col("others")) / block)
     dealt = apart.withColumn("block", F.pmod(F.xxhash64("tid"), blocks))
-    kept = dealt.groupBy("band", "at", "other", "block").agg(F.collect_list(F.struct("tid", "root", "sig", "bands")).alias("rows"), F.first("n").alias("n"), F.first("others").alias("others"))
+    kept = dealt.groupBy("band", "at", "other", "block").agg(F.collect_list(F.struct("tid", "root", *[c for c in sigs.columns if c != "tid"])).alias("rows"), F.first("n").alias("n"), F.first("others").alias("others"))
     packed = stash(kept, made)
     # each block goes to the pairs of blocks that it is part of, which are keys of their own: a bucket's pairs are dealt over the cluster
-    last = F.ceil(F.col("others") / BLOCK) - 1
-    inside = F.ceil((F.col("n") - F.col("others")) / BLOCK) - 1
+    last = F.ceil(F.col("others") / block) - 1
+    inside = F.ceil((F.col("n") - F.col("others")) / block) - 1
     met = F.sequence("block", last)
     left = packed.filter("other").withColumn("pair", F.explode(F.concat(F.transform(met, lambda b: F.struct(F.lit(True).alias("other"), b.alias("r"))), F.transform(F.sequence(F.lit(0).cast("long"), inside), lambda b: F.struct(F.lit(False).alias("other"), b.alias("r"))))))
     left = left.select("band", "at", F.col("pair.other").alias("other"), F.col("block").alias("l_block"), F.col("pair.r").alias("r_block"), F.col("rows").alias("l"))
     meets = F.when(F.col("other"), F.sequence(F.lit(0).cast("long"), "block")).otherwise(F.sequence(F.lit(0).cast("long"), last))
     right = packed.select("band", "other", F.explode(meets).alias("l_block"), F.col("block").alias("r_block"), F.col("rows").alias("r"))
     pairs = left.join(right, ["band", "other", "l_block", "r_block"])
-    return pairs.select("at", "l", "r").mapInArrow(_likely_pairs(most), "a binary, b binary").distinct()
+    return pairs.select("at", "l", "r").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _links(pairs: DataFrame, texts: DataFrame, made: list[str]) -> DataFrame:
@@ -296,13 +335,14 @@ def _classified(docs: DataFrame, key: str, text: str) -> DataFrame:
     texts = stash(found.select("tid", "text").dropDuplicates(["tid"]), made)
     links = _links(first, texts, made)
     roots = connected_components(links, made)
-    for most in (LIKELIEST, None):
-        pairs = stash(_still_apart(members, roots, distinct.select("tid", "sig", "bands"), most, made).join(first, ["a", "b"], "left_anti"), made)
-        more = _links(pairs, texts, made)
+    # first the likeliest pairs, then whatever is still in different classes
+    sigs = distinct.select("tid", "sig", "bands")
+    likely = stash(_still_apart(members, roots, sigs, _likely_pairs, BLOCK, made).join(first, ["a", "b"], "left_anti"), made)
+    for step in (lambda: _links(likely, texts, made), lambda: stash(_still_apart(members, roots, sigs.join(texts, "tid"), _block_links, TEXTS, made), made)):
+        more = step()
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = connected_components(links, made)
-        first = first.unionByName(pairs)
     classes = distinct.select("tid", "key", "n").join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     sizes = classes.groupBy("root").agg(F.min("key").alias("class_id"), F.sum("n").alias("class_size"))
     by_text = stash(classes.join(sizes, "root").select("tid", "class_id", "class_size", F.col("root").alias("_root")))

@@ -73,16 +73,22 @@ def test_exact_similarity_and_estimate():
 def test_last_round_verifies_all_pairs_of_different_classes():
     import pyarrow as pa
 
-    def block(tid, root, register, bands):
-        return [{"tid": tid, "root": root, "sig": np.full(nd.REGISTERS, register, np.uint16).tobytes(), "bands": bands}]
+    base = [f"w{i}" for i in range(200)]
+    near, far = " ".join([*base[:199], "x"]), " ".join([*base[:100], *[f"y{i}" for i in range(100)]])
+    same, other = list(range(nd.BANDS)), list(range(100, 100 + nd.BANDS))
 
-    # no register agrees in the first pair; in the second all do, but no earlier band; the third shares an earlier band
-    far, same = list(range(nd.BANDS)), list(range(100, 100 + nd.BANDS))
-    left = [block(b"a", b"a", 1, far), block(b"c", b"c", 1, far), block(b"e", b"e", 1, far)]
-    right = [block(b"b", b"b", 2, same), block(b"d", b"d", 1, same), block(b"f", b"f", 1, far)]
-    batch = pa.RecordBatch.from_arrays([pa.array([3, 3, 3]), pa.array(left), pa.array(right)], names=["at", "l", "r"])
-    pairs = [(r["a"], r["b"]) for b in nd._likely_pairs(None)(iter([batch])) for r in b.to_pylist()]
-    assert pairs == [(b"b", b"a"), (b"d", b"c")]
+    def member(tid, root, text, bands):
+        offsets = np.array([0, len(text.encode())], np.int64)
+        owner, h, weight = nd.weighted_shingles(np.frombuffer(text.encode(), np.uint8), offsets)
+        sig = nd.prob_minhash(owner, h, weight.astype(float), 1, nd.REGISTERS)
+        return {"tid": tid, "root": root, "sig": (sig[0] & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), "bands": bands, "text": text}
+
+    # in the first pair of blocks c joins a, after which d, of a's class, need not be compared; the second's pair is told in another band
+    left = [[member(b"a", b"a", " ".join(base), same), member(b"d", b"a", near, same)], [member(b"e", b"e", near, same)]]
+    right = [[member(b"b", b"b", far, other), member(b"c", b"c", near, other)], [member(b"f", b"f", near, same)]]
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 3]), pa.array(left), pa.array(right)], names=["at", "l", "r"])
+    pairs = [(r["a"], r["b"]) for b in nd._block_links(iter([batch])) for r in b.to_pylist()]
+    assert pairs == [(b"c", b"a")]
 
 
 def test_edges_nulls_ties_and_clashing_columns(spark):
@@ -124,9 +130,9 @@ def test_blocks_of_a_large_bucket_meet_once(spark):
     """A bucket of several blocks: every pair of members in different classes is compared, whatever blocks they are in."""
     base = [f"w{i}" for i in range(60)]
     rows = [(k, " ".join(w if (i + k) % 60 else f"x{k}" for i, w in enumerate(base))) for k in range(40)]
-    block, nd.BLOCK = nd.BLOCK, 4
+    block, texts, nd.BLOCK, nd.TEXTS = nd.BLOCK, nd.TEXTS, 4, 3
     try:
         got = {r.doc_id: r.class_id for r in nd.near_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
     finally:
-        nd.BLOCK = block
+        nd.BLOCK, nd.TEXTS = block, texts
     assert got == brute_classes(rows)
