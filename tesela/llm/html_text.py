@@ -10,8 +10,10 @@ the parts inside it: headings that of the next one below, others that on which b
 
 from __future__ import annotations
 
+import bisect
 import html as html_entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,10 +74,46 @@ LONG, DENSE, SPARSE, LINKED = 12, 0.20, 0.08, 0.5
 #: Weight of a dense word in an article; share of the fullest part's weight from which a part is full; articles in articles that are told apart.
 MARKED, FULL, DEPTH = 2, 0.5, 8
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in SKIPPED}
-_PAIRS = {name: re.compile(rf"<(?P<close>/?){name}(?=[\s/>])(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I) for name in SKIPPED}
-_ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+#: Open elements that are told apart; what nests deeper counts as in the innermost of these.
+NESTED = 512
+
+_ATTRS = r"(?:[^>\"'<]|\"[^\"<]*+\"|'[^'<]*+')*+"
+# a tag without "<" inside is read at once; any other begins only, and TagEnds tells its end
+_TOKEN = re.compile(rf"<!--|<!\[CDATA\[|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/><]*+)(?:(?P<attrs>{_ATTRS})(?P<end>>))?|<[!?]", re.S)
+_ENDS = {name: re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I) for name in SKIPPED}
+_PAIRS = {name: re.compile(rf"<(?P<close>/?){name}(?=[\s/>])", re.I) for name in SKIPPED}
+_ATTR = re.compile(r"(?<![^\s=/>\"'])([^\s=/>\"']++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))")
+_QUOTES = re.compile(r"[>\"']")
+
+
+class TagEnds:
+    """Where a tag's closing bracket is: the first outside of quotes.  Found for all places of a page in one walk from its end, when first
+    asked for, so that quotes which never close don't make every tag read the rest of the page."""
+
+    def __init__(self, page: str):
+        self._page, self._places, self._ends = page, None, []
+
+    def after(self, at: int) -> int:
+        """The place of the bracket that closes a tag whose attributes begin at `at`; -1 if none does."""
+        if self._places is None:
+            self._places = [m.start() for m in _QUOTES.finditer(self._page)]
+            # of each bracket or quote: where a tag ends that reads it outside of quotes; in the one or the other kind of quotes
+            outside = single = double = -1
+            ends = []
+            for place in reversed(self._places):
+                kind = self._page[place]
+                if kind == ">":
+                    outside = place
+                elif kind == "'":
+                    outside, single = single, outside
+                else:
+                    outside, double = double, outside
+                ends.append(outside)
+            self._ends = ends[::-1]
+        k = bisect.bisect_left(self._places, at)
+        return self._ends[k] if k < len(self._places) else -1
+
+
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
 
@@ -110,15 +148,18 @@ def _is_outside(name: str, attrs: str) -> tuple[bool, bool]:
     return named, named
 
 
-def _skipped_to(page: str, name: str) -> dict[int, int]:
+def _skipped_to(page: str, name: str, tag_ends: TagEnds) -> dict[int, int]:
     """Where the content of each element of that name ends, by the end of its start tag; elements that don't end are left out."""
     open_at, ends = [], {}
     for m in _PAIRS[name].finditer(page):
+        end = tag_ends.after(m.end())
+        if end < 0:
+            continue
         if m["close"]:
             if open_at:
-                ends[open_at.pop()] = m.end()
-        elif not m["attrs"].endswith("/"):
-            open_at.append(m.end())
+                ends[open_at.pop()] = end + 1
+        elif page[end - 1] != "/":
+            open_at.append(end + 1)
     return ends
 
 
@@ -135,6 +176,7 @@ def page_blocks(page: str) -> list[tuple[str, int, int, str, bool, tuple[int, ..
     kind, at, articles, parts_named = "", 0, 0, 0
     named_in: list[tuple[int, ...]] = []  # of each block, the numbers of the elements around it that their names put outside
     skips: dict[str, dict[int, int]] = {}
+    tag_ends, opened, last = TagEnds(page), Counter(), page.rfind(">")
 
     def flush() -> None:
         if parts:
@@ -156,10 +198,23 @@ def page_blocks(page: str) -> list[tuple[str, int, int, str, bool, tuple[int, ..
             say(page[at:])
             break
         say(page[at : m.start()])
-        at = m.end()
-        if m["cdata"] is not None:
-            parts.append((m["cdata"], linked))
+        at, mark, attrs = m.end(), m[0], m["attrs"] or ""
+        if mark == "<!--":
+            at = page.find("-->", at) + 3 if page.find("-->", at) >= 0 else len(page)
+            continue
+        if mark == "<![CDATA[":
+            end = page.find("]]>", at)
+            parts.append((page[at : end if end >= 0 else len(page)], linked))
+            at = end + 3 if end >= 0 else len(page)
+            continue
         name = (m["name"] or "").lower()
+        if not m["end"]:
+            # a declaration, or a tag with "<" inside or without an end; without an end it is text
+            end = tag_ends.after(at) if name else (page.find(">", at) if at <= last else -1)
+            if end < 0:
+                say(mark)
+                continue
+            attrs, at = page[at:end], end + 1
         if not name:
             continue
         if m["close"]:
@@ -168,8 +223,9 @@ def page_blocks(page: str) -> list[tuple[str, int, int, str, bool, tuple[int, ..
             elif name in BLOCKS:
                 flush()
                 # the innermost open element of that name closes, unless a container between is open that it can't reach through
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1, -1, -1) if opened[name] else ():
                     if stack[i][0] == name:
+                        opened.subtract(x[0] for x in stack[i:])
                         del stack[i:]
                         break
                     if stack[i][0] in CONTAINERS and name not in CONTAINERS:
@@ -186,7 +242,7 @@ def page_blocks(page: str) -> list[tuple[str, int, int, str, bool, tuple[int, ..
             else:
                 # an element that closes itself or never ends takes no text with it
                 if name not in skips:
-                    skips[name] = _skipped_to(page, name)
+                    skips[name] = _skipped_to(page, name, tag_ends)
                 at = skips[name].get(at, at)
             continue
         if name == "a":
@@ -199,7 +255,7 @@ def page_blocks(page: str) -> list[tuple[str, int, int, str, bool, tuple[int, ..
             if name in VOID:
                 continue
             if stack and (name == stack[-1][0] and name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or stack[-1][0] == "p"):
-                stack.pop()  # these close themselves
+                opened[stack.pop()[0]] -= 1  # these close themselves
                 outside, article, names = stack[-1][1:] if stack else (False, (), ())
             inside = article
             if name in ("article", "main") and len(article) < DEPTH:
@@ -207,7 +263,7 @@ def page_blocks(page: str) -> list[tuple[str, int, int, str, bool, tuple[int, ..
                 inside = (*article, articles)
             # a page's header is outside, an article's own header counts only by its headings
             header = name == "header" or any(s[0] == "header" for s in stack)
-            is_outside, only_named = _is_outside(name, m["attrs"] or "")
+            is_outside, only_named = _is_outside(name, attrs)
             if only_named and len(names) < DEPTH:
                 parts_named += 1
                 names = (*names, parts_named)
@@ -215,7 +271,9 @@ def page_blocks(page: str) -> list[tuple[str, int, int, str, bool, tuple[int, ..
             article, kind = inside, name
             if header and inside and name not in HEADINGS and name == "header":
                 outside, names = False, ()
-            stack.append((name, outside, article, names))
+            if len(stack) < NESTED:
+                stack.append((name, outside, article, names))
+                opened[name] += 1
     flush()
     return _with_names(blocks, named_in) if parts_named else blocks
 
@@ -306,7 +364,8 @@ def main_text(page: str | None) -> str:
 def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with text string (never null) and n_chars long (its code points), from the whole html; columns of those names are replaced.
 
-    Pages are independent: no shuffle, and a batch holds Arrow's usual number of rows.
+    Pages are independent: no shuffle, and a batch holds Arrow's usual number of rows.  Null and empty pages give ''.  Time and memory grow
+    in proportion to a page, however broken: tags whose quotes never close are text, and nesting beyond NESTED elements isn't told apart.
     """
 
     @F.arrow_udf("struct<text:string,n_chars:bigint>")

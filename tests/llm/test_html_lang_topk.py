@@ -184,3 +184,30 @@ def test_both_prunings_keep_the_best():
         assert (rows == a).all()
         for i in range(20):
             assert sorted(v[a == i]) == sorted(x for x in best[i] if x >= least[i])
+
+
+BROKEN = ["<p a='", "<a<", "<!", "</script", "<svg", "<div>", "</p>", "<dd><dt>", "</h1>", "<p a=b c", "&#", "<![CDATA[", "<li><b>x</b>", '<i a="\'>', "<!-- ", "<script>"]
+
+
+@pytest.mark.parametrize("bit", BROKEN)
+def test_time_grows_with_the_page(bit):
+    import time
+
+    began = time.perf_counter()
+    html_text.main_text("<article><p>" + LONG + "</p>" + bit * (400_000 // len(bit)))
+    assert time.perf_counter() - began < 15
+    assert html_text.main_text(f"<article><p>{LONG}</p><p>{MORE}</p></article>{bit}{bit}").startswith(LONG)
+
+
+def test_ends_of_tags():
+    page = "<p a='x>y' b=\"<i>\">one</p><p title='it's>two"
+    ends = html_text.TagEnds(page)
+    for at in range(len(page) + 1):
+        quote, want = "", -1
+        for i in range(at, len(page)):
+            c = page[i]
+            if not quote and c == ">":
+                want = i
+                break
+            quote = ("" if c == quote else quote) if quote else (c if c in "'\"" else "")
+        assert ends.after(at) == want
