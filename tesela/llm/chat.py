@@ -35,47 +35,53 @@ def unescape_role(role: Column) -> Column:
     return F.array_join(halves, "\\")
 
 
-def reply_paths(messages: DataFrame) -> DataFrame:
-    """All root-to-leaf paths of reply trees: (tree, leaf, node, above long, path_score double).
+def reply_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
+    """Root-to-leaf paths of reply trees: (tree, leaf, branch int, path_score double, node, above long).
 
     messages: (tree string, node long, parent long, score double); tree and node together are unique, a root's parent is null or not
-    among the nodes.  above: steps from the node up to its leaf's place, 0 for the leaf; path_score: sum of the path's scores (null
-    counts as 0).  Iteration k joins the paths so far with the table of ancestors 2**k steps up, and that table with itself, so a
-    chain of n messages takes log2(n) rounds.  Nodes of a cycle have no root and no leaf and are not returned.
+    among the nodes.  path_score: sum of the path's scores (null counts as 0).  branch: the path's rank in its tree by score, highest
+    first, ties to the smaller leaf; branches keeps that many of each tree, None all.  above: steps from the node down to the leaf.
+
+    Table k has each node's ancestor 2**k steps up, made by joining table k - 1 with itself, so a chain of n messages takes log2(n)
+    rounds.  Leaves climb from the largest step to the smallest, adding scores up, and are ranked; only the paths of chosen leaves are
+    written out, again doubling.  Nodes of a cycle, and leaves that reach one, have no root: they are not returned.
     """
     nodes = stash(messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")))
-    known = nodes.select("tree", F.col("node").alias("parent"))
-    up = nodes.filter(F.col("parent").isNotNull()).select("tree", "node", "parent").join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("to"))
-    leaves = nodes.select("tree", "node").join(up.select("tree", F.col("to").alias("node")), ["tree", "node"], "left_anti")
-    paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above"))
+    known = nodes.select("tree", F.col("node").alias("parent"), F.col("score").alias("gain"))
+    # gain: the scores above the node, up to the ancestor's
+    up = stash(nodes.filter(F.col("parent").isNotNull()).select("tree", "node", "parent").join(known, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("to"), "gain"))
+    parents, ups = up, []
     # a path is no longer than its tree has nodes
     most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
-    for k in range(max(0, math.ceil(math.log2(most)))):
-        step = 1 << k
-        paths = paths.unionByName(paths.join(up, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("above") + step).alias("above")))
-        paths = stash(paths)
-        far = up.select("tree", F.col("node").alias("to"), F.col("to").alias("further"))
+    while 1 << len(ups) < most and not up.isEmpty():
+        ups.append(up)
+        far = up.select("tree", F.col("node").alias("to"), F.col("to").alias("further"), F.col("gain").alias("more"))
         # a self-join doubles its plan, so each round starts from a table
-        up = stash(up.join(far, ["tree", "to"]).select("tree", "node", F.col("further").alias("to")))
-    scored = paths.join(nodes.select("tree", "node", "score"), ["tree", "node"])
-    totals = scored.groupBy("tree", "leaf").agg(F.sum("score").alias("path_score"))
-    return paths.join(totals, ["tree", "leaf"])
+        up = stash(up.join(far, ["tree", "to"]).select("tree", "node", F.col("further").alias("to"), (F.col("gain") + F.col("more")).alias("gain")))
+    leaves = nodes.join(parents.select("tree", F.col("to").alias("node")), ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.col("score").alias("path_score"))
+    for step in reversed(ups):
+        climbed = leaves.join(step, ["tree", "node"], "left")
+        leaves = climbed.select("tree", "leaf", F.coalesce("to", "node").alias("node"), (F.col("path_score") + F.coalesce("gain", F.lit(0.0))).alias("path_score"))
+    rooted = leaves.join(parents.select("tree", "node"), ["tree", "node"], "left_anti")
+    best = Window.partitionBy("tree").orderBy(F.col("path_score").desc(), "leaf")
+    chosen = rooted.withColumn("branch", F.row_number().over(best))
+    if branches is not None:
+        chosen = chosen.filter(F.col("branch") <= branches)
+    chosen = stash(chosen.select("tree", "leaf", "branch", "path_score"))
+    paths = chosen.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("above"))
+    for k, step in enumerate(ups):
+        paths = stash(paths.unionByName(paths.join(step, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("above") + (1 << k)).alias("above"))))
+    return paths.join(chosen, ["tree", "leaf"])
 
 
 def format_paths(messages: DataFrame, branches: int | None = None, learned_role: str = "assistant") -> DataFrame:
     """Format reply trees: (tree, leaf, branch int, path_score, n_turns long, formatted string, loss_spans).
 
-    messages: those of reply_paths with role and text (null: empty) besides.  branch: the path's rank in its tree by score, highest
-    first, ties to the smaller leaf; branches keeps that many of each tree, None all.  loss_spans: array of (start, end) in code
+    messages: those of reply_paths with role and text (null: empty) besides; branch and branches as there.  loss_spans: array of (start, end) in code
     points of formatted, half open, one for the text of each message of learned_role; control marks and escapes of others are outside.
     Empty tables give none; other columns of messages don't matter, whatever their names.
     """
-    paths = reply_paths(messages)
-    best = Window.partitionBy("tree").orderBy(F.col("path_score").desc(), "leaf")
-    chosen = paths.filter(F.col("above") == 0).withColumn("branch", F.row_number().over(best))
-    if branches is not None:
-        chosen = chosen.filter(F.col("branch") <= branches)
-    paths = paths.join(chosen.select("tree", "leaf", "branch"), ["tree", "leaf"])
+    paths = reply_paths(messages, branches)
     empty = F.lit("")
     said = messages.select("tree", "node", escape_role(F.coalesce("role", empty)).alias("role"), escape(F.coalesce("text", empty)).alias("text"))
     turns = F.array_sort(F.collect_list(F.struct((-F.col("above")).alias("at"), F.col("role"), F.col("text"))))
