@@ -153,7 +153,7 @@ _POSITION = "CASE weight " + " ".join(f"WHEN {w} THEN {_inverse_sql('middle', kn
 # Water filling as a table of the sources; then each document's share of the passes over its source.
 _OP6_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, text, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), src AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -173,7 +173,7 @@ WITH sized AS (
   SELECT source, source_size, weight, CASE WHEN final IS NULL OR level <= final THEN cap ELSE weight * final END AS target FROM water, final
 ), placed AS (
   SELECT doc_id, size, source_size, weight, target, CAST(floor(target) AS BIGINT) AS whole,
-    CAST(coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+    CAST(coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM sized s JOIN target t ON s.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, first_part + greatest(least(whole - start - source_size, size), 0) AS taken, CASE WHEN first_part > 0 THEN round(@@, 6) END AS position

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -121,7 +122,44 @@ def test_reply_trees(spark):
     out = chat.format_paths(df).orderBy("tree", "branch").collect()
     assert [(r.tree, r.leaf, r.branch, r.n_turns) for r in out] == [("t", 3, 1, 3), ("t", 5, 2, 4), ("u", 9, 1, 1)]
     assert out[0].formatted == "<|im_start|>user\nm0<|im_end|>\n<|im_start|>assistant\nm1<|im_end|>\n<|im_start|>user\nm3<|im_end|>\n"
-    assert chat.format_paths(df, branches=1).count() == 2
+    assert [(r.tree, r.leaf) for r in chat.format_paths(df, branches=1).orderBy("tree").collect()] == [("t", 3), ("u", 9)]
+
+
+def test_reply_paths_match_brute_force(spark):
+    """Random forests, with ties of score, a cycle and a tail that hangs on it."""
+    rng = random.Random(5)
+    rows = [(t, n, rng.choice([None, *range(n)]) if n else None, rng.choice([None, 0.0, 0.5, 1.0])) for t in "abc" for n in range(40)]
+    rows += [("cycle", 1, 2, 1.0), ("cycle", 2, 1, 1.0), ("cycle", 3, 2, 1.0), ("cycle", 7, None, 0.5)]
+    parent, score = {(t, n): p for t, n, p, _ in rows}, {(t, n): s or 0.0 for t, n, _, s in rows}
+    paths = {}
+    for t, n, _, _ in rows:
+        path, at = [], n
+        while at is not None and at not in path:
+            path.append(at)
+            at = parent[t, at]
+        if at is None and all(parent[t, m] != n for t2, m in parent if t2 == t):
+            paths[t, n] = path
+    ranked = sorted(paths, key=lambda x: (x[0], -sum(score[x[0], m] for m in paths[x]), x[1]))
+    for most in (None, 2):
+        want, seen = set(), Counter()
+        for t, leaf in ranked:
+            seen[t] += 1
+            if most is None or seen[t] <= most:
+                want |= {(t, leaf, seen[t], sum(score[t, m] for m in paths[t, leaf]), m, i) for i, m in enumerate(paths[t, leaf])}
+        got = chat.reply_paths(spark.createDataFrame(rows, "tree string, node long, parent long, score double"), most)
+        assert Counter(tuple(r) for r in got.select("tree", "leaf", "branch", "path_score", "node", "above").collect()) == Counter(want)
+
+
+def test_training_order_settles_ties(spark):
+    """Null keys are dealt by their texts; documents of one position come in one order however the rows arrive."""
+    docs = spark.createDataFrame([(None if i % 2 else i, f"w{i} w", "abc"[i % 3]) for i in range(120)], "doc_id long, text string, source string")
+    runs = [[tuple(r) for r in curriculum.training_order(docs.repartition(n)).collect()] for n in (1, 6)]
+    assert runs[0] == runs[1]
+    taken = Counter()
+    for r in curriculum.mix_sources(docs).collect():
+        taken[r.source] += r.taken
+    # 360 words by 5, 2, 1: 225, 90, 45; a stops at 160, and 200 go to b and c by 2 to 1
+    assert taken == {"a": 160, "b": 133, "c": 66}
 
 
 def test_long_chain(spark):
