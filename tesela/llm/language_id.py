@@ -22,7 +22,7 @@ TABLE = 1 << 16
 #: Labels that a model may hold (256 MB of TABLE); with more, learning raises an error.  Labels whose counts are held at once.
 MAX_LANGUAGES, GROUP = 1024, 64
 #: Bytes of text that are worked on at once; steps of EM; pseudo-count of an n-gram; the weight of the penalty on each language.
-CHUNK, STEPS, SMOOTH, PENALTY = 1 << 20, 12, 0.1, 3.0
+CHUNK, STEPS, SMOOTH, PENALTY = 1 << 19, 12, 0.1, 3.0
 
 UNDETERMINED = "und"
 
@@ -79,9 +79,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = pa.array(np.flatnonzero(labels == label))
             data, offsets = text_bytes(batch.column("text").take(rows))
             counts = tables.setdefault(label, np.zeros(TABLE, np.int64))
-            for lo, hi in row_ranges(np.diff(offsets), 4 * CHUNK):
+            for lo, hi in row_ranges(np.diff(offsets), CHUNK):
                 grams, _, _ = _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 counts += np.bincount(grams, minlength=TABLE)
+        release()
     yield from told()
 
 
