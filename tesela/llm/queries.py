@@ -106,6 +106,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_table(stash(length_histogram(count_tokens(docs, "text", VOCABULARY))))
 
 
+def op11_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesela.llm.bisectors import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract_html": op1_extract_html,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_encode": op8_bpe_encode,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_bisector_clusters": op11_bisector_clusters,
 }
 
 _OP3_SQL = """
@@ -200,4 +207,30 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY folded) AS keep_id, count(*) OVER
 FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded FROM documents)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_topk_search": _OP3_SQL, "op6_mix_sources": _OP6_SQL, "op7_chat_format": _OP7_SQL, "op9_exact_dedup": _OP9_SQL}
+_ROUND_SQL = """
+a@ AS (
+  SELECT row, vec_id, v, min_by(c, d * 16 + c) AS c, min(d) AS d FROM (
+    SELECT row, vec_id, e.v, c.c, CAST(list_sum(list_transform(list_zip(e.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS HUGEINT) AS d FROM e, c@ c
+  ) GROUP BY row, vec_id, v
+)"""
+# floor of a quotient of integers of any sign
+_MEANS_SQL = """
+c@ AS (
+  SELECT c.c, coalesce(m.v, c.v) AS v FROM c& c LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY j) AS v FROM (
+      SELECT c, j, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a&) GROUP BY c, j
+    ) GROUP BY c
+  ) m ON m.c = c.c
+)"""
+_OP11_SQL = """
+WITH e AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM e WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT 16)
+), """ + ",".join((_ROUND_SQL + ("," + _MEANS_SQL.replace("@", str(r + 1)).replace("&", "@") if r < 3 else "")).replace("@", str(r)) for r in range(4)) + """
+SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (c)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_topk_search": _OP3_SQL, "op6_mix_sources": _OP6_SQL, "op7_chat_format": _OP7_SQL, "op9_exact_dedup": _OP9_SQL, "op11_bisector_clusters": _OP11_SQL}
