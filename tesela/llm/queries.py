@@ -112,6 +112,13 @@ def op11_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesela.llm.ranked import ranked_search
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract_html": op1_extract_html,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -124,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
     "op11_bisector_clusters": op11_bisector_clusters,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 _OP3_SQL = """
@@ -233,4 +241,26 @@ SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PA
 FROM a3 JOIN c3 USING (c)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_topk_search": _OP3_SQL, "op6_mix_sources": _OP6_SQL, "op7_chat_format": _OP7_SQL, "op9_exact_dedup": _OP9_SQL, "op11_bisector_clusters": _OP11_SQL}
+_TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP12_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, {_TERMS_SQL} AS terms FROM documents
+), s AS (
+  SELECT count(*) AS docs, CAST(sum(len(terms)) AS HUGEINT) AS total FROM d WHERE len(terms) > 0
+), post AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY row, term
+), q AS (
+  SELECT DISTINCT item, item_id, unnest({_TERMS_SQL}) AS term FROM (SELECT row_number() OVER () AS item, * FROM benchmark)
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM post GROUP BY term), s
+), m AS (
+  SELECT row, doc_id, CAST(50 + (50 * CAST(len(terms) AS HUGEINT) * docs) // total AS BIGINT) AS m FROM d, s
+), found AS (
+  SELECT item, item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN post USING (term) JOIN m USING (row) GROUP BY item, item_id, row, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM found WHERE score > 0
+) WHERE rank <= 50
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_topk_search": _OP3_SQL, "op6_mix_sources": _OP6_SQL, "op7_chat_format": _OP7_SQL, "op9_exact_dedup": _OP9_SQL, "op11_bisector_clusters": _OP11_SQL, "op12_ranked_search": _OP12_SQL}
