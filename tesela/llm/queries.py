@@ -119,6 +119,15 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesela.llm.quality import is_held_out, learn_quality, score_quality
+
+    docs, labels = table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = learn_quality(docs.select("doc_id", "text"), labels.filter(~is_held_out(F.col("doc_id"))))
+    held = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text")
+    return score_quality(held, model).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract_html": op1_extract_html,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -132,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_bisector_clusters": op11_bisector_clusters,
     "op12_ranked_search": op12_ranked_search,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 _OP3_SQL = """
