@@ -19,7 +19,8 @@ def fuse(bm25: DataFrame, distances: DataFrame, chunk_ids: DataFrame, question_i
 
     bm25: (query_id, chunk_id, score), chunks without a row score 0; distances: (query_id, chunk_id, distance), chunks without a row
     have distance 1 and no vector rank.  BM25 ties go to the smaller chunk_id, ties of the sum to the better BM25 rank.  Rankings are over
-    the whole corpus: questions are the unit of parallelism here, and top_fused() is the way to the first k without them.
+    the whole corpus: questions are the unit of parallelism here, and top_fused() and top_fused_groups() are the ways to the first k without
+    them.
     """
     every = chunk_ids.select("chunk_id").crossJoin(question_ids.select("query_id"))
     rows = every.join(bm25, ["query_id", "chunk_id"], "left").join(distances, ["query_id", "chunk_id"], "left")
@@ -64,4 +65,5 @@ def blend(hits: DataFrame, alpha: float, k: int, tie: str = "rank") -> DataFrame
     rows = hits.withColumn("_pool", pool).withColumn("_mix", mixed)
     rows = rows.withColumn("blended_score", F.when(F.col("_pool") > k, F.round("_mix", 4))).withColumn("rerank_score", F.when(F.col("_pool") > k, F.round("rerank_score", 4)))
     order = per.orderBy(F.when(F.col("_pool") > k, -F.round("_mix", 9)).otherwise(F.lit(0.0)), tie)
-    return rows.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < k).drop("_pool", "_mix")
+    rows = rows.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k)
+    return rows.withColumn("place", F.col("_place") - 1).drop("_pool", "_mix", "_place")

@@ -1,14 +1,19 @@
-"""The first k chunks of fused rankings, exactly, without ranking the corpus.
+"""The first k chunks of fused rankings, exactly, without ranking the corpus for each question.
 
-A chunk's fused score is 1 / (60 + lexical rank) + 1 / (60 + vector rank).  The first k of the lexical ranking score at least
+One question: a chunk's fused score is 1 / (60 + lexical rank) + 1 / (60 + vector rank).  The first k of the lexical ranking score at least
 1 / (59 + k) each, and a chunk beyond place P = 60 + 2k in both rankings at most 2 / (60 + P) = 1 / (60 + k), so the first k are among
-the first P of either.  Those two short lists come from partial top-P selections; the ranks of their members in the other ranking are
-counted, not sorted: each task counts which of its chunks come before each member, and the counts are summed.  Questions are a stated
-set and go to the workers in blocks; what a task returns grows with them, not with the corpus.
+the first P of either.  The ranks of these few in the other ranking are counted: each task counts which of its chunks come before each,
+and the counts are summed.
+
+Several questions: the second fusion adds 1 / (60 + place) over the questions' fused rankings, so every place counts.  A threshold
+algorithm reads both rankings of each question down to a depth.  Ranks within it are known, those beyond lie between it and the size of the
+corpus, which bounds each fused place and each sum, also of chunks not met yet.  A group is done once its first k are apart from each other
+and from all others, and their sums are known to nine places; the others are read deeper, at most down to the end, where all is known.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,176 +21,288 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesela.operators import blocks as blocks_of
 from tesela.operators import fusion
-from tesela.operators.vectors import cosine_distances, first_places, unit_distances, unit_rows
+from tesela.operators.blocks import Asked, Best, Blocks, arrow_type, firsts, meet, opened
+from tesela.operators.vectors import dot, norm
 from tesela.sources.stage import staged
 
-#: Questions whose vectors and candidates workers receive at once.
-QUESTIONS = 2048
+#: Places of each ranking that the threshold algorithm reads first, and how many times as many it reads next.
+DEPTH, DEEPER = 65_536, 16
+
+_FLOORS = ("floor_score", "floor_number", "floor_distance", "floor_at")
+
 
+def _floors(asked: Asked) -> list[np.ndarray]:
+    """Each question's least (score, number) and greatest (distance, number) of interest; open where it has none."""
+    if "floor_score" not in [f.name for f in asked.rows.type]:
+        n = len(asked.keys)
+        return [np.full(n, x) for x in (-np.inf, np.inf, np.inf, np.inf)]
+    return [asked.column(c, d) for c, d in zip(_FLOORS, (-np.inf, 2**62, np.inf, 2**62), strict=True)]
 
-def _nearest(ids: list, questions: np.ndarray, most: int):
-    """(query_id, chunk_id, distance) of each question's nearest chunks in each batch."""
+
+def _candidates(most: int, kind: pa.DataType):
+    """(query_id, chunk_id, number, score, distance): a task's first places of each question in either ranking."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[int, Asked] = {}
+        best: dict = {}
         for batch in batches:
-            keys = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
-            if not len(keys):
-                continue
-            d = unit_distances(unit_rows(batch.column("vector"), questions.shape[1]), questions)
-            q, c = [], []
-            for i in range(len(ids)):
-                hits = first_places(d[i], keys, most)
-                q.append(np.full(len(hits), i))
-                c.append(hits)
-            q, c = np.concatenate(q), np.concatenate(c)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), batch.column("chunk_id").take(pa.array(c)), pa.array(d[q, c])], names=["query_id", "chunk_id", "distance"])
+            for block in opened(batch, cache):
+                distances, numbers, ids = block.distances(), block.numbers(), block.chunk_ids()
+                low, low_at, far, far_at = _floors(block.asked)
+                for q, key in enumerate(block.asked.keys):
+                    score, _ = block.scores(q)
+                    d = distances[q]
+                    by_words = np.flatnonzero((score > low[q]) | ((score == low[q]) & (numbers <= low_at[q])))
+                    by_vector = np.flatnonzero((d < far[q]) | ((d == far[q]) & (numbers <= far_at[q])))
+                    for mine, keys, hit in zip(best.setdefault(key, (Best(most), Best(most))), (-score, d), (by_words, by_vector), strict=True):
+                        hit = firsts(keys, most, hit)
+                        hit = hit[keys[hit] <= mine.worst]
+                        if len(hit):
+                            mine.add(keys[hit], numbers[hit], [ids.take(pa.array(hit)), pa.array(score[hit]), pa.array(d[hit])])
+        for key, lists in best.items():
+            lists = [b for b in lists if len(b.keys)]
+            if lists:
+                numbers, at = np.unique(np.concatenate([b.numbers for b in lists]), return_index=True)
+                ids, score, d = (pa.concat_arrays(x).take(pa.array(at)) for x in zip(*[b.rest for b in lists], strict=True))
+                d = d.to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(numbers), kind), ids, pa.array(numbers), score, pa.array(d, mask=np.isnan(d))], names=["query_id", "chunk_id", "number", "score", "distance"])
 
     return run
 
 
-def _count_nearer(ids: list, questions: np.ndarray, marks: list[tuple[np.ndarray, np.ndarray]]):
-    """(query_id, chunk_id, n): of each marked chunk (distance, id), how many of a batch's chunks come before it."""
+def _before(keys: np.ndarray, numbers: np.ndarray, marks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many (key, number) come before each mark (key, number); NaN keys before none."""
+    return ((keys[None, :] < marks[:, None]) | ((keys[None, :] == marks[:, None]) & (numbers[None, :] < at[:, None]))).sum(1)
+
+
+def _count(kind: pa.DataType):
+    """(query_id, number, by_words, by_vector): how many of a task's chunks come before each mark of a question in either ranking."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[int, Asked] = {}
+        totals: dict = {}
         for batch in batches:
-            keys = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
-            if not len(keys):
-                continue
-            d = unit_distances(unit_rows(batch.column("vector"), questions.shape[1]), questions)
-            q, names, counts = [], [], []
-            for i, (far, mark) in enumerate(marks):
-                if not len(far):
-                    continue
-                row = np.sort(d[i])
-                n = np.searchsorted(row, far, "left")
-                for j in np.flatnonzero(np.searchsorted(row, far, "right") > n):
-                    n[j] += sum(k < mark[j] for k in keys[d[i] == far[j]])
-                q += [ids[i]] * len(far)
-                names += mark.tolist()
-                counts += n.tolist()
-            if q:
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(names, batch.column("chunk_id").type), pa.array(counts, pa.int64())], names=["query_id", "chunk_id", "n"])
+            for block in opened(batch, cache):
+                distances, numbers = block.distances(), block.numbers()
+                marked = block.asked.rows.field("marks")
+                for q, key in enumerate(block.asked.keys):
+                    if not marked[q].is_valid:
+                        continue
+                    at, own_score, own_distance = (marked[q].values.field(c).fill_null(np.nan).to_numpy(zero_copy_only=False) if c == "distance" else marked[q].values.field(c).to_numpy(zero_copy_only=False) for c in ("number", "score", "distance"))
+                    score, _ = block.scores(q)
+                    counts = np.stack((_before(-score, numbers, -own_score, at), _before(distances[q], numbers, own_distance, at)))
+                    totals[key] = (at, totals[key][1] + counts if key in totals else counts)
+        for key, (at, counts) in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), kind), pa.array(at), *(pa.array(c.astype(np.int64)) for c in counts)], names=["query_id", "number", "by_words", "by_vector"])
 
     return run
 
 
-def _count_better(marks: dict):
-    """(query_id, chunk_id, better, below): of each marked chunk (score, id), how many scored chunks of a batch come before it, and how
-    many have a smaller id."""
+def _listed(kind: pa.DataType):
+    """(query_id, numbers, scores, distances): of each question, the chunks of a batch within its floors, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[int, Asked] = {}
         for batch in batches:
-            queries = np.array(batch.column("query_id").to_pylist(), dtype=object)
-            keys = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
-            scores = batch.column("score").to_numpy()
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for query in set(queries.tolist()) & marks.keys():
-                at = np.flatnonzero(queries == query)
-                own, points = keys[at], scores[at]
-                for score, mark in marks[query]:
-                    below = own < mark
-                    out[0].append(query)
-                    out[1].append(mark)
-                    out[2].append(int(((points > score) | ((points == score) & below)).sum()))
-                    out[3].append(int(below.sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column("query_id").type), pa.array(out[1], batch.column("chunk_id").type), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], names=["query_id", "chunk_id", "better", "below"])
+            held: dict = {}
+            for block in opened(batch, cache):
+                distances, numbers = block.distances(), block.numbers()
+                low, low_at, far, far_at = _floors(block.asked)
+                for q, key in enumerate(block.asked.keys):
+                    score, _ = block.scores(q)
+                    d = distances[q]
+                    hit = np.flatnonzero((score > low[q]) | ((score == low[q]) & (numbers <= low_at[q])) | (d < far[q]) | ((d == far[q]) & (numbers <= far_at[q])))
+                    if len(hit):
+                        held.setdefault(key, []).append((numbers[hit], score[hit], d[hit]))
+            if held:
+                columns = [pa.array([np.concatenate([x[c] for x in parts]).tobytes() for parts in held.values()], pa.binary()) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), kind), *columns], names=["query_id", "numbers", "scores", "distances"])
 
     return run
 
 
-def _count_ids(marks: list):
-    """(chunk_id, n): how many ids of a batch are smaller than each mark; marks are sorted."""
+def _whole(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers, scores and distances of a question's rows."""
+    return tuple(np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)] or [np.zeros(0, t)]) for c, t in (("numbers", "<i8"), ("scores", "<f8"), ("distances", "<f8")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.sort(np.array(batch.column("chunk_id").to_pylist(), dtype=object))
-            n = np.searchsorted(keys, np.array(marks, dtype=object), "left") if len(keys) else np.zeros(len(marks), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(marks, batch.column("chunk_id").type), pa.array(n, pa.int64())], names=["chunk_id", "n"])
+
+def _cut(place: int):
+    """A question's floors: the chunks at a place of either ranking of the listed ones; open where there are fewer."""
+
+    def run(table: pa.Table) -> pa.Table:
+        numbers, scores, distances = _whole(table)
+        out = []
+        for keys, sign in ((-scores, -1.0), (distances, 1.0)):
+            order = np.lexsort((numbers, keys))[: int((~np.isnan(keys)).sum())]
+            out += [sign * keys[order[place]], numbers[order[place]]] if place < len(order) else [sign * np.inf, 2**62]
+        return pa.table([table.column("query_id").slice(0, 1), *(pa.array([x], t) for x, t in zip(out, (pa.float64(), pa.int64()) * 2, strict=True))], names=["query_id", *_FLOORS])
 
     return run
 
 
-def top_fused(scores: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame, chunk_ids: DataFrame, question_ids: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, rrf, distance, bm25_rank, rank) of the k best chunks of each question: fuse()'s rows with rank < k.
+def _with_floors(blocks: Blocks, questions: DataFrame, first: int | None = None, depth: int = 0) -> DataFrame:
+    """Questions with floors from a sample of blocks: those of the sample's `first` chunks of a ranking, which at least as many of the
+    corpus reach, or else of the place that about `depth` chunks of the corpus reach."""
+    kind, q_type = arrow_type(questions, "query_id"), questions.schema["query_id"].dataType.simpleString()
+    sample = staged(blocks.sample())
+    share = sample.agg(F.sum(F.size("chunk_ids"))).first()[0] / max(1, blocks.chunks)
+    place = (first or math.ceil(share * depth)) - 1
+    listed = meet(sample, questions).mapInArrow(_listed(kind), f"query_id {q_type}, numbers binary, scores binary, distances binary")
+    floors = listed.groupBy("query_id").applyInArrow(_cut(place), f"query_id {q_type}, floor_score double, floor_number long, floor_distance double, floor_at long")
+    return staged(questions.join(floors, "query_id", "left"))
 
-    scores: (query_id, chunk_id, score), 0 without a row; vectors: (id, vector).  Scores below 0 (a vocabulary in which most terms occur
-    in most chunks) go to fuse().
-    """
-    scores = staged(scores.withColumn("score", F.round("score", 9)))
-    if not scores.filter("score < 0").isEmpty():
-        return fusion.fuse(scores, cosine_distances(query_vectors, chunk_vectors), chunk_ids, question_ids).filter(F.col("rank") < k)
-    asked = [r[0] for r in question_ids.select("query_id").distinct().collect()]
-    parts = [_block(scores, query_vectors, chunk_vectors, chunk_ids, asked[at : at + QUESTIONS], k) for at in range(0, max(1, len(asked)), QUESTIONS)]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
 
+def top_fused(blocks: Blocks, questions: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, number, rrf, distance, bm25_rank, rank from 0) of the k best chunks of each question (query_id, terms, vector).
 
-def _block(scores: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame, chunk_ids: DataFrame, asked: list, k: int) -> DataFrame:
-    spark = scores.sparkSession
+    Scores and distances are rounded to nine places; ties of either ranking go to the smaller chunk_id, ties of the sum, rounded to twelve
+    places, to the better lexical rank.  Chunks without a vector have distance 1 and no vector rank, and so have all chunks of a question
+    without one.  Chunks that hold no term score 0.  Where there are many blocks, a sample of them gives thresholds for the first places.
+    """
+    kind, q_type = arrow_type(questions, "query_id"), questions.schema["query_id"].dataType.simpleString()
     most = fusion.RRF_K + 2 * k
-    q_type, c_type = (df.schema[c].dataType.simpleString() for df, c in ((scores, "query_id"), (chunk_ids, "chunk_id")))
-    questions = spark.createDataFrame([(q,) for q in asked], f"query_id {q_type}")
     per = Window.partitionBy("query_id")
-    positive = scores.filter("score > 0").join(F.broadcast(questions), "query_id")
-    # first places of the lexical ranking: scored chunks, then the smallest ids
-    scored = positive.withColumn("bm25_rank", F.row_number().over(per.orderBy(F.desc("score"), "chunk_id")) - 1).filter(F.col("bm25_rank") < most)
-    n_positive = questions.join(positive.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_positive")), "query_id", "left").na.fill(0, ["n_positive"])
-    few = n_positive.filter(F.col("n_positive") < most)
-    firsts = chunk_ids.select("chunk_id").orderBy("chunk_id").limit(2 * most)
-    zero = few.crossJoin(firsts).join(positive.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    zero = zero.withColumn("bm25_rank", F.col("n_positive") + F.row_number().over(per.orderBy("chunk_id")) - 1).filter(F.col("bm25_rank") < most)
-    lexical = scored.select("query_id", "chunk_id", "score", F.col("bm25_rank").cast("long").alias("bm25_rank")).unionByName(zero.select("query_id", "chunk_id", F.lit(0.0).alias("score"), F.col("bm25_rank").cast("long").alias("bm25_rank")))
-    # first places of the vector ranking
-    held = {r["query_id"]: r["vector"] for r in query_vectors.join(F.broadcast(questions), "query_id").select("query_id", "vector").collect()}
-    ids = sorted(held)
-    width = len(next(iter(held.values()))) if held else 1
-    matrix = unit_rows(pa.array([held[i] for i in ids], pa.list_(pa.float64())), width) if ids else np.zeros((0, 1))
-    hits = f"query_id {q_type}, chunk_id {c_type}, distance double"
-    if ids:
-        near = chunk_vectors.select("chunk_id", "vector").mapInArrow(_nearest(ids, matrix, most), hits)
-    else:
-        near = spark.createDataFrame([], hits)
-    semantic = near.withColumn("v_rank", (F.row_number().over(per.orderBy("distance", "chunk_id")) - 1).cast("long")).filter(F.col("v_rank") < most)
+    asked = staged(questions.select("query_id", "terms", "vector"))
+    floored = _with_floors(blocks, asked, first=most) if blocks.blocks > blocks_of.SAMPLE else asked
+    rows = meet(blocks.frame, floored).mapInArrow(_candidates(most, kind), f"query_id {q_type}, chunk_id {blocks.chunk_type}, number long, score double, distance double")
+    by_words, by_vector = (F.row_number().over(per.orderBy(*o)).cast("long") for o in ((F.desc("score"), "number"), (F.asc_nulls_last("distance"), "number")))
+    placed = rows.withColumns({"_l": by_words, "_v": by_vector}).filter((F.col("_l") <= most) | (F.col("distance").isNotNull() & (F.col("_v") <= most)))
     # at most 2 * most rows a question
-    found = staged(lexical.join(semantic, ["query_id", "chunk_id"], "full_outer"))
-    # ranks among the distances of those found by words only
-    by_words = found.filter(F.col("v_rank").isNull()).select("query_id", "chunk_id").join(chunk_vectors.select("chunk_id", "vector"), "chunk_id").collect() if ids else []
-    marks: list[tuple[list, list]] = [([], []) for _ in ids]
-    place = {q: i for i, q in enumerate(ids)}
-    for r in by_words:
-        if (i := place.get(r["query_id"])) is not None:
-            d = unit_distances(unit_rows(pa.array([r["vector"]], pa.list_(pa.float64())), width), matrix[i : i + 1])[0, 0]
-            marks[i][0].append(d)
-            marks[i][1].append(r["chunk_id"])
-    arrays = [(np.array(d), np.array(c, dtype=object)) for d, c in marks]
-    rows = [(ids[i], c, float(d)) for i, (ds, cs) in enumerate(marks) for d, c in zip(ds, cs, strict=True)]
-    nearer = spark.createDataFrame(rows, hits).withColumnRenamed("distance", "own")
-    if rows:
-        counted = chunk_vectors.select("chunk_id", "vector").mapInArrow(_count_nearer(ids, matrix, arrays), f"query_id {q_type}, chunk_id {c_type}, n long")
-        nearer = nearer.join(counted.groupBy("query_id", "chunk_id").agg(F.sum("n").alias("own_rank")), ["query_id", "chunk_id"])
-    else:
-        nearer = nearer.withColumn("own_rank", F.lit(0).cast("long"))
-    # ranks among the scores of those found by vector only
-    by_vector = found.filter(F.col("bm25_rank").isNull()).select("query_id", "chunk_id").join(positive, ["query_id", "chunk_id"], "left").na.fill(0.0, ["score"]).collect()
-    wanted: dict = {}
-    for r in by_vector:
-        wanted.setdefault(r["query_id"], []).append((r["score"], r["chunk_id"]))
-    better = spark.createDataFrame([(r["query_id"], r["chunk_id"], r["score"]) for r in by_vector], f"query_id {q_type}, chunk_id {c_type}, own_score double")
-    if by_vector:
-        counted = positive.select("query_id", "chunk_id", "score").mapInArrow(_count_better(wanted), f"query_id {q_type}, chunk_id {c_type}, better long, below long")
-        better = better.join(counted.groupBy("query_id", "chunk_id").agg(F.sum("better").alias("better"), F.sum("below").alias("below")), ["query_id", "chunk_id"], "left").na.fill(0, ["better", "below"])
-        unscored = sorted({r["chunk_id"] for r in by_vector if r["score"] == 0})
-        smaller = chunk_ids.select("chunk_id").mapInArrow(_count_ids(unscored), f"chunk_id {c_type}, n long").groupBy("chunk_id").agg(F.sum("n").alias("smaller"))
-        better = better.join(smaller, "chunk_id", "left").join(n_positive, "query_id")
-        rank = F.when(F.col("own_score") > 0, F.col("better")).otherwise(F.col("n_positive") + F.col("smaller") - F.col("below"))
-        better = better.select("query_id", "chunk_id", rank.alias("own_bm25"))
-    else:
-        better = better.select("query_id", "chunk_id", F.lit(0).cast("long").alias("own_bm25"))
-    ranked = found.join(nearer, ["query_id", "chunk_id"], "left").join(better, ["query_id", "chunk_id"], "left")
-    ranked = ranked.select("query_id", "chunk_id", F.coalesce("distance", "own").alias("distance"), F.coalesce("v_rank", "own_rank").alias("v_rank"), F.coalesce("bm25_rank", "own_bm25").alias("bm25_rank"))
+    found = staged(placed.withColumns({"_l": F.when(F.col("_l") <= most, F.col("_l") - 1), "_v": F.when(F.col("distance").isNotNull() & (F.col("_v") <= most), F.col("_v") - 1)}))
+    open_ones = found.filter(F.col("_l").isNull() | (F.col("_v").isNull() & F.col("distance").isNotNull()))
+    marks = open_ones.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("number", "score", "distance"))).alias("marks"))
+    counted = meet(blocks.frame, asked.join(marks, "query_id")).mapInArrow(_count(kind), f"query_id {q_type}, number long, by_words long, by_vector long")
+    summed = counted.groupBy("query_id", "number").agg(F.sum("by_words").alias("by_words"), F.sum("by_vector").alias("by_vector"))
+    ranked = found.join(summed, ["query_id", "number"], "left")
+    ranked = ranked.withColumns({"bm25_rank": F.coalesce("_l", "by_words"), "v_rank": F.when(F.col("distance").isNotNull(), F.coalesce("_v", "by_vector"))})
     ranked = ranked.withColumn("rrf", fusion.rrf_term(F.col("bm25_rank")) + F.coalesce(fusion.rrf_term(F.col("v_rank")), F.lit(0.0)))
-    place_of = F.row_number().over(per.orderBy(F.round("rrf", 12).desc(), "bm25_rank")) - 1
-    return ranked.select("query_id", "chunk_id", "rrf", F.coalesce("distance", F.lit(1.0)).alias("distance"), "bm25_rank", place_of.alias("rank")).filter(F.col("rank") < k)
+    ranked = ranked.withColumn("_n", F.row_number().over(per.orderBy(F.round("rrf", 12).desc(), "bm25_rank"))).filter(F.col("_n") <= k)
+    return ranked.select("query_id", "chunk_id", "number", "rrf", F.coalesce("distance", F.lit(1.0)).alias("distance"), "bm25_rank", (F.col("_n") - 1).cast("long").alias("rank"))
+
+
+def _term(rank: np.ndarray) -> np.ndarray:
+    return 1.0 / (fusion.RRF_K + rank)
+
+
+def _ranks(keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Places by (key, number)."""
+    out = np.empty(len(keys), np.int64)
+    out[np.lexsort((numbers, keys))] = np.arange(len(keys))
+    return out
+
+
+def fused_places(numbers: np.ndarray, scores: np.ndarray, distances: np.ndarray, floors: tuple[float, float, float, float], total: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(least and greatest fused place of each listed chunk, least place of any other), from the chunks that lie within the floors of
+    either ranking; total: the chunks of the corpus."""
+    none = np.isnan(distances)
+    if len(numbers) == total:
+        by_words = _ranks(-scores, numbers)
+        by_vector = np.where(none, 0, _ranks(np.where(none, np.inf, distances), numbers))
+        rrf = _term(by_words) + np.where(none, 0.0, _term(by_vector))
+        place = _ranks(-np.round(rrf, 12), by_words)
+        return place, place, total
+    within = []
+    for keys, floor, at in ((-scores, -floors[0], floors[1]), (distances, floors[2], floors[3])):
+        sure = (keys < floor) | ((keys == floor) & (numbers <= at))
+        depth = int(sure.sum())
+        rank = np.full(len(keys), depth)
+        rank[sure] = _ranks(keys[sure], numbers[sure])
+        within.append((sure, rank, depth))
+    (words, l_rank, l_depth), (near, v_rank, v_depth) = within
+    least = _term(np.where(words, l_rank, total - 1)) + np.where(none, 0.0, _term(np.where(near, v_rank, total - 1)))
+    most = _term(l_rank) + np.where(none, 0.0, _term(v_rank))
+    # behind an open floor there is nothing left, but for chunks without a vector
+    beyond = _term(np.array(l_depth)) + (0.0 if floors[2] == np.inf else _term(np.array(v_depth)))
+    room = 2e-12
+    low, high = np.sort(least), np.sort(most)
+    first = len(low) - np.searchsorted(low, most + room, "right")
+    last = len(high) - np.searchsorted(high, least - room, "left") - 1 + np.where(beyond + room < least, 0, total - len(numbers))
+    return first, last, int(len(low) - np.searchsorted(low, beyond + room, "right"))
+
+
+def group_sums(places: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """(numbers, least and greatest sum of each, least place with the first question, greatest sum of any chunk not listed) of a group;
+    places: (numbers, least place, greatest place, least place of others) of its questions in order."""
+    numbers = np.unique(np.concatenate([p[0] for p in places]))
+    low, high, rank = np.zeros(len(numbers)), np.zeros(len(numbers)), np.zeros(len(numbers), np.int64)
+    for i, (own, first, last, other) in enumerate(places):
+        best, worst = np.full(len(numbers), other), np.full(len(numbers), total - 1)
+        at = np.searchsorted(numbers, own)
+        best[at], worst[at] = first, last
+        low, high = low + _term(worst), high + _term(best)
+        if i == 0:
+            rank = best
+    return numbers, low, high, rank, float(sum(_term(np.array(p[3])) for p in places))
+
+
+def _fuse_group(k: int, total: int):
+    """A group's first k: (group_id, number, rrf, rank, sure)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order = {}
+        for i, (place, key) in enumerate(zip(table.column("query_ord").to_pylist(), table.column("query_id").to_pylist(), strict=True)):
+            order.setdefault((place, key), []).append(i)
+        places = []
+        for at in (order[x] for x in sorted(order)):
+            rows = table.take(pa.array(at))
+            numbers, scores, distances = _whole(rows)
+            floors = tuple(rows.column(c)[0].as_py() for c in _FLOORS)
+            places.append((numbers, *fused_places(numbers, scores, distances, floors, total)))
+        numbers, low, high, rank, beyond = group_sums(places, total)
+        # with all places known, low is high, and ties follow the first question's place
+        at = np.lexsort((numbers, rank, -np.round(low, 12)))[:k]
+        known = bool((low == high).all()) and len(numbers) == total
+        sure = known
+        if not known and len(at):
+            rest = np.ones(len(numbers), bool)
+            rest[at] = False
+            after = max(beyond, float(high[rest].max(initial=0.0)))
+            next_best = np.append(high[at][1:], after)
+            sure = bool((low[at] > next_best + 2e-12).all() and (high[at] - low[at] < 1e-9).all())
+        group = table.column("group_id").slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(at), np.int64)))
+        return pa.table([group, pa.array(numbers[at]), pa.array(low[at]), pa.array(np.arange(len(at))), pa.array([sure] * len(at), pa.bool_())], names=["group_id", "number", "rrf", "rank", "sure"])
+
+    return run
+
+
+def top_fused_groups(blocks: Blocks, questions: DataFrame, k: int, depth: int = DEPTH) -> DataFrame:
+    """(group_id, chunk_id, number, rrf, distance, rank from 0) of the k best chunks of each group's fused questions.
+
+    questions: (group_id, query_ord, query_id, terms, vector); their rankings are those of top_fused().  The distance is that of the group's
+    first question (1 without a vector); ties of the sum, rounded to twelve places, go to the better place in the first question's ranking,
+    then to the smaller chunk_id.  Groups that a depth leaves open are read DEEPER times as deep, on their own.  What a group's task holds
+    grows with its questions and the depth.
+    """
+    q_type, g_type = (questions.schema[c].dataType.simpleString() for c in ("query_id", "group_id"))
+    kind = arrow_type(questions, "query_id")
+    rows = staged(questions.select("group_id", "query_ord", "query_id", "terms", "vector"))
+    members = rows.select("group_id", "query_ord", "query_id")
+    left, parts = members.select("group_id").distinct(), []
+    while True:
+        whole = depth >= blocks.chunks
+        asked = rows.join(left, "group_id", "left_semi").select("query_id", "terms", "vector").dropDuplicates(["query_id"])
+        if not whole:
+            asked = _with_floors(blocks, asked, depth=depth)
+        listed = meet(blocks.frame, asked).mapInArrow(_listed(kind), f"query_id {q_type}, numbers binary, scores binary, distances binary")
+        floors = asked.select("query_id", *_FLOORS) if not whole else asked.select("query_id", *(F.lit(None).cast("double" if i % 2 == 0 else "long").alias(c) for i, c in enumerate(_FLOORS)))
+        mine = listed.join(floors, "query_id").join(members, "query_id").join(left, "group_id", "left_semi")
+        fused = staged(mine.groupBy("group_id").applyInArrow(_fuse_group(k, blocks.chunks), f"group_id {g_type}, number long, rrf double, rank long, sure boolean"))
+        parts.append(fused.filter("sure"))
+        left = fused.filter("NOT sure").select("group_id").distinct()
+        if whole or left.isEmpty():
+            break
+        depth *= DEEPER
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    # k rows a group meet their chunks and the first question's vector
+    names = blocks.frame.select(F.posexplode(F.arrays_zip("chunk_ids", "vectors")).alias("_at", "_c"), "base").select((F.col("base") + F.col("_at")).alias("number"), F.col("_c.chunk_ids").alias("chunk_id"), F.col("_c.vectors").alias("_chunk"))
+    first = rows.groupBy("group_id").agg(F.min_by("vector", F.struct("query_ord", "query_id")).alias("_question"))
+    named = names.join(out.select("group_id", "number", "rrf", "rank"), "number").join(first, "group_id")
+    cosine = dot(F.col("_question"), F.col("_chunk")) / F.nullif(norm(F.col("_question")) * norm(F.col("_chunk")), F.lit(0.0))
+    both = F.col("_question").isNotNull() & F.col("_chunk").isNotNull()
+    fit = both & (F.size("_question") == F.size("_chunk"))
+    distance = F.when(fit, F.round(F.coalesce(1 - cosine, F.lit(1.0)), 9)).otherwise(F.lit(1.0))
+    return named.select("group_id", "chunk_id", "number", "rrf", distance.alias("distance"), "rank")

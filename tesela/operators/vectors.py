@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesela.operators.grid import beside
+
 #: Questions in a block; chunks whose distances to a block are computed at once.
 QUESTIONS, CHUNKS = 512, 4096
 
@@ -97,15 +99,16 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     the smaller chunk_id.  Vectors that are zero or of another dimension are at distance 1.
 
     The stated questions meet all chunks in blocks: a block of questions and one of chunks are a row each, their distances one matrix
-    product, and of each product only the k first of every question go on.
+    product, and of each product only the k first of every question go on.  Questions beyond a bound aren't broadcast (see beside()).
     """
-    few = max(1, -(-queries.count() // QUESTIONS))
+    many, width = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    few = max(1, -(-many // QUESTIONS))
     packed = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(few)).alias("block")).agg(F.collect_list(F.struct("query_id", F.col("vector").cast("array<double>").alias("vector"))).alias("q"))
     packed = packed.select("block", F.col("q.query_id").alias("ids"), F.col("q.vector").alias("vectors"))
     q_type, c_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (chunks, "chunk_id")))
     own = chunks.select("chunk_id", F.col("vector").cast("array<double>").alias("vector"))
     held = own.mapInArrow(_pack_chunks, f"chunk_ids array<{c_type}>, chunk_vectors array<array<double>>")
-    found = held.crossJoin(packed).mapInArrow(_nearest(k), f"query_id {q_type}, chunk_id {c_type}, distance double")
+    found = beside(held, "chunk_ids", packed, "block", many * (16 + 8 * (width or 0))).mapInArrow(_nearest(k), f"query_id {q_type}, chunk_id {c_type}, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    ranked = found.withColumn("rank", F.row_number().over(order) - 1)
-    return ranked.filter(F.col("rank") < k)
+    ranked = found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k)
+    return ranked.withColumn("rank", F.col("_n") - 1).drop("_n")

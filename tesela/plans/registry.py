@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from tesela.functions import chunking, models, structured, text
 from tesela.operators import chunks as chunk_ops
-from tesela.operators import evaluation, fusion, lexical, querylog, vectors, verify
+from tesela.operators import blocks, evaluation, fusion, lexical, querylog, vectors, verify
 from tesela.operators import sync as sync_ops
-from tesela.operators.topfused import top_fused
+from tesela.operators.topfused import top_fused, top_fused_groups
 from tesela.plans import assistant
 from tesela.sources import files as file_ops
 from tesela.sources import snapshots
@@ -212,27 +212,19 @@ def _questions(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
-def _distances(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    asked = _questions(spark, sf_dir).join(v, F.col("query_id") == F.col("vec_id")).select("query_id", "vector")
-    held = v.withColumnRenamed("vec_id", "chunk_id").join(_corpus(spark, sf_dir).select("chunk_id"), "chunk_id", "left_semi")
-    return vectors.cosine_distances(asked, held)
-
-
-def _fused(spark, sf_dir):
+def _blocks(spark, sf_dir):
+    """The corpus in blocks with its vectors, and the weighed questions with theirs."""
     corpus, questions = _corpus(spark, sf_dir), _questions(spark, sf_dir)
-    scores = lexical.bm25_scores(lexical.bm25_index(corpus), lexical.question_terms(questions, text="question"))
-    return fusion.fuse(scores, _distances(spark, sf_dir), corpus, questions)
+    index = lexical.bm25_index(corpus)
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = questions.join(v, F.col("query_id") == F.col("vec_id")).select("query_id", "vector")
+    weighed = blocks.weighted_questions(lexical.question_terms(questions, text="question"), index, asked, questions)
+    return blocks.corpus_blocks(index, v.withColumnRenamed("vec_id", "chunk_id")), weighed
 
 
 def _top(spark, sf_dir, k):
-    """The first k of _fused(), found without ranking all documents."""
-    corpus, questions = _corpus(spark, sf_dir), _questions(spark, sf_dir)
-    scores = lexical.bm25_scores(lexical.bm25_index(corpus), lexical.question_terms(questions, text="question"))
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    asked = _questions(spark, sf_dir).join(v, F.col("query_id") == F.col("vec_id")).select("query_id", "vector")
-    held = v.withColumnRenamed("vec_id", "chunk_id").join(corpus.select("chunk_id"), "chunk_id", "left_semi")
-    return top_fused(scores, asked, held, corpus, questions, k)
+    """The first k fused chunks of each question."""
+    return top_fused(*_blocks(spark, sf_dir), k)
 
 
 @query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf, n, round(avgdl, 6) AS avgdl, round(average_idf, 6) AS average_idf FROM terms, st, av")
@@ -249,10 +241,8 @@ WITH {_BM25} SELECT * FROM (
 """)
 def bm25_scores_topk(spark, sf_dir):
     index = lexical.bm25_index(_corpus(spark, sf_dir))
-    scores = lexical.bm25_scores(index, lexical.question_terms(_questions(spark, sf_dir), text="question"))
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
-    ranked = scores.withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
-    return ranked.filter("rank < 10").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    asked = blocks.weighted_questions(lexical.question_terms(_questions(spark, sf_dir), text="question"), index)
+    return blocks.top_scored(blocks.corpus_blocks(index), asked, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("""
@@ -284,8 +274,9 @@ SELECT group_id, chunk_id, round(rrf, 6) AS rrf, round(distance, 6) + 0.0 AS dis
 """)
 def hybrid_multi_rrf(spark, sf_dir):
     """Three consecutive questions form a group."""
-    ranked = _fused(spark, sf_dir).withColumn("group_id", F.floor(F.col("query_id") / 3).cast("long"))
-    top = fusion.fuse_questions(ranked, "group_id", "query_id").filter(F.col("rank") < TOP_K)
+    corpus, asked = _blocks(spark, sf_dir)
+    grouped = asked.withColumns({"group_id": F.floor(F.col("query_id") / 3).cast("long"), "query_ord": F.col("query_id")})
+    top = top_fused_groups(corpus, grouped, TOP_K)
     return top.select("group_id", "chunk_id", F.round("rrf", 6).alias("rrf"), (F.round("distance", 6) + 0.0).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesela.functions import models, text
-from tesela.operators import fusion, lexical, vectors
+from tesela.operators import blocks, fusion, lexical
 from tesela.operators.chunks import chunk_pages
-from tesela.operators.topfused import top_fused
+from tesela.operators.topfused import top_fused, top_fused_groups
 from tesela.operators.verify import with_warnings
 from tesela.plans.prompts import DECOMPOSE, answer_prompt
 from tesela.settings import Settings
 from tesela.sources.files import PageParser, corpus_pages
+from tesela.sources.stage import staged
 
 NOT_FOUND = "No encuentro esta informacion en los documentos indexados."
 
@@ -52,18 +53,17 @@ def retrieve(collection: DataFrame, questions: DataFrame, settings: Settings, em
     asked = asked_questions(sub_questions(questions, completer))
     asked = asked.join(asked.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n")), "group_id")
     index = lexical.bm25_index(collection)
-    scores = lexical.bm25_scores(index, lexical.question_terms(asked, text="question"))
-    embedded = models.embed_distinct(asked, "question", settings.embedding_model, embedder)
-    held = collection.filter(F.col("vector").isNotNull())
+    embedded = models.embed_distinct(asked, "question", settings.embedding_model, embedder).select("query_id", "vector")
+    weighed = blocks.weighted_questions(lexical.question_terms(asked, text="question"), index, embedded, asked)
+    weighed = staged(weighed.join(asked.select("query_id", "group_id", "query_ord", "_n"), "query_id"))
+    held = blocks.corpus_blocks(index, collection.filter(F.col("vector").isNotNull()).select("chunk_id", "vector"))
     columns = ["group_id", "chunk_id", "rrf", "distance", "rank"]
-    # a question on its own keeps its fused score; several are fused once more, which takes all of their ranks
-    single, several = asked.filter("_n = 1").select("query_id", "group_id"), asked.filter("_n > 1").select("query_id", "group_id", "query_ord")
-    alone = top_fused(scores.join(single.select("query_id"), "query_id", "left_semi"), embedded.filter("_n = 1"), held, collection, single, size)
-    pool = alone.join(single, "query_id").select(*columns)
+    # a question on its own keeps its fused score; several are fused once more
+    alone = top_fused(held, weighed.filter("_n = 1"), size)
+    pool = alone.join(weighed.select("query_id", "group_id"), "query_id").select(*columns)
+    several = weighed.filter("_n > 1")
     if not several.isEmpty():
-        distances = vectors.cosine_distances(embedded.filter("_n > 1"), held)
-        ranked = fusion.fuse(scores, distances, collection, several).join(several, "query_id")
-        pool = pool.unionByName(fusion.fuse_questions(ranked).filter(F.col("rank") < size).select(*columns))
+        pool = pool.unionByName(top_fused_groups(held, several, size).select(*columns))
     pool = pool.withColumnRenamed("group_id", "query_id")
     hits = pool.join(collection.select("chunk_id", "source", "page", "section_hint", "text"), "chunk_id")
     if settings.reranker_enabled:

@@ -136,22 +136,3 @@ def test_boxes(spark):
     objects = spark.createDataFrame([(1, 1.0, 1.0, 2.0, 2.0), (1, 0.0, 1.0, 2.0, 2.0), (2, 1.0, 1.0, 2.0, 2.0)], cols)
     boxes = spark.createDataFrame([(1, 0.0, 0.0, 5.0, 5.0)], cols)
     assert sorted((r.p, r.x0) for r in outside_boxes(objects, boxes, ["p"]).collect()) == [(1, 0.0), (2, 1.0)]
-
-
-def test_top_fused_equals_full_ranking(spark):
-    import random
-
-    from tesela.operators.topfused import top_fused
-
-    rng = random.Random(8)
-    n = 400
-    ids = spark.createDataFrame([(f"c{i:03d}",) for i in range(n)], "chunk_id string")
-    qs = spark.createDataFrame([(f"q{i}",) for i in range(5)], "query_id string")
-    scores = [(f"q{q}", f"c{i:03d}", float(rng.randrange(1, 9))) for q in range(4) for i in range(n) if rng.random() < (0.6, 0.3, 0.05, 0.01)[q]]
-    bm = spark.createDataFrame(scores, "query_id string, chunk_id string, score double")
-    vec = lambda: [float(rng.randrange(-2, 3)) for _ in range(3)]
-    qv = spark.createDataFrame([(f"q{i}", vec()) for i in range(4)], "query_id string, vector array<float>")
-    cv = spark.createDataFrame([(f"c{i:03d}", vec()) for i in range(0, n, 2)], "chunk_id string, vector array<float>").repartition(5)
-    full = fusion.fuse(bm, vectors.cosine_distances(qv, cv), ids, qs).filter("rank < 9")
-    shape = lambda df: sorted((r.query_id, r.chunk_id, round(r.rrf, 9), round(r.distance, 6) + 0.0, r.bm25_rank, r["rank"]) for r in df.collect())
-    assert shape(top_fused(bm, qv, cv, ids, qs, 9)) == shape(full)
