@@ -19,6 +19,7 @@ from tesela.plans import assistant
 from tesela.sources import files as file_ops
 from tesela.sources import snapshots
 from tesela.sources.stage import spread
+from tesela.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -458,6 +459,31 @@ def debounce_sessions(spark, sf_dir):
     return runs.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n")
 
 
+_FILES = """
+files AS (SELECT '/in/f' || doc_id || CASE doc_id % 4 WHEN 3 THEN '.docx' WHEN 2 THEN '.MD' ELSE '.txt' END AS path, doc_id, length(text) AS length FROM documents),
+b AS (SELECT path, doc_id % 50 AS modified, length FROM files WHERE doc_id % 9 <> 0), a AS (
+  SELECT CASE WHEN doc_id % 13 = 0 THEN path || '.txt' ELSE path END AS path, doc_id % 50 + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS modified, length FROM files WHERE doc_id % 8 <> 0
+)"""
+
+
+@query(f"""
+WITH {_FILES}
+SELECT * FROM (
+  SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'created' WHEN a.path IS NULL THEN 'deleted' WHEN (a.modified, a.length) <> (b.modified, b.length) THEN 'modified' END AS kind
+  FROM b FULL JOIN a ON a.path = b.path
+) WHERE kind IS NOT NULL AND NOT ends_with(lower(path), '.docx')
+""")
+def folder_events(spark, sf_dir):
+    """Documents as files of two listings: some are in one of them only, some were changed, some moved."""
+    d = documents(spark, sf_dir)
+    suffix = F.when(F.col("doc_id") % 4 == 3, ".docx").when(F.col("doc_id") % 4 == 2, ".MD").otherwise(".txt")
+    files = d.select("doc_id", F.concat(F.lit("/in/f"), "doc_id", suffix).alias("path"), (F.col("doc_id") % 50).alias("modified"), F.length("text").alias("length"))
+    moved = F.when(F.col("doc_id") % 13 == 0, F.concat("path", F.lit(".txt"))).otherwise(F.col("path"))
+    after = files.filter(F.col("doc_id") % 8 != 0).select(moved.alias("path"), (F.col("modified") + (F.col("doc_id") % 5 == 0).cast("int")).alias("modified"), "length")
+    events = watch.listing_events(files.filter(F.col("doc_id") % 9 != 0), after)
+    return watch.relevant(events.withColumn("is_directory", F.lit(False))).select("path", "kind")
+
+
 # ---------------------------------------------------------------- synchronisation
 
 _OLD = "SELECT doc_id, 'f' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '-old' ELSE '' END AS source, sha256(text) AS sha256 FROM documents"

@@ -30,6 +30,12 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stage(spark: SparkSession, path: str) -> None:
+    """Delete a table or folder of the shared folder, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan whose files make fewer splits than there are cores, dealt to all of them; any other as it is."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
