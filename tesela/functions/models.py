@@ -63,19 +63,20 @@ def echo_completer(system: str, user: str, temperature: float = 0.1, most: int =
 
 def embed_distinct(df: DataFrame, text: str, model: str, embedder: Embedder = hashed_embedder, cache: DataFrame | None = None) -> DataFrame:
     """df with vector array<float>; each distinct text is embedded once, and not at all if the cache (text, model, vector) has it."""
-    wanted = df.select(F.col(text).alias("_text")).distinct()
+    digest = lambda c: F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256)  # noqa: E731  texts meet by their hashes; null counts as empty
+    keyed = df.withColumn("_sha", digest(F.col(text)))
+    wanted = keyed.groupBy("_sha").agg(F.any_value(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
     known = None
     if cache is not None:
-        known = cache.filter(F.col("model") == model).select(F.col("text").alias("_text"), "vector").dropDuplicates(["_text"])
-        wanted = wanted.join(known.select("_text"), "_text", "left_anti")
+        known = cache.filter(F.col("model") == model).select(digest(F.col("text")).alias("_sha"), "vector").dropDuplicates(["_sha"])
+        wanted = wanted.join(known.select("_sha"), "_sha", "left_anti")
 
     @F.arrow_udf("array<float>")
     def run(column: pa.Array) -> pa.Array:
         return pa.array([list(map(float, v)) for v in embedder(column.to_pylist())], pa.list_(pa.float32()))
 
-    made = wanted.select("_text", run(F.coalesce("_text", F.lit(""))).alias("vector"))
-    vectors = made if known is None else known.unionByName(made)
-    return df.join(vectors, df[text].eqNullSafe(vectors["_text"])).drop("_text")
+    made = wanted.select("_sha", run("_text").alias("vector"))
+    return keyed.join(made if known is None else known.unionByName(made), "_sha").drop("_sha")
 
 
 def cache_stats(requests: DataFrame, text: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tesela.functions import chunking, models, structured, text
 from tesela.operators import chunks as chunk_ops
-from tesela.operators import blocks, evaluation, fusion, lexical, querylog, vectors, verify
+from tesela.operators import blocks, embedcache, evaluation, fusion, lexical, querylog, vectors, verify
 from tesela.operators import sync as sync_ops
 from tesela.operators.topfused import top_fused, top_fused_groups
 from tesela.plans import assistant
@@ -542,6 +542,32 @@ def embed_cache_stats(spark, sf_dir):
     return models.cache_stats(documents(spark, sf_dir))
 
 
+_REQUESTS = """
+r AS (SELECT conv_id, turn, regexp_extract(text, '[\\pL\\pN_]+') AS word, row_number() OVER (ORDER BY conv_id, turn) AS pos FROM conversations),
+p AS (SELECT *, lag(pos) OVER (PARTITION BY word ORDER BY pos) AS before FROM r),
+d AS (SELECT p.pos, count(DISTINCT x.word) AS apart FROM p JOIN r x ON x.pos > p.before AND x.pos < p.pos GROUP BY p.pos),
+h AS (SELECT conv_id, turn, pos, before IS NOT NULL AND coalesce(apart, 0) < 64 AS hit FROM p LEFT JOIN d USING (pos))"""
+
+
+def _replayed(spark, sf_dir):
+    """The first words of all turns as requests to a cache of 64 entries."""
+    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract("text", text.TOKEN, 0).alias("word"))
+    return embedcache.replayed(words, "word", ["conv_id", "turn"], 64)
+
+
+@query(f"WITH {_REQUESTS} SELECT conv_id, turn, hit FROM h")
+def cache_replay(spark, sf_dir):
+    return _replayed(spark, sf_dir).select("conv_id", "turn", "hit")
+
+
+@query(f"""
+WITH {_REQUESTS}
+SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, least(64, (SELECT count(DISTINCT word) FROM r)) AS size, CAST(64 AS BIGINT) AS maxsize, round(count(*) FILTER (hit) / count(*), 6) AS hit_rate FROM h
+""")
+def cache_replay_stats(spark, sf_dir):
+    return embedcache.bounded_stats(_replayed(spark, sf_dir), 64)
+
+
 # ---------------------------------------------------------------- evaluation
 
 _PREDICTED = "CASE WHEN length(text) > 900 THEN 1 ELSE 0 END"
