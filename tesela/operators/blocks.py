@@ -1,7 +1,6 @@
 """A corpus as blocks of chunks that answer blocks of questions.
 
-A block holds consecutive chunks in the order of their ids: postings by term with their gains, the greatest gain of each term, and the
-chunks' vectors.  A chunk's number is its place in that order, so ties by id are ties by number.  Questions are a stated set, packed into
+A block holds consecutive chunks in the order of their ids: postings by term, the greatest gain of each term, and the chunks' vectors.  A chunk's number is its place in that order, so ties by id are ties by number.  Questions are a stated set, packed into
 blocks too; what a task returns grows with them and with k, not with the chunks that match.
 """
 
@@ -29,12 +28,12 @@ SAMPLE, FIRST = 16, 2
 #: A sum of gains may differ by this from the sum of their bounds, and scores are compared after rounding.
 SLACK = 2e-9
 
-POSTINGS = "terms array<string>, tops binary, starts binary, places binary, gains binary"
+POSTINGS = "terms array<string>, tops binary, starts binary, places binary, tfs binary, norms binary"
 
 
 @dataclass
 class Blocks:
-    """frame: (base long, chunk_ids, terms, tops, starts, places, gains, vectors), a row a block; base: the number of its first chunk."""
+    """frame: (base long, chunk_ids, terms, tops, starts, places, tfs, norms, vectors), a row a block; base: the number of its first chunk."""
 
     frame: DataFrame
     chunks: int
@@ -49,25 +48,30 @@ class Blocks:
         return self.frame.filter((F.col("base") == 0) | (F.pmod(F.xxhash64("base"), F.lit(max(1, self.blocks // SAMPLE))) == 0))
 
 
+def gain(tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """What a term of weight 1 adds to a chunk's score."""
+    return tf * (K1 + 1) / (tf + norm)
+
+
 def _packed(batch: pa.Table, at: int, average: float) -> pa.RecordBatch:
     rows = batch.combine_chunks()
-    chunk_ids, dl, counts, vectors = (rows.column(c).combine_chunks() for c in ("chunk_id", "dl", "counts", "vector"))
-    sizes = np.asarray(counts.value_lengths().fill_null(0), np.int64)
-    entries = counts.flatten()
-    coded = entries.field("term").dictionary_encode()
-    tf = entries.field("tf").to_numpy(zero_copy_only=False).astype(np.float64)
+    chunk_ids, dl, words, tf, vectors = (rows.column(c).combine_chunks() for c in ("chunk_id", "dl", "words", "tf", "vector"))
+    terms = pc.split_pattern(words, " ")
+    sizes = np.asarray(terms.value_lengths().fill_null(0), np.int64)
+    coded = terms.flatten().dictionary_encode()
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    length = dl.to_numpy(zero_copy_only=False).astype(np.float64)[owner]
-    gains = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / (average or 1.0)))
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     order = np.argsort(codes, kind="stable")
-    gains, starts = gains[order], np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+    owner, tfs = owner[order], tf.flatten().to_numpy(zero_copy_only=False).astype(np.float64)[order]
+    norms = K1 * (1 - B + B * dl.to_numpy(zero_copy_only=False).astype(np.float64) / (average or 1.0))
+    starts = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+    gains = gain(tfs, norms[owner])
     tops = np.maximum.reduceat(gains, starts[:-1]) if len(gains) else gains
-    binary = [pa.array([x.tobytes()], pa.binary()) for x in (tops.astype("<f8"), starts.astype("<i4"), owner[order].astype("<u2"), gains.astype("<f8"))]
+    binary = [pa.array([x.tobytes()], pa.binary()) for x in (tops.astype("<f8"), starts.astype("<i4"), owner.astype("<u2"), tfs.astype("<i4"), norms.astype("<f8"))]
     one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
     return pa.RecordBatch.from_arrays(
         [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([at], pa.int64()), one(chunk_ids), one(coded.dictionary), *binary, one(vectors)],
-        names=["part", "at", "chunk_ids", "terms", "tops", "starts", "places", "gains", "vectors"],
+        names=["part", "at", "chunk_ids", "terms", "tops", "starts", "places", "tfs", "norms", "vectors"],
     )
 
 
@@ -92,14 +96,16 @@ def _pack(average: float, size: int):
 def corpus_blocks(index: Bm25Index, vectors: DataFrame | None = None, size: int = CHUNKS) -> Blocks:
     """The blocks of an indexed corpus; vectors: (chunk_id, vector), of which those of other chunks are left out.
 
-    Chunks are dealt by ranges of their ids; a task numbers its own, and the numbers before it come from one sum for each task.
+    Chunks are dealt by ranges of their ids, their terms as one string a chunk; a task numbers its own, and the numbers before it come from
+    one sum for each task.
     """
     spark, rows = index.chunks.sparkSession, index.chunks
     average = index.stats.select("avgdl").first()[0]
     held = vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("vector")) if vectors is not None else None
     rows = rows.join(held, "chunk_id", "left") if held is not None else rows.withColumn("vector", F.lit(None).cast("array<double>"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.select("chunk_id", "dl", "counts", "vector").repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id")
+    slim = rows.select("chunk_id", "dl", F.when(F.size("counts") > 0, F.array_join("counts.term", " ")).alias("words"), F.transform("counts", lambda c: c.tf.cast("int")).alias("tf"), "vector")
+    dealt = slim.repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id")
     kind = rows.schema["chunk_id"].dataType.simpleString()
     packed = staged(dealt.mapInArrow(_pack(average or 0.0, size), f"part int, at long, chunk_ids array<{kind}>, {POSTINGS}, vectors array<array<double>>"))
     # a row a task
@@ -192,7 +198,8 @@ class Block:
     def scores(self, q: int) -> tuple[np.ndarray, np.ndarray]:
         """(rounded scores, whether a chunk holds a term) of the block's chunks."""
         if self.postings is None:
-            self.postings = (self._numbers("starts", "<i4"), self._numbers("places", "<u2"), self._numbers("gains", "<f8"))
+            places = self._numbers("places", "<u2")
+            self.postings = (self._numbers("starts", "<i4"), places, gain(self._numbers("tfs", "<i4").astype(np.float64), self._numbers("norms", "<f8")[places]))
         starts, places, gains = self.postings
         n = len(self.chunk_ids())
         out, held = np.zeros(n), np.zeros(n, bool)

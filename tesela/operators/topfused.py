@@ -8,7 +8,7 @@ and the counts are summed.
 Several questions: the second fusion adds 1 / (60 + place) over the questions' fused rankings, so every place counts.  A threshold
 algorithm reads both rankings of each question down to a depth.  Ranks within it are known, those beyond lie between it and the size of the
 corpus, which bounds each fused place and each sum, also of chunks not met yet.  A group is done once its first k are apart from each other
-and from all others, and their sums are known to nine places; the others are read deeper, at most down to the end, where all is known.
+and from all others, and their sums are known to six places; the others are read deeper, at most down to the end, where all is known.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from tesela.operators.vectors import dot, norm
 from tesela.sources.stage import staged
 
 #: Places of each ranking that the threshold algorithm reads first, and how many times as many it reads next.
-DEPTH, DEEPER = 65_536, 16
+DEPTH, DEEPER = 1 << 20, 8
 
 _FLOORS = ("floor_score", "floor_number", "floor_distance", "floor_at")
 
@@ -100,32 +100,48 @@ def _count(kind: pa.DataType):
     return run
 
 
-def _listed(kind: pa.DataType):
-    """(query_id, numbers, scores, distances): of each question, the chunks of a batch within its floors, as bytes."""
+_LISTED = "base long, places binary, scores binary, distances binary"
+#: A chunk or question without a vector, where distances are whole billionths.
+_NO_DISTANCE = 2**32 - 1
+
+
+def _listed(keys: list[str]):
+    """Of each question and block a row of the chunks within the question's floors, beside the question's columns `keys`: their places in
+    the block (null: all of it), scores, and distances in billionths, which is what they are rounded to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[int, Asked] = {}
         for batch in batches:
-            held: dict = {}
             for block in opened(batch, cache):
                 distances, numbers = block.distances(), block.numbers()
+                whole = np.where(np.isnan(distances), _NO_DISTANCE, np.round(np.nan_to_num(distances) * 1e9)).astype("<u4")
                 low, low_at, far, far_at = _floors(block.asked)
-                for q, key in enumerate(block.asked.keys):
+                rows: list[tuple] = []
+                for q in range(len(block.asked.keys)):
                     score, _ = block.scores(q)
                     d = distances[q]
-                    hit = np.flatnonzero((score > low[q]) | ((score == low[q]) & (numbers <= low_at[q])) | (d < far[q]) | ((d == far[q]) & (numbers <= far_at[q])))
-                    if len(hit):
-                        held.setdefault(key, []).append((numbers[hit], score[hit], d[hit]))
-            if held:
-                columns = [pa.array([np.concatenate([x[c] for x in parts]).tobytes() for parts in held.values()], pa.binary()) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), kind), *columns], names=["query_id", "numbers", "scores", "distances"])
+                    hit = (score > low[q]) | ((score == low[q]) & (numbers <= low_at[q])) | (d < far[q]) | ((d == far[q]) & (numbers <= far_at[q]))
+                    if hit.all():
+                        rows.append((q, None, score.tobytes(), whole[q].tobytes()))
+                    elif hit.any():
+                        rows.append((q, np.flatnonzero(hit).astype("<u2").tobytes(), score[hit].tobytes(), whole[q][hit].tobytes()))
+                if rows:
+                    at, *binary = zip(*rows, strict=True)
+                    columns = [block.asked.rows.field(c).take(pa.array(at)) for c in keys]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([int(numbers[0])] * len(at)), *(pa.array(x, pa.binary()) for x in binary)], names=[*keys, "base", "places", "scores", "distances"])
 
     return run
 
 
 def _whole(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The numbers, scores and distances of a question's rows."""
-    return tuple(np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)] or [np.zeros(0, t)]) for c, t in (("numbers", "<i8"), ("scores", "<f8"), ("distances", "<f8")))
+    """(numbers, scores, distances) of the chunks in a question's rows."""
+    numbers, scores, distances = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
+    for base, places, some, far in zip(*(table.column(c) for c in ("base", "places", "scores", "distances")), strict=True):
+        scores.append(np.frombuffer(some.as_buffer(), "<f8"))
+        numbers.append(base.as_py() + (np.frombuffer(places.as_buffer(), "<u2").astype(np.int64) if places.is_valid else np.arange(len(scores[-1]))))
+        d = np.frombuffer(far.as_buffer(), "<u4")
+        distances.append(np.where(d == _NO_DISTANCE, np.nan, d / 1e9))
+    return np.concatenate(numbers), np.concatenate(scores), np.concatenate(distances)
 
 
 def _cut(place: int):
@@ -145,11 +161,11 @@ def _cut(place: int):
 def _with_floors(blocks: Blocks, questions: DataFrame, first: int | None = None, depth: int = 0) -> DataFrame:
     """Questions with floors from a sample of blocks: those of the sample's `first` chunks of a ranking, which at least as many of the
     corpus reach, or else of the place that about `depth` chunks of the corpus reach."""
-    kind, q_type = arrow_type(questions, "query_id"), questions.schema["query_id"].dataType.simpleString()
+    q_type = questions.schema["query_id"].dataType.simpleString()
     sample = staged(blocks.sample())
     share = sample.agg(F.sum(F.size("chunk_ids"))).first()[0] / max(1, blocks.chunks)
     place = (first or math.ceil(share * depth)) - 1
-    listed = meet(sample, questions).mapInArrow(_listed(kind), f"query_id {q_type}, numbers binary, scores binary, distances binary")
+    listed = meet(sample, questions).mapInArrow(_listed(["query_id"]), f"query_id {q_type}, {_LISTED}")
     floors = listed.groupBy("query_id").applyInArrow(_cut(place), f"query_id {q_type}, floor_score double, floor_number long, floor_distance double, floor_at long")
     return staged(questions.join(floors, "query_id", "left"))
 
@@ -242,13 +258,13 @@ def _fuse_group(k: int, total: int):
 
     def run(table: pa.Table) -> pa.Table:
         order = {}
-        for i, (place, key) in enumerate(zip(table.column("query_ord").to_pylist(), table.column("query_id").to_pylist(), strict=True)):
-            order.setdefault((place, key), []).append(i)
+        for i, place in enumerate(table.column("query_ord").to_pylist()):
+            order.setdefault(place, []).append(i)
         places = []
         for at in (order[x] for x in sorted(order)):
             rows = table.take(pa.array(at))
             numbers, scores, distances = _whole(rows)
-            floors = tuple(rows.column(c)[0].as_py() for c in _FLOORS)
+            floors = tuple(rows.column(c)[0].as_py() for c in _FLOORS) if _FLOORS[0] in rows.column_names else (-np.inf, 2**62, np.inf, 2**62)
             places.append((numbers, *fused_places(numbers, scores, distances, floors, total)))
         numbers, low, high, rank, beyond = group_sums(places, total)
         # with all places known, low is high, and ties follow the first question's place
@@ -260,7 +276,7 @@ def _fuse_group(k: int, total: int):
             rest[at] = False
             after = max(beyond, float(high[rest].max(initial=0.0)))
             next_best = np.append(high[at][1:], after)
-            sure = bool((low[at] > next_best + 2e-12).all() and (high[at] - low[at] < 1e-9).all())
+            sure = bool((low[at] > next_best + 2e-12).all() and (np.round(low[at], 6) == np.round(high[at], 6)).all())
         group = table.column("group_id").slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(at), np.int64)))
         return pa.table([group, pa.array(numbers[at]), pa.array(low[at]), pa.array(np.arange(len(at))), pa.array([sure] * len(at), pa.bool_())], names=["group_id", "number", "rrf", "rank", "sure"])
 
@@ -270,36 +286,37 @@ def _fuse_group(k: int, total: int):
 def top_fused_groups(blocks: Blocks, questions: DataFrame, k: int, depth: int = DEPTH) -> DataFrame:
     """(group_id, chunk_id, number, rrf, distance, rank from 0) of the k best chunks of each group's fused questions.
 
-    questions: (group_id, query_ord, query_id, terms, vector); their rankings are those of top_fused().  The distance is that of the group's
-    first question (1 without a vector); ties of the sum, rounded to twelve places, go to the better place in the first question's ranking,
-    then to the smaller chunk_id.  Groups that a depth leaves open are read DEEPER times as deep, on their own.  What a group's task holds
-    grows with its questions and the depth.
+    questions: (group_id, query_ord, terms, vector), with places of their own in the group; their rankings are those of top_fused().  The distance is that of the group's
+    first question (1 without a vector); sums are exact to six places.  Ties of the sum, rounded to twelve places, go to the better place in
+    the first question's ranking, then to the smaller chunk_id.  Groups that a depth leaves open are read DEEPER times as deep, on their own.
+    What a group's task holds grows with its questions and the depth: about 12 bytes for each question and chunk.
     """
-    q_type, g_type = (questions.schema[c].dataType.simpleString() for c in ("query_id", "group_id"))
-    kind = arrow_type(questions, "query_id")
-    rows = staged(questions.select("group_id", "query_ord", "query_id", "terms", "vector"))
-    members = rows.select("group_id", "query_ord", "query_id")
-    left, parts = members.select("group_id").distinct(), []
+    g_type = questions.schema["group_id"].dataType.simpleString()
+    rows = staged(questions.select("group_id", "query_ord", "terms", "vector").withColumn("query_id", F.monotonically_increasing_id()))
+    keys, parts = ["group_id", "query_ord", "query_id"], []
+    o_type = rows.schema["query_ord"].dataType.simpleString()
+    asked = rows
     while True:
         whole = depth >= blocks.chunks
-        asked = rows.join(left, "group_id", "left_semi").select("query_id", "terms", "vector").dropDuplicates(["query_id"])
         if not whole:
             asked = _with_floors(blocks, asked, depth=depth)
-        listed = meet(blocks.frame, asked).mapInArrow(_listed(kind), f"query_id {q_type}, numbers binary, scores binary, distances binary")
-        floors = asked.select("query_id", *_FLOORS) if not whole else asked.select("query_id", *(F.lit(None).cast("double" if i % 2 == 0 else "long").alias(c) for i, c in enumerate(_FLOORS)))
-        mine = listed.join(floors, "query_id").join(members, "query_id").join(left, "group_id", "left_semi")
-        fused = staged(mine.groupBy("group_id").applyInArrow(_fuse_group(k, blocks.chunks), f"group_id {g_type}, number long, rrf double, rank long, sure boolean"))
+        own = [*keys, *([] if whole else _FLOORS)]
+        shape = f"group_id {g_type}, query_ord {o_type}, query_id long, " + ("" if whole else "floor_score double, floor_number long, floor_distance double, floor_at long, ") + _LISTED
+        # what is listed is sent once, to its group
+        listed = meet(blocks.frame, asked).mapInArrow(_listed(own), shape)
+        fused = staged(listed.groupBy("group_id").applyInArrow(_fuse_group(k, blocks.chunks), f"group_id {g_type}, number long, rrf double, rank long, sure boolean"))
         parts.append(fused.filter("sure"))
         left = fused.filter("NOT sure").select("group_id").distinct()
         if whole or left.isEmpty():
             break
         depth *= DEEPER
+        asked = rows.join(left, "group_id", "left_semi")
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
     # k rows a group meet their chunks and the first question's vector
     names = blocks.frame.select(F.posexplode(F.arrays_zip("chunk_ids", "vectors")).alias("_at", "_c"), "base").select((F.col("base") + F.col("_at")).alias("number"), F.col("_c.chunk_ids").alias("chunk_id"), F.col("_c.vectors").alias("_chunk"))
-    first = rows.groupBy("group_id").agg(F.min_by("vector", F.struct("query_ord", "query_id")).alias("_question"))
+    first = rows.groupBy("group_id").agg(F.min_by("vector", "query_ord").alias("_question"))
     named = names.join(out.select("group_id", "number", "rrf", "rank"), "number").join(first, "group_id")
     cosine = dot(F.col("_question"), F.col("_chunk")) / F.nullif(norm(F.col("_question")) * norm(F.col("_chunk")), F.lit(0.0))
     both = F.col("_question").isNotNull() & F.col("_chunk").isNotNull()
