@@ -75,11 +75,28 @@ def _packed(batch: pa.Table, at: int, average: float) -> pa.RecordBatch:
     )
 
 
+def _attached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by chunk_id, a vector's before its chunks', as chunks with their vectors."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        rows = pa.Table.from_batches([*kept, batch]).combine_chunks()
+        ids, vectors = (rows.column(c).combine_chunks() for c in ("chunk_id", "vector"))
+        is_chunk = rows.column("is_chunk").to_numpy()
+        last = np.maximum.accumulate(np.where(is_chunk, -1, np.arange(len(ids))))
+        at = np.flatnonzero(is_chunk)
+        own = pa.array(last[at], mask=last[at] < 0)
+        same = pc.fill_null(pc.equal(ids.take(own), ids.take(pa.array(at))), False)
+        attached = vectors.take(pc.if_else(same, own, pa.scalar(None, pa.int64())))
+        if len(at):
+            yield from rows.take(pa.array(at)).drop(["vector", "is_chunk"]).append_column("vector", attached).combine_chunks().to_batches()
+        kept = rows.slice(int(last[-1]), 1).to_batches() if len(last) and last[-1] >= 0 else []
+
+
 def _pack(average: float, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         at = 0
-        for batch in batches:
+        for batch in _attached(batches):
             while batch.num_rows:
                 some = min(batch.num_rows, size - sum(x.num_rows for x in held))
                 held.append(batch.slice(0, some))
@@ -94,18 +111,20 @@ def _pack(average: float, size: int):
 
 
 def corpus_blocks(index: Bm25Index, vectors: DataFrame | None = None, size: int = CHUNKS) -> Blocks:
-    """The blocks of an indexed corpus; vectors: (chunk_id, vector), of which those of other chunks are left out.
+    """The blocks of an indexed corpus; vectors: (chunk_id, vector), of which those of other chunks are left out; of several vectors of one
+    chunk, one counts.
 
-    Chunks are dealt by ranges of their ids, their terms as one string a chunk; a task numbers its own, and the numbers before it come from
+    Chunks and vectors are dealt by ranges of their ids, a chunk's terms as one string, in one shuffle; a task numbers its own, and the numbers before it come from
     one sum for each task.
     """
     spark, rows = index.chunks.sparkSession, index.chunks
     average = index.stats.select("avgdl").first()[0]
-    held = vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("vector")) if vectors is not None else None
-    rows = rows.join(held, "chunk_id", "left") if held is not None else rows.withColumn("vector", F.lit(None).cast("array<double>"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    slim = rows.select("chunk_id", "dl", F.when(F.size("counts") > 0, F.array_join("counts.term", " ")).alias("words"), F.transform("counts", lambda c: c.tf.cast("int")).alias("tf"), "vector")
-    dealt = slim.repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id")
+    words = F.when(F.size("counts") > 0, F.array_join("counts.term", " ")).alias("words")
+    slim = rows.select("chunk_id", "dl", words, F.transform("counts", lambda c: c.tf.cast("int")).alias("tf"), F.lit(None).cast("array<double>").alias("vector"), F.lit(True).alias("is_chunk"))
+    if vectors is not None:
+        slim = slim.unionByName(vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("vector"), F.lit(False).alias("is_chunk")), allowMissingColumns=True)
+    dealt = slim.repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id", "is_chunk")
     kind = rows.schema["chunk_id"].dataType.simpleString()
     packed = staged(dealt.mapInArrow(_pack(average or 0.0, size), f"part int, at long, chunk_ids array<{kind}>, {POSTINGS}, vectors array<array<double>>"))
     # a row a task
