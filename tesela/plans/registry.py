@@ -17,7 +17,7 @@ from tesela.operators import sync as sync_ops
 from tesela.operators.topfused import top_fused, top_fused_groups
 from tesela.plans import assistant
 from tesela.sources import files as file_ops
-from tesela.sources import snapshots
+from tesela.sources import logstore, snapshots
 from tesela.sources.stage import spread
 from tesela.streaming import watch
 
@@ -448,6 +448,13 @@ def log_purge(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("all")).crossJoin(kept).select("kept", (F.col("all") - F.col("kept")).alias("removed"))
 
 
+@query("SELECT event_id, 1000 + row_number() OVER (ORDER BY ts, event_id) AS id FROM events")
+def log_append(spark, sf_dir):
+    """The ids that a batch of rows gets behind a log of 1,000."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return logstore.dense_ids(rows, ["ts", "event_id"], 1000)[0].select("event_id", "id")
+
+
 @query("""
 WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh, event_id FROM events),
 g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e)

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesela.functions import models
-from tesela.operators import querylog, sync
+from tesela.operators import sync
 from tesela.plans import retrieval
 from tesela.settings import Settings
 from tesela.sources.files import PageParser, corpus_files, corpus_pages
-from tesela.sources.snapshots import LOG, SnapshotStore, append_log, with_warnings_column
+from tesela.sources.logstore import LogStore
+from tesela.sources.snapshots import SnapshotStore
+from tesela.sources.stage import staged
 
 CHUNKS = "chunk_id string, source string, page int, chunk_index int, text string, extraction string, section_hint string, is_table boolean, vector array<float>"
 
@@ -26,7 +28,7 @@ class Service:
         self.embedder, self.completer, self.scorer, self.parser = embedder, completer, scorer, parser
         folder = folder.rstrip("/")
         self.collection = SnapshotStore(spark, f"{folder}/{self.settings.collection_name}")
-        self.manifest, self.log = SnapshotStore(spark, f"{folder}/manifest"), SnapshotStore(spark, f"{folder}/log")
+        self.manifest, self.log = SnapshotStore(spark, f"{folder}/manifest"), LogStore(spark, f"{folder}/log")
 
     def _index(self, files: DataFrame) -> DataFrame:
         return retrieval.index_files(files, self.settings, self.embedder, self.parser)
@@ -52,15 +54,14 @@ class Service:
 
         latency_ms of a logged row is the batch's time for retrieval and generation, divided by its questions.
         """
-        log = with_warnings_column(self.log.read(LOG))
-        kept = querylog.purge(log, F.current_timestamp(), self.settings.log_retention_days)
+        self.log.purge(F.current_timestamp() - F.make_dt_interval(F.lit(self.settings.log_retention_days)))
         began = time.monotonic()
         hits = retrieval.retrieve(self.collection.read(CHUNKS), questions, self.settings, self.embedder, self.completer, self.scorer, top_k)
-        answers = retrieval.answer(questions, hits, self.completer).persist()
+        answers = staged(retrieval.answer(questions, hits, self.completer))
         n = max(1, answers.count())
         each = int((time.monotonic() - began) * 1000 / n)
         rows = answers.select(
             F.current_timestamp().alias("ts"), "question", "answer", "sources", F.lit(each).cast("long").alias("latency_ms"), F.lit(self.settings.llm_model).alias("llm_model"), F.lit(self.settings.embedding_model).alias("embedding_model"), "warnings"
         )
-        self.log.write(append_log(kept, rows))
+        self.log.append(rows)
         return answers

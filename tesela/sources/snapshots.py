@@ -3,26 +3,66 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
+class Pointer:
+    """A table of rows (seq, ...) under `pointer` of a folder, appended one at a time; the highest seq counts.
+
+    Lines that can't be read are left out with a warning, so a torn write leaves the row before it in force.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, fields: str):
+        self.spark, self.fields = spark, fields
+        self.path = f"{folder.rstrip('/')}/pointer"
+
+    def frame(self) -> DataFrame:
+        """The rows that can be read."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], f"seq long, {self.fields}")
+        lines = self.spark.read.schema(f"seq long, {self.fields}, _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(self.path)
+        return lines.filter(F.col("seq").isNotNull() & F.col("_broken").isNull()).drop("_broken")
+
+    def newest(self, n: int) -> list[Row]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return []
+        if self.spark.read.text(self.path).filter(F.trim("value") != "").count() != self.frame().count():
+            warnings.warn(f"{self.path} holds lines that can't be read; the newest good one counts", stacklevel=3)
+        return self.frame().orderBy(F.desc("seq"), *[F.col(f.split()[0]) for f in self.fields.split(", ")]).limit(n).collect()
+
+    def last(self) -> Row | None:
+        return next(iter(self.newest(1)), None)
+
+    def add(self, **values) -> None:
+        last = self.last()
+        row = self.spark.createDataFrame([((last["seq"] if last else 0) + 1, *(values[f.split()[0]] for f in self.fields.split(", ")))], f"seq long, {self.fields}")
+        row.coalesce(1).write.mode("append").json(self.path)
+
+
 class SnapshotStore:
     """A folder with versions and a pointer table, both read and written by Spark, so any shared store will do.
 
-    The pointer is appended last, as (version, seq), and the highest seq counts: a write that broke off is never seen.
+    The pointer is appended last, as (version, seq), and the highest seq counts: a write that broke off is never seen.  A broken pointer
+    row, or one whose version is gone, leaves the last good version in force; without any, the table is as if never written.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.pointer = Pointer(spark, folder, "version string")
 
-    def _pointer(self) -> tuple[str, int] | None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/pointer")
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return None
-        row = self.spark.read.schema("version string, seq long").json(f"{self.folder}/pointer").orderBy(F.desc("seq"), "version").first()
-        return (row["version"], row["seq"]) if row else None
+    def _pointer(self) -> str | None:
+        """The newest version that is there."""
+        for row in self.pointer.newest(16):
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/versions/{row['version']}")
+            if row["version"] and at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+                return row["version"]
+            warnings.warn(f"{self.folder}: version {row['version']} is gone; an older one counts", stacklevel=3)
+        return None
 
     def exists(self) -> bool:
         return self._pointer() is not None
@@ -34,14 +74,14 @@ class SnapshotStore:
             if schema is None:
                 raise FileNotFoundError(self.folder)
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.folder}/versions/{at[0]}")
+        return self.spark.read.parquet(f"{self.folder}/versions/{at}")
 
     def write(self, df: DataFrame, partition_by: str | None = None) -> None:
         """Replace the table.  df may read the version before."""
-        version, at = uuid.uuid4().hex, self._pointer()
+        version = uuid.uuid4().hex
         writer = df.write.partitionBy(partition_by) if partition_by else df.write
         writer.parquet(f"{self.folder}/versions/{version}")
-        self.spark.range(1).select(F.lit(version).alias("version"), F.lit((at[1] if at else 0) + 1).cast("long").alias("seq")).coalesce(1).write.mode("append").json(f"{self.folder}/pointer")
+        self.pointer.add(version=version)
 
     def reset(self, schema: str) -> None:
         self.write(self.spark.createDataFrame([], schema))
@@ -69,12 +109,3 @@ def with_warnings_column(log: DataFrame) -> DataFrame:
 
 
 LOG = "id long, ts timestamp, question string, answer string, sources array<struct<source:string,page:int,section_hint:string,distance:double>>, latency_ms long, llm_model string, embedding_model string, warnings array<struct<kind:string,claim:string>>"
-
-
-def append_log(log: DataFrame, rows: DataFrame) -> DataFrame:
-    """log and new rows, which get the next ids in order of time and question; batches of answers are small beside the log."""
-    from pyspark.sql import Window
-
-    last = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    numbered = rows.crossJoin(F.broadcast(last)).withColumn("id", F.col("_last") + F.row_number().over(Window.orderBy("ts", "question"))).drop("_last")
-    return with_warnings_column(log).unionByName(with_warnings_column(numbered), allowMissingColumns=True)

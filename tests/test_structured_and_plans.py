@@ -129,12 +129,3 @@ def test_watching_runs_sync(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert len(runs) == 2
-
-
-def test_log_appends(spark):
-    import datetime as dt
-
-    empty = spark.createDataFrame([], snapshots.LOG)
-    rows = spark.createDataFrame([(dt.datetime(2026, 1, 2), "q", 5), (dt.datetime(2026, 1, 1), "p", 6)], "ts timestamp, question string, latency_ms long")
-    log = snapshots.append_log(snapshots.append_log(empty, rows), rows.limit(1))
-    assert sorted((r.id, r.warnings) for r in log.collect()) == [(1, []), (2, []), (3, [])]
