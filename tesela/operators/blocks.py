@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tesela.operators.grid import beside
 from tesela.operators.lexical import B, K1, Bm25Index
 from tesela.operators.vectors import unit_distances, unit_rows
-from tesela.sources.stage import staged
+from tesela.sources.stage import give_back, staged
 
 #: Chunks in a block, questions in a block.
 CHUNKS, QUESTIONS = 2048, 256
@@ -106,6 +106,8 @@ def _pack(average: float, size: int):
                     at, held = at + size, []
         if held:
             yield _packed(pa.Table.from_batches(held), at, average)
+        held.clear()
+        give_back()
 
     return run
 
@@ -301,6 +303,7 @@ def _scored(k: int, kind: str):
             ids = pa.array([key for key, b in found.items() for _ in b.keys], kind)
             arrays = [ids, pa.concat_arrays([b.rest[0] for b in found.values()]), pa.array(np.concatenate([b.numbers for b in found.values()])), pa.array(-np.concatenate([b.keys for b in found.values()]))]
             yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "chunk_id", "number", "score"])
+        give_back()
 
     return run
 

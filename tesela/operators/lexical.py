@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesela.functions.text import tokens
-from tesela.sources.stage import staged
+from tesela.sources.stage import give_back, staged
 
 # The formula's constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Tokens counted at once.
+TOKENS = 1 << 19
 
 
 @dataclass
@@ -31,6 +33,16 @@ class Bm25Index:
 
 
 def _counted(rows: pa.Array) -> pa.Array:
+    """Each row's distinct terms with their numbers, of about TOKENS tokens at once."""
+    ends = np.cumsum(np.asarray(rows.value_lengths().fill_null(0), np.int64))
+    cuts = np.flatnonzero(np.diff(ends // TOKENS, prepend=0)).tolist()
+    parts = [_counted_part(rows.slice(lo, hi - lo)) for lo, hi in zip([0, *cuts], [*cuts, len(rows)], strict=True) if hi > lo]
+    out = pa.concat_arrays(parts) if parts else _counted_part(rows)
+    give_back()
+    return out
+
+
+def _counted_part(rows: pa.Array) -> pa.Array:
     """Each row's distinct terms with their numbers: the terms of a batch are numbered, and equal (row, number) pairs counted at once."""
     sizes = np.asarray(rows.value_lengths().fill_null(0), np.int64)
     coded = rows.flatten().dictionary_encode()

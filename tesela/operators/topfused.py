@@ -25,7 +25,7 @@ from tesela.operators import blocks as blocks_of
 from tesela.operators import fusion
 from tesela.operators.blocks import Asked, Best, Blocks, arrow_type, firsts, meet, opened
 from tesela.operators.vectors import dot, norm
-from tesela.sources.stage import staged
+from tesela.sources.stage import give_back, staged
 
 #: Places of each ranking that the threshold algorithm reads first, and how many times as many it reads next.
 DEPTH, DEEPER = 1 << 20, 8
@@ -68,6 +68,7 @@ def _candidates(most: int, kind: pa.DataType):
                 ids, score, d = (pa.concat_arrays(x).take(pa.array(at)) for x in zip(*[b.rest for b in lists], strict=True))
                 d = d.to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(numbers), kind), ids, pa.array(numbers), score, pa.array(d, mask=np.isnan(d))], names=["query_id", "chunk_id", "number", "score", "distance"])
+        give_back()
 
     return run
 
@@ -96,6 +97,7 @@ def _count(kind: pa.DataType):
                     totals[key] = (at, totals[key][1] + counts if key in totals else counts)
         for key, (at, counts) in totals.items():
             yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), kind), pa.array(at), *(pa.array(c.astype(np.int64)) for c in counts)], names=["query_id", "number", "by_words", "by_vector"])
+        give_back()
 
     return run
 
@@ -129,6 +131,7 @@ def _listed(keys: list[str]):
                     at, *binary = zip(*rows, strict=True)
                     columns = [block.asked.rows.field(c).take(pa.array(at)) for c in keys]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array([int(numbers[0])] * len(at)), *(pa.array(x, pa.binary()) for x in binary)], names=[*keys, "base", "places", "scores", "distances"])
+        give_back()
 
     return run
 

@@ -235,6 +235,18 @@ def bm25_stats(spark, sf_dir):
     return rows.select("term", "df", F.round("idf", 6).alias("idf"), "n", F.round("avgdl", 6).alias("avgdl"), F.round("average_idf", 6).alias("average_idf"))
 
 
+@query(f"""
+WITH {_BM25}
+SELECT df, count(*) AS n_terms, CAST(sum(length(term)) AS BIGINT) AS n_chars, min(term) AS first_term, max(term) AS last_term, round(min(idf), 6) AS idf, any_value(n) AS n, round(any_value(avgdl), 6) AS avgdl, round(any_value(average_idf), 6) AS average_idf
+FROM terms, st, av GROUP BY df
+""")
+def bm25_idf_levels(spark, sf_dir):
+    """The weights of terms by the number of documents that hold them."""
+    index = lexical.bm25_index(_corpus(spark, sf_dir))
+    levels = index.terms.groupBy("df").agg(F.count(F.lit(1)).alias("n_terms"), F.sum(F.length("term")).alias("n_chars"), F.min("term").alias("first_term"), F.max("term").alias("last_term"), F.round(F.min("idf"), 6).alias("idf"))
+    return levels.crossJoin(F.broadcast(index.stats.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("average_idf", 6).alias("average_idf"))))  # one row
+
+
 @query(f"""
 WITH {_BM25} SELECT * FROM (
   SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank FROM bm

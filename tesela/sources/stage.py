@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,6 +39,13 @@ def drop_stage(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def give_back() -> None:
+    """Give a worker's freed memory back to the machine: idle workers live on between stages and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan whose files make fewer splits than there are cores, dealt to all of them; any other as it is."""
     cores = scan.sparkSession.sparkContext.defaultParallelism

@@ -156,3 +156,13 @@ def test_nearest_limits_groups_and_meets_by_lines(spark, monkeypatch):
     lines = vectors.nearest(q, c, 5)
     assert "NestedLoop" not in lines._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, lines.collect())) == rows and len(rows) == 150
+
+
+def test_terms_are_counted_in_slices(monkeypatch):
+    rows = pa.array([["b", "a", "b"], [], None, ["a"], ["c"] * 9, ["a", "c"]], pa.list_(pa.string()))
+    whole = lexical._counted(rows).to_pylist()
+    assert whole[0] == [{"term": "a", "tf": 1}, {"term": "b", "tf": 2}] or whole[0] == [{"term": "b", "tf": 2}, {"term": "a", "tf": 1}]
+    monkeypatch.setattr(lexical, "TOKENS", 4)
+    by_term = lambda x: [sorted((e["term"], e["tf"]) for e in row or []) for row in x]
+    assert by_term(lexical._counted(rows).to_pylist()) == by_term(whole) == [[("a", 1), ("b", 2)], [], [], [("a", 1)], [("c", 9)], [("a", 1), ("c", 1)]]
+    assert lexical._counted(rows.slice(0, 0)).to_pylist() == []
