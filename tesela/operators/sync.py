@@ -48,7 +48,7 @@ def sync(collection: SnapshotStore, manifest: SnapshotStore, files: DataFrame, i
     """Bring a collection in step with files (source, sha256, ...); index makes chunks of files.  Counts of what was done.
 
     A collection without a manifest gets one of its sources first.  The collection is replaced before the manifest, so a sync that
-    broke off is repeated by the next one with the same result.
+    broke off is repeated by the next one with the same result.  A collection laid out by source has only the buckets of what changed rewritten.
     """
     stored = collection.read(schema)
     if not manifest.exists() and collection.exists():
@@ -60,7 +60,7 @@ def sync(collection: SnapshotStore, manifest: SnapshotStore, files: DataFrame, i
         come = files.join(state.filter(F.col("status").isin("new", "modified")).select("source"), "source", "left_semi")
         chunks = index(come).cache()
         out["indexed_chunks"] = chunks.count()
-        collection.write(applied(stored, state, chunks))
+        collection.replace(state.filter(F.col("status") != "unchanged").select("source"), chunks, schema)
         manifest.write(next_manifest(state, chunks))
         chunks.unpersist()
     state.unpersist()

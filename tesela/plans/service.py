@@ -11,9 +11,9 @@ from tesela.functions import models
 from tesela.operators import sync
 from tesela.plans import retrieval
 from tesela.settings import Settings
-from tesela.sources.files import PageParser, corpus_files, corpus_pages
+from tesela.sources.files import PageParser, corpus_files, corpus_pages, document_chunks
 from tesela.sources.logstore import LogStore
-from tesela.sources.snapshots import SnapshotStore
+from tesela.sources.snapshots import SnapshotStore, SourceStore
 from tesela.sources.stage import staged
 
 CHUNKS = "chunk_id string, source string, page int, chunk_index int, text string, extraction string, section_hint string, is_table boolean, vector array<float>"
@@ -27,7 +27,7 @@ class Service:
         self.spark, self.corpus, self.settings = spark, corpus, settings or Settings.from_env()
         self.embedder, self.completer, self.scorer, self.parser = embedder, completer, scorer, parser
         folder = folder.rstrip("/")
-        self.collection = SnapshotStore(spark, f"{folder}/{self.settings.collection_name}")
+        self.collection = SourceStore(spark, f"{folder}/{self.settings.collection_name}")
         self.manifest, self.log = SnapshotStore(spark, f"{folder}/manifest"), LogStore(spark, f"{folder}/log")
 
     def _index(self, files: DataFrame) -> DataFrame:
@@ -49,6 +49,10 @@ class Service:
         """What a sync would do."""
         return sync.sync_state(self.manifest.read(sync.MANIFEST), corpus_files(self.spark, self.corpus).select("source", "sha256"))
 
+    def document(self, source: str) -> DataFrame:
+        """A document's chunks, from its bucket; its raw text if it isn't indexed."""
+        return document_chunks(self.collection.read_sources([source], CHUNKS), corpus_files(self.spark, self.corpus), source)
+
     def ask(self, questions: DataFrame, top_k: int | None = None) -> DataFrame:
         """Answer questions (query_id string, question), after the log is purged, and log them.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 import warnings
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -83,10 +83,74 @@ class SnapshotStore:
         writer.parquet(f"{self.folder}/versions/{version}")
         self.pointer.add(version=version)
 
+    def replace(self, changed: DataFrame, rows: DataFrame, schema: str | None = None) -> None:
+        """Take the rows of the changed sources (source) out and put rows in."""
+        self.write(upsert(without_sources(self.read(schema), changed), rows))
+
     def reset(self, schema: str) -> None:
         self.write(self.spark.createDataFrame([], schema))
 
 
+class SourceStore(SnapshotStore):
+    """A table with a source column, laid out in buckets by a hash of the source, each a folder of its own.
+
+    A version is a list of its buckets' folders.  A sync writes the buckets of the sources that it changes and lists the others where they
+    are; reading some sources reads their buckets, within which rows are sorted by source, so row groups are left out too.  A bucket with
+    a very common source is written as several files.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        super().__init__(spark, folder)
+        self.buckets = buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("source"), F.lit(self.buckets)).cast("int")
+
+    def _layout(self) -> dict[int, str] | None:
+        """Folders of the buckets that have rows, at most as many as there are buckets."""
+        at = self._pointer()
+        return None if at is None else {r["bucket"]: r["path"] for r in self.spark.read.schema("bucket int, path string").parquet(f"{self.folder}/versions/{at}").collect()}
+
+    def _from(self, paths: list[str], schema: str | None) -> DataFrame:
+        if paths:
+            return self.spark.read.schema(schema).parquet(*paths) if schema else self.spark.read.parquet(*paths)
+        if schema is None:
+            raise FileNotFoundError(self.folder)
+        return self.spark.createDataFrame([], schema)
+
+    def read(self, schema: str | None = None) -> DataFrame:
+        return self._from(sorted((self._layout() or {}).values()), schema)
+
+    def read_sources(self, sources: list[str], schema: str | None = None) -> DataFrame:
+        """The rows of some sources, from their buckets only."""
+        layout = self._layout() or {}
+        asked = self.spark.createDataFrame([(x,) for x in sources], "source string")
+        wanted = {r["b"] for r in asked.select(self._bucket().alias("b")).distinct().collect()}
+        return self._from(sorted(layout[b] for b in wanted & layout.keys()), schema or (None if not layout else self.read().schema)).filter(F.col("source").isin(sources))
+
+    def _write(self, rows: DataFrame, others: dict[int, str]) -> None:
+        version, data = uuid.uuid4().hex, uuid.uuid4().hex
+        spread = self.spark.sql("SELECT /*+ REBALANCE(bucket) */ * FROM {rows}", rows=rows.withColumn("bucket", self._bucket()))
+        spread.sortWithinPartitions("bucket", "source").write.partitionBy("bucket").parquet(f"{self.folder}/data/{data}")
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/data/{data}")
+        names = [s.getPath().getName() for s in at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at)]
+        made = {int(n[7:]): f"{self.folder}/data/{data}/{n}" for n in names if n.startswith("bucket=")}
+        self.spark.createDataFrame(sorted((others | made).items()), "bucket int, path string").coalesce(1).write.parquet(f"{self.folder}/versions/{version}")
+        self.pointer.add(version=version)
+
+    def write(self, df: DataFrame, partition_by: str | None = None) -> None:
+        self._write(df, {})
+
+    def replace(self, changed: DataFrame, rows: DataFrame, schema: str | None = None) -> None:
+        """Take the rows of the changed sources (source) out and put rows in; only buckets of either are read and written."""
+        layout = self._layout() or {}
+        named = changed.select("source").union(rows.select("source"))
+        touched = {r["b"] for r in named.select(self._bucket().alias("b")).distinct().collect()}
+        old = [layout[b] for b in sorted(touched & layout.keys())]
+        kept = upsert(without_sources(self._from(old, schema), changed), rows) if old or schema else rows
+        self._write(kept, {b: p for b, p in layout.items() if b not in touched})
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
     """old with the rows of new inserted, or replacing those of their key; missing columns are null (is_table: false).
 

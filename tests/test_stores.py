@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesela.sources import snapshots
 from tesela.sources.logstore import LogStore, dense_ids
-from tesela.sources.snapshots import SnapshotStore
+from tesela.sources.snapshots import SnapshotStore, SourceStore
 
 
 def files(folder):
@@ -96,3 +96,46 @@ def test_a_manifest_of_broken_lines_is_an_empty_one(spark, tmp_path):
 def test_old_logs_get_warnings(spark):
     old = spark.createDataFrame([(1, "q")], "id long, question string")
     assert [r.warnings for r in snapshots.with_warnings_column(old).collect()] == [[]]
+
+
+def chunks(spark, *sources, text="x"):
+    return spark.createDataFrame([(f"{s}::p1::c{i}", s, text) for s in sources for i in range(3)], "chunk_id string, source string, text string")
+
+
+def test_a_sync_of_few_sources_touches_few_files(spark, tmp_path):
+    store = SourceStore(spark, str(tmp_path / "c"), buckets=8)
+    names = [f"d{i}.txt" for i in range(40)]
+    store.write(chunks(spark, *names))
+    assert store.read().count() == 120 and len(store.read().inputFiles()) == 8
+    one = store.read_sources(["d7.txt"])
+    assert len(one.inputFiles()) == 1 and one.count() == 3 and {r.source for r in one.collect()} == {"d7.txt"}
+    before = files(tmp_path / "c" / "data")
+    store.replace(spark.createDataFrame([("d7.txt",), ("d8.txt",)], "source string"), chunks(spark, "d7.txt", "new.md", text="y"))
+    made = files(tmp_path / "c" / "data") - before
+    assert 1 <= len(made) <= 3 and before <= files(tmp_path / "c" / "data")
+    now = {}
+    for r in store.read().collect():
+        now.setdefault(r.source, []).append(r.text)
+    assert now == {n: ["x"] * 3 for n in names if n not in ("d7.txt", "d8.txt")} | {"d7.txt": ["y"] * 3, "new.md": ["y"] * 3}
+    assert store.read_sources(["d8.txt"]).count() == 0 == store.read_sources(["nobody"]).count()
+
+
+def test_a_collection_by_source_may_be_empty(spark, tmp_path):
+    shape = "chunk_id string, source string, text string"
+    store = SourceStore(spark, str(tmp_path / "c"))
+    assert not store.exists() and store.read(shape).count() == 0 == store.read_sources(["a"], shape).count()
+    with pytest.raises(FileNotFoundError):
+        store.read()
+    store.replace(chunks(spark).select("source"), chunks(spark, "a"), shape)
+    assert store.read().count() == 3
+    store.replace(chunks(spark, "a").select("source"), chunks(spark), shape)
+    assert store.exists() and store.read(shape).count() == 0
+
+
+def test_both_stores_replace_alike(spark, tmp_path):
+    got = []
+    for store in (SnapshotStore(spark, str(tmp_path / "a")), SourceStore(spark, str(tmp_path / "b"), 4)):
+        store.write(chunks(spark, "a", "b", "c"))
+        store.replace(spark.createDataFrame([("a",), ("c",)], "source string"), chunks(spark, "c", "d", text="z"))
+        got.append(sorted(map(tuple, store.read().select("chunk_id", "source", "text").collect())))
+    assert got[0] == got[1] and len(got[0]) == 9
