@@ -1,4 +1,5 @@
-"""Text expressions on columns: cleaning, accents, tokens, headings, claims, tables.  All stay inside the JVM."""
+"""Text expressions on columns: cleaning, accents, tokens, headings, claims, tables.  All but the search for claims
+stay inside the JVM."""
 
 from __future__ import annotations
 
@@ -6,6 +7,8 @@ import functools
 import sys
 import unicodedata
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,11 +134,39 @@ def looks_like_question(text: Column) -> Column:
     return (F.length(t) >= 6) & (t.endswith("?") | t.startswith("¿"))
 
 
-def claim_in_context(claim: Column, context_norm: Column) -> Column:
-    """Whether a normalised context holds the claim, or does without any white space."""
-    c = trim_all(normalized(claim))
+def _held(claims: pa.Array, bare_claims: pa.Array, context: pa.Array, bare_context: pa.Array) -> pa.Array:
+    """For each row, which of its claims its context holds, or does without any white space: one pass over either for all claims."""
+    out = []
+    for row in zip(*(x.to_pylist() for x in (claims, bare_claims, context, bare_context)), strict=True):
+        held = [False] * len(row[0] or [])
+        for wanted, body in ((row[0], row[2]), (row[1], row[3])):
+            places: dict[str, list[int]] = {}
+            for i, claim in enumerate(wanted or []):
+                places.setdefault(claim, []).append(i)
+            found = {""} & places.keys()
+            searched = ahocorasick.Automaton()
+            for claim in places:
+                if claim:
+                    searched.add_word(claim, claim)
+            if len(searched):
+                searched.make_automaton()
+                for _, claim in searched.iter(body or ""):
+                    found.add(claim)
+                    if len(found) == len(places):
+                        break
+            for claim in found:
+                for i in places[claim]:
+                    held[i] = True
+        out.append(held)
+    return pa.array(out, pa.list_(pa.bool_()))
+
+
+def claims_in_context(claims: Column, context: Column) -> Column:
+    """array<boolean>: which claims a context holds, both read without accents, case and runs of white space, or without any of it."""
     bare = lambda x: F.regexp_replace(x, r"(?U)\s+", "")
-    return F.contains(context_norm, c) | F.contains(bare(context_norm), bare(c))
+    wanted = F.transform(claims, lambda c: trim_all(normalized(c)))
+    body = normalized(F.coalesce(context, F.lit("")))
+    return F.arrow_udf(_held, "array<boolean>")(wanted, F.transform(wanted, bare), body, bare(body))
 
 
 def claims(answer: Column) -> Column:

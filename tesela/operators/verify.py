@@ -11,15 +11,17 @@ from tesela.functions import text
 def unsupported(answer: Column, context: Column) -> Column:
     """array<struct<at, kind, claim>> of an answer's claims that the context doesn't hold; at orders them.
 
-    Claims of a kind that read the same when normalised count once, the first; numbers that are trivial don't count.  All inside the row.
+    Claims of a kind that read the same when normalised count once, the first; numbers that are trivial don't count.  All inside the row,
+    and a context is read once for all claims.
     """
     found = text.claims(F.coalesce(answer, F.lit("")))
     named = F.transform(found, lambda c, i: F.struct(i.alias("at"), c.kind.alias("kind"), c.claim.alias("claim"), F.concat(c.kind, F.lit(" "), text.normalized(c.claim)).alias("name")))
     names = F.transform(named, lambda c: c["name"])
     firsts = F.filter(named, lambda c: F.array_position(names, c["name"]) == c["at"] + 1)
-    held = text.normalized(F.coalesce(context, F.lit("")))
     trivial = lambda c: (c.kind == "numero") & F.regexp_replace(c.claim, "[^0-9]", "").isin(text.TRIVIAL_NUMBERS)
-    return F.transform(F.filter(firsts, lambda c: ~trivial(c) & ~text.claim_in_context(c.claim, held)), lambda c: F.struct(c["at"].alias("at"), c.kind.alias("kind"), c.claim.alias("claim")))
+    asked = F.filter(firsts, lambda c: ~trivial(c))
+    told = F.zip_with(asked, text.claims_in_context(F.transform(asked, lambda c: c.claim), context), lambda c, held: F.struct(c["at"].alias("at"), c.kind.alias("kind"), c.claim.alias("claim"), held.alias("held")))
+    return F.transform(F.filter(told, lambda c: ~c.held), lambda c: F.struct(c["at"].alias("at"), c.kind.alias("kind"), c.claim.alias("claim")))
 
 
 def unsupported_claims(answers: DataFrame, key: str = "id", answer: str = "answer", context: str = "context") -> DataFrame:

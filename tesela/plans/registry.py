@@ -371,8 +371,15 @@ def source_frequencies(spark, sf_dir):
 # ---------------------------------------------------------------- verification
 
 def _answers(spark, sf_dir):
-    before = F.lag("text").over(Window.partitionBy("source").orderBy("doc_id"))
-    return documents(spark, sf_dir).select("doc_id", F.col("text").alias("answer"), F.coalesce(before, F.lit("")).alias("context"))
+    """Each document as an answer, the one before it in its source as its context.  Places in one order of all find the one before, so a
+    source may be of any size."""
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    placed = logstore.dense_ids(docs.select("doc_id", "source"), ["source", "doc_id"])[0]
+    before = placed.select((F.col("id") + 1).alias("id"), F.col("source").alias("_source"), F.col("doc_id").alias("_before"))
+    pairs = placed.join(before, "id", "left").select("doc_id", F.when(F.col("_source") == F.col("source"), F.col("_before")).alias("_before"))
+    contexts = docs.select(F.col("doc_id").alias("_before"), F.col("text").alias("context"))
+    rows = docs.join(pairs, "doc_id").join(contexts, "_before", "left")
+    return rows.select("doc_id", F.col("text").alias("answer"), F.coalesce("context", F.lit("")).alias("context"))
 
 
 # Only numbers occur in these tables, beside ASCII letters and signs only, so RE2's \b serves.
@@ -395,6 +402,34 @@ def warnings_explode(spark, sf_dir):
     return verify.explode_warnings(log).withColumnRenamed("ts", "doc_id")
 
 
+_CLAIMED = r"""
+said AS (
+  SELECT doc_id, text || ' Segun el ARTÍCULO  ' || (doc_id % 40 + 11) || 'b y el articulo ' || (doc_id % 7 + 20) || ', el ' || (doc_id % 28 + 1) || ' de marzo de ' || (2000 + doc_id % 25) || ' fue el 28,5% de 1.234.567' AS answer,
+    CASE doc_id % 3 WHEN 0 THEN 'Articulo ' || (doc_id % 40 + 11) || 'B: el 28,5 % y ' || (doc_id % 28 + 1) || ' de' || chr(10) || 'Marzo de ' || (2000 + doc_id % 25) WHEN 1 THEN 'art. ' || (doc_id % 7 + 20) ELSE text END AS context FROM documents
+), found AS (
+  SELECT doc_id, context, 'numero' AS kind, unnest(regexp_extract_all(answer, '\b\d{1,3}(?:[.,]\d{3})*(?:[.,]\d+)?\s*%?\b')) AS claim FROM said
+  UNION ALL SELECT doc_id, context, 'articulo' AS kind, unnest(regexp_extract_all(answer, '(?i)art[íi]culo\s+\d+[a-z]?')) AS claim FROM said
+  UNION ALL SELECT doc_id, context, 'fecha' AS kind, unnest(regexp_extract_all(answer, '(?i)\b\d{1,2}\s+de\s+[a-záéíóúñ]+\s+de\s+\d{4}\b')) AS claim FROM said
+), named AS (
+  SELECT DISTINCT doc_id, kind, trim(regexp_replace(lower(strip_accents(claim)), '\s+', ' ', 'g')) AS claim, regexp_replace(lower(strip_accents(context)), '\s+', ' ', 'g') AS context FROM found
+)
+SELECT doc_id, kind, claim FROM named WHERE NOT (kind = 'numero' AND regexp_replace(claim, '[^0-9]', '', 'g') IN ('1','2','3','4','5','6','7','8','9','10','100'))
+  AND NOT contains(context, claim) AND NOT contains(replace(context, ' ', ''), replace(claim, ' ', ''))
+"""
+
+
+@query("WITH " + _CLAIMED)
+def claim_kinds(spark, sf_dir):
+    """Answers that name numbers, articles and dates, some of which their contexts hold in another spelling."""
+    n = lambda by, plus: (F.col("doc_id") % by + plus).cast("string")
+    day = F.concat(n(28, 1), F.lit(" de marzo de "), n(25, 2000))
+    answer = F.concat("text", F.lit(" Segun el ARTÍCULO  "), n(40, 11), F.lit("b y el articulo "), n(7, 20), F.lit(", el "), day, F.lit(" fue el 28,5% de 1.234.567"))
+    other = F.concat(F.lit("Articulo "), n(40, 11), F.lit("B: el 28,5 % y "), n(28, 1), F.lit(" de\nMarzo de "), n(25, 2000))
+    context = F.when(F.col("doc_id") % 3 == 0, other).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("art. "), n(7, 20))).otherwise(F.col("text"))
+    found = verify.unsupported_claims(documents(spark, sf_dir).select("doc_id", answer.alias("answer"), context.alias("context")), "doc_id")
+    return found.select("doc_id", "kind", text.trim_all(text.normalized(F.col("claim"))).alias("claim"))
+
+
 # ---------------------------------------------------------------- query log
 
 _LOG = """
