@@ -43,9 +43,10 @@ class Blocks:
     def chunk_type(self) -> str:
         return self.frame.schema["chunk_ids"].dataType.elementType.simpleString()
 
-    def sample(self) -> DataFrame:
-        """About SAMPLE blocks, the first among them, as chunks of one score are ordered by their numbers."""
-        return self.frame.filter((F.col("base") == 0) | (F.pmod(F.xxhash64("base"), F.lit(max(1, self.blocks // SAMPLE))) == 0))
+    def sample(self, many: int = SAMPLE) -> DataFrame:
+        """About so many blocks, the first among them, as chunks of one score are ordered by their numbers; larger samples hold smaller ones."""
+        share = F.lit(int((1 << 30) * min(1.0, many / max(1, self.blocks))))
+        return self.frame.filter((F.col("base") == 0) | (F.pmod(F.xxhash64("base"), F.lit(1 << 30)) < share))
 
 
 def gain(tf: np.ndarray, norm: np.ndarray) -> np.ndarray:

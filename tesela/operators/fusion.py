@@ -52,14 +52,15 @@ def minmax(value: Column, window) -> Column:
     return F.when(hi == lo, 0.5).otherwise((value - lo) / F.nullif(hi - lo, F.lit(0.0)))
 
 
-def blend(hits: DataFrame, alpha: float, k: int, tie: str = "rank") -> DataFrame:
+def blend(hits: DataFrame, alpha: float | Column, k: int, tie: str = "rank", by: list[str] | None = None) -> DataFrame:
     """hits (query_id, rrf, rerank_score, ...) with blended_score, the k best of each question by place (from 0).
 
     Both scores are scaled within the question's pool; alpha is clamped to 0..1.  Pools of at most k hits keep their order and get no
-    scores (null).
+    scores (null).  by: columns of settings to compare, as a model and its weight, in which case alpha may be a column: every setting has a
+    pool of its own, and the pool is read once for all.
     """
-    alpha = max(0.0, min(1.0, alpha))
-    per = Window.partitionBy("query_id")
+    alpha = F.greatest(F.lit(0.0), F.least(F.lit(1.0), alpha)) if isinstance(alpha, Column) else max(0.0, min(1.0, alpha))
+    per = Window.partitionBy("query_id", *(by or []))
     pool = F.count(F.lit(1)).over(per)
     mixed = alpha * minmax(F.col("rerank_score"), per) + (1 - alpha) * minmax(F.col("rrf"), per)
     rows = hits.withColumn("_pool", pool).withColumn("_mix", mixed)

@@ -29,6 +29,8 @@ from tesela.sources.stage import give_back, staged
 
 #: Places of each ranking that the threshold algorithm reads first, and how many times as many it reads next.
 DEPTH, DEEPER = 1 << 20, 8
+#: How many times as many blocks a sample has as the one before.
+WIDER = 4
 
 _FLOORS = ("floor_score", "floor_number", "floor_distance", "floor_at")
 
@@ -173,21 +175,43 @@ def _with_floors(blocks: Blocks, questions: DataFrame, first: int | None = None,
     return staged(questions.join(floors, "query_id", "left"))
 
 
+def _narrowed(blocks: Blocks, asked: DataFrame, most: int) -> DataFrame:
+    """Questions with the floors of their first `most` places, from samples of the blocks, each WIDER times as large as the one before: so
+    a sample, and at last the corpus, has about WIDER * most chunks within the floors of the one before, however large it is."""
+    if blocks.blocks <= blocks_of.SAMPLE:
+        return asked
+    floored, many = _with_floors(blocks, asked, first=most), blocks_of.SAMPLE * WIDER
+    while many < blocks.blocks:
+        rows = staged(_first_places(blocks.sample(many), blocks, floored, most))
+        by_words = rows.filter(F.col("_l") == most).select("query_id", F.col("score").alias("floor_score"), F.col("number").alias("floor_number"))
+        by_vector = rows.filter((F.col("_v") == most) & F.col("distance").isNotNull()).select("query_id", F.col("distance").alias("floor_distance"), F.col("number").alias("floor_at"))
+        floored = staged(asked.join(by_words, "query_id", "left").join(by_vector, "query_id", "left"))
+        many *= WIDER
+    return floored
+
+
+def _first_places(sample: DataFrame, blocks: Blocks, asked: DataFrame, most: int) -> DataFrame:
+    """(query_id, chunk_id, number, score, distance, _l, _v): each question's first places in either ranking of some blocks, from 1; places
+    beyond `most` are not true ones."""
+    kind, q_type = arrow_type(asked, "query_id"), asked.schema["query_id"].dataType.simpleString()
+    per = Window.partitionBy("query_id")
+    rows = meet(sample, asked).mapInArrow(_candidates(most, kind), f"query_id {q_type}, chunk_id {blocks.chunk_type}, number long, score double, distance double")
+    by_words, by_vector = (F.row_number().over(per.orderBy(*o)).cast("long") for o in ((F.desc("score"), "number"), (F.asc_nulls_last("distance"), "number")))
+    return rows.withColumns({"_l": by_words, "_v": by_vector}).filter((F.col("_l") <= most) | (F.col("distance").isNotNull() & (F.col("_v") <= most)))
+
+
 def top_fused(blocks: Blocks, questions: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, number, rrf, distance, bm25_rank, rank from 0) of the k best chunks of each question (query_id, terms, vector).
 
     Scores and distances are rounded to nine places; ties of either ranking go to the smaller chunk_id, ties of the sum, rounded to twelve
     places, to the better lexical rank.  Chunks without a vector have distance 1 and no vector rank, and so have all chunks of a question
-    without one.  Chunks that hold no term score 0.  Where there are many blocks, a sample of them gives thresholds for the first places.
+    without one.  Chunks that hold no term score 0.  Where there are many blocks, samples of them give thresholds for the first places.
     """
     kind, q_type = arrow_type(questions, "query_id"), questions.schema["query_id"].dataType.simpleString()
     most = fusion.RRF_K + 2 * k
     per = Window.partitionBy("query_id")
     asked = staged(questions.select("query_id", "terms", "vector"))
-    floored = _with_floors(blocks, asked, first=most) if blocks.blocks > blocks_of.SAMPLE else asked
-    rows = meet(blocks.frame, floored).mapInArrow(_candidates(most, kind), f"query_id {q_type}, chunk_id {blocks.chunk_type}, number long, score double, distance double")
-    by_words, by_vector = (F.row_number().over(per.orderBy(*o)).cast("long") for o in ((F.desc("score"), "number"), (F.asc_nulls_last("distance"), "number")))
-    placed = rows.withColumns({"_l": by_words, "_v": by_vector}).filter((F.col("_l") <= most) | (F.col("distance").isNotNull() & (F.col("_v") <= most)))
+    placed = _first_places(blocks.frame, blocks, _narrowed(blocks, asked, most), most)
     # at most 2 * most rows a question
     found = staged(placed.withColumns({"_l": F.when(F.col("_l") <= most, F.col("_l") - 1), "_v": F.when(F.col("distance").isNotNull() & (F.col("_v") <= most), F.col("_v") - 1)}))
     open_ones = found.filter(F.col("_l").isNull() | (F.col("_v").isNull() & F.col("distance").isNotNull()))

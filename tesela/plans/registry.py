@@ -314,8 +314,10 @@ def _pool(spark, sf_dir):
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(text.TOKEN), F.lit(0)))
     rows = pool.join(_questions(spark, sf_dir), "query_id").join(_corpus(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
     a, b = words(F.col("question")), words(F.col("text"))
-    score = F.round(F.size(F.array_intersect(a, b)).cast("double") / F.greatest(F.size(F.array_union(a, b)), F.lit(1)), 9)
-    return rows.select("query_id", "chunk_id", "rrf", "rank", score.alias("rerank_score"))
+    common = F.size(F.array_intersect(a, b)).cast("double")
+    score = F.round(common / F.greatest(F.size(F.array_union(a, b)), F.lit(1)), 9)
+    covered = F.round(common / F.greatest(F.size(a), F.lit(1)), 9)
+    return rows.select("query_id", "chunk_id", "rrf", "rank", score.alias("rerank_score"), covered.alias("covered"))
 
 
 @query(f"""
@@ -338,16 +340,38 @@ SELECT alpha, count(*) AS n, round(avg(hit), 6) AS accuracy, coalesce(string_agg
 """)
 def alpha_sweep(spark, sf_dir):
     """Blending weights against whether a question's best chunks hold its passage; the failing questions are listed."""
-    from functools import reduce
-
-    pool = _pool(spark, sf_dir).cache()
-    placed = reduce(DataFrame.unionByName, [fusion.blend(pool, a, TOP_K).select(F.lit(a).alias("alpha"), "query_id", "chunk_id") for a in ALPHAS])
+    settings = _pool(spark, sf_dir).withColumn("alpha", F.explode(F.array(*map(F.lit, ALPHAS))))
+    placed = fusion.blend(settings, F.col("alpha"), TOP_K, by=["alpha"]).select("alpha", "query_id", "chunk_id")
     rows = placed.join(_corpus(spark, sf_dir).select("chunk_id", "text"), "chunk_id").join(_questions(spark, sf_dir), "query_id")
     best = rows.groupBy("alpha", "query_id").agg(F.max(F.contains("text", F.col("question")).cast("int")).alias("hit"))
     fails = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("hit") == 0, F.col("query_id")))), lambda x: x.cast("string")), ",")
     return best.groupBy("alpha").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 6).alias("accuracy"), fails.alias("fails"))
 
 
+_TWO_MODELS = _RERANK.replace(
+    """scored AS (SELECT query_id, chunk_id, rrf, rank, round(""",
+    """scored AS (SELECT 'covered' AS model, query_id, chunk_id, rrf, rank, round(len(list_intersect(qs, cs))::DOUBLE / greatest(len(qs), 1), 9) AS rr FROM pairs UNION ALL SELECT 'jaccard' AS model, query_id, chunk_id, rrf, rank, round(""",
+).replace("SELECT query_id, chunk_id, rank,\n    CASE", "SELECT model, query_id, chunk_id, rank,\n    CASE").replace("PARTITION BY query_id)\n)", "PARTITION BY model, query_id)\n)")
+
+
+@query(f"""
+WITH {_TWO_MODELS},
+params AS (SELECT unnest([{", ".join(f"{a}::DOUBLE" for a in ALPHAS)}]) AS alpha),
+placed AS (SELECT model, alpha, query_id, chunk_id, row_number() OVER (PARTITION BY model, alpha, query_id ORDER BY round(alpha * a + (1 - alpha) * b, 9) DESC, rank) - 1 AS place FROM scaled, params),
+best AS (SELECT model, alpha, query_id, max(CASE WHEN contains(d.text, q.text) THEN 1.0 / (1 + place) ELSE 0 END) AS hit FROM placed JOIN documents d ON d.doc_id = chunk_id JOIN benchmark q ON q.item_id = query_id WHERE place < {TOP_K} GROUP BY ALL)
+SELECT model, alpha, count(*) AS n, round(avg(CASE WHEN hit > 0 THEN 1 ELSE 0 END), 6) AS accuracy, round(avg(hit), 6) AS reciprocal_rank FROM best GROUP BY model, alpha
+""")
+def model_comparison(spark, sf_dir):
+    """Two pair scorers with all weights: how often, and how far up, the first chunks hold the question's passage.  One plan, in which the
+    pool is found once and every setting is a row of it."""
+    settings = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(a).alias("alpha"), F.col(c).alias("rerank_score")) for m, c in (("covered", "covered"), ("jaccard", "rerank_score")) for a in ALPHAS])
+    rows = _pool(spark, sf_dir).select("query_id", "chunk_id", "rrf", "rank", F.explode(settings).alias("s")).select("query_id", "chunk_id", "rrf", "rank", "s.*")
+    placed = fusion.blend(rows, F.col("alpha"), TOP_K, by=["model", "alpha"]).select("model", "alpha", "query_id", "chunk_id", "place")
+    told = placed.join(_corpus(spark, sf_dir).select("chunk_id", "text"), "chunk_id").join(_questions(spark, sf_dir), "query_id")
+    best = told.groupBy("model", "alpha", "query_id").agg(F.max(F.when(F.contains("text", F.col("question")), 1.0 / (1 + F.col("place"))).otherwise(0.0)).alias("hit"))
+    return best.groupBy("model", "alpha").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("hit") > 0).cast("double")), 6).alias("accuracy"), F.round(F.avg("hit"), 6).alias("reciprocal_rank"))
+
+
 @query(f"""
 WITH {_FUSED}
 SELECT query_id, string_agg('[Fragmento ' || (rank + 1) || '] Fuente: ' || source || ' | Pagina: ' || chunk_id || ' | Seccion: ' || CASE WHEN chunk_id % 2 = 0 THEN '(sin titulo)' ELSE 'S' || chunk_id END || chr(10) || chr(10) || text,
