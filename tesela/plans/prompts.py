@@ -9,7 +9,12 @@ from tesela.functions.structured import EXTRACT_CATEGORIES, RISK_LABELS, SUMMARY
 
 ANSWER = "Eres un analista de riesgo financiero. Responde solo con los fragmentos dados, cita sus cifras tal como aparecen y, si no bastan, di que no encuentras esta informacion."
 DECOMPOSE = "Separa la pregunta en preguntas simples. Devuelve unicamente un array JSON con hasta tres cadenas, cada una terminada en signo de interrogacion."
-STEPS = " Razona primero paso a paso y escribe al final el JSON."
+#: What the cot technique asks for before the JSON, by task; the last step is the JSON itself.
+STEPS = {
+    "classify": ("cita las frases que hablan de un riesgo", "di que etiqueta corresponde a cada frase y por que", "pondera las etiquetas segun su presencia en el texto"),
+    "extract": ("lee el fragmento y separa hechos de opiniones", "asigna cada hecho a una clave, con sus cifras y fechas", "descarta lo que este repetido"),
+    "summarize": ("ordena lo tratado por temas", "separa lo decidido, lo pendiente y quien responde", "reduce cada punto a una linea"),
+}
 
 _TASKS = {
     "classify": ("Clasifica el texto por tipo de riesgo. Etiquetas: " + ", ".join(RISK_LABELS) + '. Devuelve un array JSON de objetos {"label", "weight"} con pesos entre 0 y 1.', "Texto:\n"),
@@ -26,11 +31,12 @@ def check_technique(technique: str) -> None:
 
 
 def task_prompt(task: str, technique: str, body: Column, document: Column | None = None) -> tuple[Column, Column]:
-    """(system, user) of a task; cot asks for reasoning first."""
+    """(system, user) of a task; cot asks for the task's own steps of reasoning first, the JSON as the last; reductions have none."""
     check_technique(technique)
     system, label = _TASKS[task]
     head = F.concat(F.lit("Documento: "), document, F.lit("\n")) if document is not None else F.lit("")
-    return F.lit(system + (STEPS if technique == "cot" else "")), F.concat(head, F.lit(label), body)
+    steps = [*STEPS.get(task, ()), "el JSON, sin nada detras"] if technique == "cot" and task in STEPS else []
+    return F.lit(system + "".join(f"\nPASO {i}: {step}." for i, step in enumerate(steps, 1))), F.concat(head, F.lit(label), body)
 
 
 def answer_prompt(question: Column, context: Column) -> tuple[Column, Column]:

@@ -786,6 +786,30 @@ def classify_texts(spark, sf_dir):
     return out.select("event_id", F.explode("labels").alias("x")).select("event_id", "x.label", "x.weight")
 
 
+@query("SELECT doc_id AS query_id, '¿Que es ' || source || '?|¿Como va ' || doc_id || '?|¿Quien es ' || lang || '?' AS subs FROM documents")
+def decompose_first_three(spark, sf_dir):
+    """Of five good parts the first three stay."""
+    from tesela.plans.retrieval import sub_questions
+
+    parts = [("¿Que es ", "source"), ("¿Como va ", "doc_id"), ("¿Quien es ", "lang"), ("¿Donde esta ", "source"), ("¿Por que ", "doc_id")]
+    listed = F.array_join(F.array(*[F.concat(F.lit(f'"{a}'), F.col(c).cast("string"), F.lit('?"')) for a, c in parts]), ", ")
+    asked = F.concat(F.lit("Que es y como va? ["), listed, F.lit("]"))
+    divided = sub_questions(documents(spark, sf_dir).select(F.col("doc_id").alias("query_id"), asked.alias("question")), models.echo_completer)
+    return divided.select("query_id", F.array_join("subs", "|").alias("subs"))
+
+
+@query(ORACLES["classify_texts"])
+def classify_objects(spark, sf_dir):
+    """As classify_texts, with answers that are objects whose list comes after other values."""
+    value = F.col("value") / 100
+    answer = F.concat(
+        F.lit('PASO 4: {"nota": "x", "vacias": [], "cifras": [1], "etiquetas": [{"label": "riesgo_credito", "weight": '), F.format_string("%.6f", value),
+        F.lit('}, {"label": "otra", "weight": 1}, {"label": "Riesgo_Mercado", "weight": 0.25}]}'),
+    )
+    out = assistant.classify(table(spark, sf_dir, "events").select("event_id", answer.alias("text")), "cot", models.echo_completer)
+    return out.select("event_id", F.explode("labels").alias("x")).select("event_id", "x.label", "x.weight")
+
+
 _ITEMS = """
 WITH said AS (SELECT conv_id AS source, turn AS page, {0} AS item FROM conversations WHERE text IS NOT NULL),
 f AS (SELECT *, row_number() OVER (PARTITION BY source, lower(item) ORDER BY page) AS n FROM said WHERE item <> '')
@@ -808,6 +832,31 @@ def _reduces_to_nothing(system: str, user: str, temperature: float = 0.1, most:
     return "" if "Parciales:" in user else user[:most]
 
 
+def _reduces_to_a_count(system: str, user: str, temperature: float = 0.1, most: int = 1024) -> str:
+    """Repeats a chunk's prompt; answers the reduction of three parts and more with their number."""
+    if "Parciales:" not in user:
+        return user[:most]
+    n = user.count("\n", user.index("Parciales:"))
+    return f'{{"limites_regulatorios": ["{n} partes", "{n} PARTES"]}}' if n > 2 else "sin respuesta"
+
+
+@query(r"""
+WITH said AS (SELECT conv_id, turn, regexp_extract_all(text, '[\pL\pN_]+') AS w FROM conversations WHERE text IS NOT NULL),
+items AS (SELECT conv_id, turn, w[1] || coalesce(' - ' || w[2], '') AS item FROM said WHERE len(w) > 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(item) ORDER BY turn) AS n FROM items),
+merged AS (SELECT conv_id, string_agg(item, '|' ORDER BY turn) AS items FROM f WHERE n = 1 GROUP BY conv_id),
+parts AS (SELECT conv_id, count(*) AS n FROM said GROUP BY conv_id)
+SELECT CAST(conv_id AS VARCHAR) AS source, 'limites_regulatorios' AS field, CASE WHEN n > 2 THEN n || ' partes' ELSE items END AS items FROM parts LEFT JOIN merged USING (conv_id) WHERE n > 2 OR items IS NOT NULL
+""")
+def extract_reduced(spark, sf_dir):
+    """Answers whose items are objects, which are flattened, and a model that reduces the longer conversations."""
+    words = F.regexp_extract_all("text", F.lit(text.TOKEN), F.lit(0))
+    item = F.struct(F.get(words, 0).alias("accion"), F.get(words, 1).alias("detalle"))
+    body = F.to_json(F.create_map(F.lit("limites_regulatorios"), F.array(item)))
+    chunks = table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select(F.col("conv_id").cast("string").alias("source"), F.col("turn").alias("page"), F.lit(0).alias("chunk_index"), body.alias("text"))
+    return _listed(assistant.extract(chunks, "cot", _reduces_to_a_count))
+
+
 def _listed(results: DataFrame) -> DataFrame:
     return results.filter(F.size("items") > 0).select("source", "field", F.array_join("items", "|").alias("items"))
 

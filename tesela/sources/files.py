@@ -54,30 +54,47 @@ def text_pages(files: DataFrame) -> DataFrame:
     return pages.filter(F.col("text") != "")
 
 
-def pdf_pages(files: DataFrame, parser: PageParser) -> DataFrame:
-    """PDF files by an injected parser: text and tables of each page; a page with little text and no table takes its OCR text if longer.
+PARSED = "source string, page int, body string, tables array<string>, ocr string, error string"
+
 
-    Pages are numbered from 1, empty ones are dropped.  A file that the parser rejects has no pages.
-    """
+def parsed_files(files: DataFrame, parser: PageParser) -> DataFrame:
+    """PARSED rows of the PDF files: a row a page, numbered from 1, or one with the error where the parser rejects a file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for source, content in zip(batch["source"], batch["content"], strict=True):
                 try:
                     pages = parser(bytes(content))
-                except Exception:  # noqa: BLE001  a broken file must not stop the corpus
-                    pages = []
-                rows += [(source, i, body, tables, ocr) for i, (body, tables, ocr) in enumerate(pages, 1)]
-            yield pd.DataFrame(rows, columns=["source", "page", "body", "tables", "ocr"])
+                except Exception as e:  # noqa: BLE001  a broken file must not stop the corpus
+                    rows.append((source, None, None, None, None, f"{type(e).__name__}: {e}"))
+                    continue
+                rows += [(source, i, body, tables, ocr, None) for i, (body, tables, ocr) in enumerate(pages, 1)]
+            out = pd.DataFrame(rows, columns=["source", "page", "body", "tables", "ocr", "error"])
+            yield out.astype({"page": "Int32"})
+
+    return files.filter(F.col("suffix") == "pdf").select("source", "content").mapInPandas(run, PARSED)
+
+
+def failed_files(parsed: DataFrame) -> DataFrame:
+    """(source, error) of the files that the parser rejected."""
+    return parsed.filter(F.col("error").isNotNull()).select("source", "error")
 
-    raw = files.filter(F.col("suffix") == "pdf").select("source", "content").mapInPandas(run, "source string, page int, body string, tables array<string>, ocr string")
+
+def parsed_pages(parsed: DataFrame) -> DataFrame:
+    """The pages of parsed_files(): text and tables; one with little text and no table takes its OCR text if longer; empty ones are dropped."""
+    raw = parsed.filter(F.col("error").isNull())
     native = text.clean(F.array_join(F.concat(F.array("body"), F.col("tables")), "\n\n"))
-    scanned = (F.length(native) < 40) & (F.size("tables") == 0) & (F.length(text.clean(F.col("ocr"))) > F.length(native))
+    scanned = (F.size("tables") == 0) & (text.prefer_longer(native, text.clean(F.col("ocr"))) != native)
     pages = raw.select("source", "page", F.when(scanned, text.clean(F.col("ocr"))).otherwise(native).alias("text"), F.when(scanned, "ocr").otherwise("native").alias("extraction"))
     return pages.filter(F.col("text") != "")
 
 
+def pdf_pages(files: DataFrame, parser: PageParser) -> DataFrame:
+    """PDF files by an injected parser, as parsed_pages(); failed_files(parsed_files()) has those that it rejects."""
+    return parsed_pages(parsed_files(files, parser))
+
+
 def corpus_pages(files: DataFrame, parser: PageParser | None = None) -> DataFrame:
     """All pages of files; PDF files need a parser and have no pages without one."""
     pages = text_pages(files)

@@ -154,9 +154,9 @@ class SourceStore(SnapshotStore):
 def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
     """old with the rows of new inserted, or replacing those of their key; missing columns are null (is_table: false).
 
-    Of new rows that share a key, one stays.
+    Of new rows that share a key, the greatest stays, compared by their columns in order.
     """
-    new = new.dropDuplicates([key])
+    new = new.groupBy(key).agg(F.max(F.struct(*[c for c in new.columns if c != key])).alias("_row")).select(key, "_row.*").select(*new.columns)
     if "is_table" in old.columns and "is_table" not in new.columns:
         new = new.withColumn("is_table", F.lit(False))
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)

@@ -119,6 +119,29 @@ def test_pdf_pages(spark):
     df = spark.createDataFrame([("a.pdf", "pdf", bytearray(b"ok"), "h"), ("b.pdf", "pdf", bytearray(b"bad"), "h")], files.FILES)
     got = [(r.page, r.text, r.extraction) for r in files.pdf_pages(df, parse).orderBy("page").collect()]
     assert got == [(1, "texto escaneado mucho mas largo que el nativo", "ocr"), (2, "x\n\n| t |", "native")]
+    parsed = files.parsed_files(df, parse)
+    assert [(r.source, r.error) for r in files.failed_files(parsed).collect()] == [("b.pdf", "ValueError: ")]
+    assert files.failed_files(files.parsed_files(df.filter("source = 'a.pdf'"), parse)).count() == 0
+
+
+def test_steps_of_reasoning_differ_by_task(spark):
+    from tesela.plans.prompts import task_prompt
+
+    told = {}
+    for task in ("classify", "extract", "summarize", "extract_reduce"):
+        for technique in ("zero_shot", "cot"):
+            told[task, technique] = spark.range(1).select(task_prompt(task, technique, F.lit("x"))[0]).first()[0]
+    steps = [told[t, "cot"].removeprefix(told[t, "zero_shot"]) for t in ("classify", "extract", "summarize")]
+    assert len(set(steps)) == 3 and all("PASO 1:" in x and "PASO 4: el JSON" in x for x in steps)
+    assert told["extract_reduce", "cot"] == told["extract_reduce", "zero_shot"]
+    with pytest.raises(ValueError, match="technique"):
+        task_prompt("classify", "other", F.lit("x"))
+
+
+def test_of_new_rows_with_one_key_the_greatest_stays(spark):
+    old = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "chunk_id int, text string, page int")
+    new = spark.createDataFrame([(2, "x", 1), (2, "x", 9), (2, "c", 99), (3, None, 1)], "chunk_id int, text string, page int").repartition(3)
+    assert sorted(tuple(r) for r in snapshots.upsert(old, new).collect()) == [(1, "a", 5), (2, "x", 9), (3, None, 1)]
 
 
 def test_watching_runs_sync(spark, tmp_path):
