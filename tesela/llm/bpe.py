@@ -144,11 +144,11 @@ class BpeAutomaton:
         at, state, dead = 0, 0, set()
         out: list[int] = []
         before: list[tuple[int, int, list[int]]] = []  # of each token taken: where it begins, the state there, shorter tokens there
-        found = None
+        found, body = None, memoryview(word)  # whose rest isn't copied at each token
         while at < len(word):
             if found is None:
                 node, found = 0, []
-                for byte in word[at:]:
+                for byte in body[at:]:
                     node = child(node << 8 | byte)
                     if node is None:
                         break

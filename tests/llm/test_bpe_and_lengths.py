@@ -103,3 +103,21 @@ def test_memory_of_words_is_bounded(monkeypatch):
         assert memo[f"w{i % 700}x"] == len(f"w{i % 700}x") and memo["often"] == 5
         assert len(memo) + len(memo._elder) < 200
     assert memo["y" * 100_000] == 100_000 and "y" * 100_000 not in memo
+
+
+def test_a_very_long_word_takes_time_in_proportion():
+    """A text without a space is one word; eight times the length would take 64 times as long if the rest were copied at each token."""
+    import random
+    import time
+
+    rng = random.Random(1)
+    short, long = ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (250_000, 2_000_000))
+    made = bpe.automaton(VOCABULARY)
+    took = []
+    for word in (short, long):
+        began = time.perf_counter()
+        out = made.encode_word(word.encode())
+        took.append(time.perf_counter() - began)
+        assert b"".join(made.labels[i] for i in out) == word.encode()
+    assert took[1] < 20 * took[0]
+    assert ids(short) == PEER.encode(short, add_special_tokens=False).ids
