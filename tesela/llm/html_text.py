@@ -14,6 +14,7 @@ import bisect
 import html as html_entities
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -116,6 +117,8 @@ class TagEnds:
 
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
+#: Signs that end or part sentences.
+_SENTENCE = re.compile(r"[.!?…。！？؟।,;:，、；،]")
 
 GOOD, BAD, OPEN = 1, -1, 0
 
@@ -296,11 +299,38 @@ def _stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
+def _reads_on(text: str) -> float:
+    """Stands for the density where no function word is known: 1 for text with the signs that end or part sentences, in any script."""
+    return 1.0 if _SENTENCE.search(text) else 0.0
+
+
+def _in_words(block: tuple[str, int, int, str, bool, tuple[int, ...]]) -> tuple[str, int, int, str, bool, tuple[int, ...]]:
+    """A block with its length in words of five letters where its script has no spaces."""
+    text, n, links, *rest = block
+    size = max(n, sum(map(str.isalnum, text)) // 5) if n else 0
+    return (text, size, links * size // n if n else links, *rest)
+
+
 def classify_blocks(blocks: list[tuple[str, int, int, str, bool, tuple[int, ...]]]) -> list[bool]:
-    """Which blocks are main text: the two passes."""
+    """Which blocks are main text: the two passes.
+
+    Where they find none, as in languages whose function words aren't known, they are repeated with sentence signs as density and lengths
+    that don't depend on spaces.  Where even so no block decides, all blocks that aren't outside nor mostly links are the text, if they
+    make up 2 LONG words together, so a page of short paragraphs isn't empty.
+    """
+    if any(found := _two_passes(blocks, _stop_density)):
+        return found
+    sized = [_in_words(b) for b in blocks]
+    if any(found := _two_passes(sized, _reads_on)):
+        return found
+    left = [not outside and links <= LINKED * n for _, n, links, _, outside, _ in sized]
+    return left if sum(b[1] for b, keep in zip(sized, left, strict=True) if keep) >= 2 * LONG else found
+
+
+def _two_passes(blocks: list[tuple[str, int, int, str, bool, tuple[int, ...]]], density_of: Callable[[str], float]) -> list[bool]:
     stops, weight = [], {}
     for text, n, links, kind, outside, part in blocks:
-        stops.append(_stop_density(text))
+        stops.append(density_of(text))
         if not outside:
             dense = n >= LONG and stops[-1] >= DENSE and links <= LINKED * n and kind not in HEADINGS
             weight[part] = weight.get(part, 0) + dense * n * (MARKED if part else 1)

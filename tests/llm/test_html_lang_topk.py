@@ -33,6 +33,29 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+SCRIPTS = {
+    "ru": ["Старый мост через реку построили рабочие завода больше ста лет тому назад, и город до сих пор гордится этим.", "Каждой весной жители собираются на берегу, чтобы вспомнить строителей и послушать музыку местного оркестра."],
+    "zh": ["这座老桥建于一百多年前，当时工厂的工人们用石头和钢铁把两岸连接起来，城市至今仍为此感到自豪。", "每年春天，居民们都会聚集在河边，纪念当年的建设者，并聆听当地乐队演奏的音乐，直到夜幕降临。"],
+    "it": ["Il vecchio ponte sopra il fiume venne costruito dagli operai della fabbrica oltre cento anni fa, e la città ne va fiera.", "Ogni primavera gli abitanti si ritrovano lungo la riva per ricordare i costruttori, ascoltando la musica della banda."],
+}
+
+
+@pytest.mark.parametrize("lang", sorted(SCRIPTS))
+def test_pages_of_other_languages_are_not_empty(lang):
+    a, b = SCRIPTS[lang]
+    head = a[:12].rstrip()
+    menu = "<nav><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></nav>"
+    links = "<div><a href=x>one two three</a> <a href=y>four five</a></div>"
+    page = f"{menu}<div><h1>{head}</h1>" + f"<div>{a}</div><div>{b}</div>" * 4 + f"</div>{links}<footer>{a}</footer>"
+    assert html_text.main_text(page) == "\n".join([head, *[a, b] * 4])
+
+
+def test_a_page_of_short_paragraphs_is_not_empty():
+    short = [f"Sphinx number {i} waits" for i in range(20)]
+    page = "<nav><a href=x>Home page of ours</a></nav>" + "".join(f"<p>{x}</p>" for x in short) + "<p><a href=y>All the other pages</a></p>"
+    assert html_text.main_text(page) == "\n".join(short)
+
+
 TEASER = "<article><h3>Card</h3><p>Short teaser of the card.</p><a href=x>Read more</a></article>"
 LINKS = "<p><a href=x>one two three</a> <a href=y>four</a></p>"
 SPARSE = " ".join(f"keyword{i}" for i in range(30))
