@@ -25,6 +25,34 @@ def test_index_sync_ask(spark, tmp_path):
     assert [r.id for r in log] == [1, 2] and log[0].question == "limite de exposicion"
 
 
+def test_evaluate_and_compare(spark, tmp_path):
+    corpus = tmp_path / "docs"
+    corpus.mkdir()
+    for name, body in (("limite.txt", "El limite de exposicion es 28% del capital."), ("var.md", "El VaR historico usa 500 dias."), ("acta.txt", "El comite aprobo el aumento de capital.")):
+        (corpus / name).write_text(body)
+    s = Service(spark, str(tmp_path / "store"), str(corpus), Settings(top_k=1, reranker_pool_size=3))
+    s.index()
+    lines = [
+        {"id": "a", "level": "1", "question": "limite de exposicion", "expected_sources": ["limite.txt"], "must_contain": ["28%", "Límite", "ausente"]},
+        {"id": "b", "level": "2", "question": "VaR historico dias", "expected_sources": ["otro.txt"]},
+        {"id": "c", "level": "2", "question": "comite", "must_contain": ["aprobó"]},
+    ]
+    (tmp_path / "q.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    questions = cases.load_questions(spark, str(tmp_path / "q.jsonl"))
+    scored = s.evaluate(questions)
+    got = {r.id: (r.recall, r.accuracy and round(r.accuracy, 3), r.faithfulness, r.missing_in_answer, r.sources) for r in scored.collect()}
+    assert got == {"a": (1.0, 0.667, 1.0, ["ausente"], ["limite.txt"]), "b": (0.0, None, None, [], ["var.md"]), "c": (None, 1.0, 1.0, [], ["acta.txt"])}
+    report = evaluation.evaluation_report(scored).first()
+    assert (report.n, round(report.recall_rate, 3), report.faithfulness) == (3, 0.333, 1.0) and report.p50_ms == report.p95_ms
+    assert s.log.read().count() == 0
+
+    def silent(system, user, temperature=0.1, most=1024):
+        return ""
+
+    table = {(r.model, r.alpha): (r.n, round(r.recall_rate, 3), round(r.accuracy, 3)) for r in s.compare(questions, {"eco": s.completer, "mudo": silent}, (0.0, 1.0)).collect()}
+    assert table == {("eco", 0.0): (3, 0.333, 0.833), ("eco", 1.0): (3, 0.333, 0.833), ("mudo", 0.0): (3, 0.333, 0.0), ("mudo", 1.0): (3, 0.333, 0.0)}
+
+
 def test_cases(spark, tmp_path):
     (tmp_path / "q.jsonl").write_text('{"id": "q1", "question": "x", "expected_sources": ["a"], "must_contain": []}\n\n')
     assert [r.expected_sources for r in cases.load_questions(spark, str(tmp_path / "q.jsonl")).collect()] == [["a"]]
