@@ -134,39 +134,44 @@ def looks_like_question(text: Column) -> Column:
     return (F.length(t) >= 6) & (t.endswith("?") | t.startswith("¿"))
 
 
-def _held(claims: pa.Array, bare_claims: pa.Array, context: pa.Array, bare_context: pa.Array) -> pa.Array:
-    """For each row, which of its claims its context holds, or does without any white space: one pass over either for all claims."""
+def _open_claims(kinds: pa.Array, claims: pa.Array, context: pa.Array) -> pa.Array:
+    """For each row, which of its claims count and aren't held: the first of a kind that reads the same, no trivial number, and not in the
+    context, with or without its spaces.  One pass over either for all claims."""
     out = []
-    for row in zip(*(x.to_pylist() for x in (claims, bare_claims, context, bare_context)), strict=True):
-        held = [False] * len(row[0] or [])
-        for wanted, body in ((row[0], row[2]), (row[1], row[3])):
-            places: dict[str, list[int]] = {}
-            for i, claim in enumerate(wanted or []):
-                places.setdefault(claim, []).append(i)
-            found = {""} & places.keys()
+    for kind, claim, body in zip(*(x.to_pylist() for x in (kinds, claims, context)), strict=True):
+        firsts: dict[tuple[str, str], int] = {}
+        for i, key in enumerate(zip(kind or [], claim or [], strict=True)):
+            if key[0] != "numero" or "".join(c for c in key[1] if c in "0123456789") not in TRIVIAL_NUMBERS:
+                firsts.setdefault(key, i)
+        held: set[str] = set()
+        for squeeze in (False, True):
+            places: dict[str, list[str]] = {}
+            for _, c in firsts:
+                places.setdefault(c.replace(" ", "") if squeeze else c, []).append(c)
             searched = ahocorasick.Automaton()
-            for claim in places:
-                if claim:
-                    searched.add_word(claim, claim)
+            for c in places:
+                if c:
+                    searched.add_word(c, c)
+            found = {""} & places.keys()
             if len(searched):
                 searched.make_automaton()
-                for _, claim in searched.iter(body or ""):
-                    found.add(claim)
+                for _, c in searched.iter((body or "").replace(" ", "") if squeeze else body or ""):
+                    found.add(c)
                     if len(found) == len(places):
                         break
-            for claim in found:
-                for i in places[claim]:
-                    held[i] = True
-        out.append(held)
+            held.update(x for c in found for x in places[c])
+        flags = [False] * len(claim or [])
+        for (_, c), i in firsts.items():
+            flags[i] = c not in held
+        out.append(flags)
     return pa.array(out, pa.list_(pa.bool_()))
 
 
-def claims_in_context(claims: Column, context: Column) -> Column:
-    """array<boolean>: which claims a context holds, both read without accents, case and runs of white space, or without any of it."""
-    bare = lambda x: F.regexp_replace(x, r"(?U)\s+", "")
-    wanted = F.transform(claims, lambda c: trim_all(normalized(c)))
-    body = normalized(F.coalesce(context, F.lit("")))
-    return F.arrow_udf(_held, "array<boolean>")(wanted, F.transform(wanted, bare), body, bare(body))
+def open_claims(claims: Column, context: Column) -> Column:
+    """array<boolean> beside an array<struct<kind, claim>>: which of them count and aren't in the context, both read without accents, case and
+    runs of white space, or without any of it."""
+    wanted = F.transform(claims, lambda c: trim_all(normalized(c.claim)))
+    return F.arrow_udf(_open_claims, "array<boolean>")(F.transform(claims, lambda c: c.kind), wanted, normalized(F.coalesce(context, F.lit(""))))
 
 
 def claims(answer: Column) -> Column:
