@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from typing import Any
 
 import pyarrow as pa
@@ -137,15 +138,23 @@ def label_items(raw: Column) -> Column:
     return run.asNondeterministic()(raw)  # else it would be run once for each use of the items
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once a row."""
+    return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
+
+
 def normalized_weights(items: Column, labels: tuple[str, ...] = RISK_LABELS) -> Column:
     """Known labels with positive weights: the first of each, weights cut at 1, divided by their sum if that is above 1, rounded to four
     places, highest first (ties in order)."""
     named = F.transform(items, lambda x, i: F.struct(F.lower(F.trim(x.label)).alias("label"), F.when(x.weight.isNotNull(), F.least(x.weight, F.lit(1.0))).alias("weight"), i.alias("at")))
     valid = F.filter(named, lambda x: x.label.isin(*labels) & x.weight.isNotNull() & (x.weight > 0) & ~F.isnan(x.weight))
-    first = F.filter(valid, lambda x: ~F.exists(valid, lambda y: (y.label == x.label) & (y["at"] < x["at"])))
-    total = F.aggregate(first, F.lit(0.0), lambda a, x: a + x.weight)
-    shares = F.transform(first, lambda x: F.struct((-x.weight).alias("down"), x["at"].alias("at"), x.label.alias("label"), F.round(x.weight / F.greatest(total, F.lit(1.0)), 4).alias("weight")))
-    return F.transform(F.array_sort(shares), lambda x: F.struct(x.label.alias("label"), x.weight.alias("weight")))
+    # what a lambda's body uses again is bound as a variable of its own: written out there, it would be computed again for each item
+    first_of = lambda v, own: F.try_element_at(F.filter(v, lambda x: x.label == own), F.lit(1))
+    firsts = lambda v: F.array_compact(F.array(*[first_of(v, own) for own in dict.fromkeys(labels)]))
+    first = F.array_sort(_once(valid, lambda v: F.transform(firsts(v), lambda x: F.struct(x["at"].alias("at"), x.label.alias("label"), x.weight.alias("weight")))))
+    summed = _once(first, lambda f: F.struct(f.alias("first"), F.aggregate(f, F.lit(0.0), lambda a, x: a + x.weight).alias("total")))
+    shares = _once(summed, lambda s: F.transform(s.first, lambda x: F.struct((-x.weight).alias("down"), x["at"].alias("at"), x.label.alias("label"), F.round(x.weight / F.greatest(s.total, F.lit(1.0)), 4).alias("weight"))))
+    return F.when(items.isNotNull(), F.transform(F.array_sort(shares), lambda x: F.struct(x.label.alias("label"), x.weight.alias("weight"))))
 
 
 def pretty(slug: Column) -> Column:
