@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ from tesela.sources.stage import give_back, staged
 # The formula's constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Tokens counted at once.
-TOKENS = 1 << 19
+TOKENS = 1 << 18
 
 
 @dataclass
@@ -34,14 +35,30 @@ class Bm25Index:
 
 def _counted(rows: pa.Array) -> pa.Array:
     """Each row's distinct terms with their numbers, of about TOKENS tokens at once."""
-    ends = np.cumsum(np.asarray(rows.value_lengths().fill_null(0), np.int64))
-    cuts = np.flatnonzero(np.diff(ends // TOKENS, prepend=0)).tolist()
-    parts = [_counted_part(rows.slice(lo, hi - lo)) for lo, hi in zip([0, *cuts], [*cuts, len(rows)], strict=True) if hi > lo]
+    parts = [_counted_part(rows.slice(lo, hi - lo)) for lo, hi in _slices(rows)]
     out = pa.concat_arrays(parts) if parts else _counted_part(rows)
     give_back()
     return out
 
 
+def _slices(rows: pa.Array) -> list[tuple[int, int]]:
+    """Ranges of rows of about TOKENS tokens each."""
+    ends = np.cumsum(np.asarray(rows.value_lengths().fill_null(0), np.int64))
+    cuts = np.flatnonzero(np.diff(ends // TOKENS, prepend=0)).tolist()
+    return [(lo, hi) for lo, hi in zip([0, *cuts], [*cuts, len(rows)], strict=True) if hi > lo]
+
+
+def _counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk_id, tokens) as (chunk_id, dl, counts), each slice on its way before the next is counted."""
+    for batch in batches:
+        ids, rows = batch.columns
+        for lo, hi in _slices(rows):
+            some = rows.slice(lo, hi - lo)
+            dl = np.asarray(some.value_lengths().fill_null(0), np.int64)
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(dl), _counted_part(some)], names=["chunk_id", "dl", "counts"])
+    give_back()
+
+
 def _counted_part(rows: pa.Array) -> pa.Array:
     """Each row's distinct terms with their numbers: the terms of a batch are numbered, and equal (row, number) pairs counted at once."""
     sizes = np.asarray(rows.value_lengths().fill_null(0), np.int64)
@@ -64,8 +81,9 @@ def bm25_index(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text"
 
     Texts are read once: their counts are staged, and everything else reads these.  Only distinct terms with partial sums are shuffled.
     """
-    counted = chunks.select(F.col(chunk_id).alias("chunk_id"), term_counts(F.col(text)).alias("counts"))
-    rows = staged(counted.select("chunk_id", F.aggregate("counts", F.lit(0).cast("long"), lambda n, c: n + c.tf).alias("dl"), "counts"))
+    told = chunks.select(F.col(chunk_id).alias("chunk_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    kind = told.schema["chunk_id"].dataType.simpleString()
+    rows = staged(told.mapInArrow(_counted_rows, f"chunk_id {kind}, dl long, counts array<struct<term:string,tf:bigint>>"))
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = rows.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # totals and averages are single rows
