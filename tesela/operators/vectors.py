@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesela.operators.grid import beside
+from tesela.sources.stage import give_back
 
 #: Questions in a block; chunks whose distances to a block are computed at once.
 QUESTIONS, CHUNKS = 512, 4096
+#: Questions of a block whose distances are held at once.
+AT_ONCE = 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -85,11 +88,16 @@ def _nearest(k: int):
             for i in range(batch.num_rows):
                 chunk_ids, chunk_vectors, ids, asked = (batch.column(c)[i].values for c in ("chunk_ids", "chunk_vectors", "ids", "vectors"))
                 width = max(1, *(n or 0 for n in asked.value_lengths().to_pylist()))
-                d = unit_distances(unit_rows(chunk_vectors, width), unit_rows(asked, width))
                 keys = np.array(chunk_ids.to_pylist(), dtype=object)
-                hits = [first_places(x, keys, k) for x in d]
+                units, questions = unit_rows(chunk_vectors, width), unit_rows(asked, width)
+                hits, held = [], []
+                for at in range(0, len(questions), AT_ONCE):
+                    for x in unit_distances(units, questions[at : at + AT_ONCE]):
+                        hits.append(first_places(x, keys, k))
+                        held.append(x[hits[-1]])
                 q, c = np.repeat(np.arange(len(hits)), [len(h) for h in hits]), np.concatenate(hits)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), chunk_ids.take(pa.array(c)), pa.array(d[q, c])], names=["query_id", "chunk_id", "distance"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), chunk_ids.take(pa.array(c)), pa.array(np.concatenate(held))], names=["query_id", "chunk_id", "distance"])
+        give_back()
 
     return run
 
