@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesela.functions import text
+from tesela.operators.lexical import Bm25Index, bm25_index
 from tesela.operators.querylog import whole
+from tesela.sources.stage import staged
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -76,20 +78,22 @@ def evaluation_report(scored: DataFrame, *groups: str) -> DataFrame:
     return report.join(reached, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups], "left").drop(*[f"_{g}" for g in groups])
 
 
-def passage_holders(texts: DataFrame, passages: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) of texts (chunk_id, text) that hold a passage (query_id, question) literally.
+def passage_holders(texts: DataFrame, passages: DataFrame, index: Bm25Index | None = None) -> DataFrame:
+    """(query_id, chunk_id) of texts (chunk_id, text) that hold a passage (query_id, question) literally; index: that of the texts, if there
+    is one.
 
     A text that holds a passage has all of its words but for the first and the last, which may go on outside, so candidates meet by the
-    rarest of these: an equi-join.  Passages without such words are compared with all texts; empty ones are in every text.
+    rarest of the terms of these: an equi-join with the term counts.  Passages without such terms are compared with all texts; empty ones
+    are in every text.
     """
-    words = lambda c: F.regexp_extract_all(c, F.lit(text.TOKEN), F.lit(0))
-    own = words(F.col("question"))
-    asked = passages.filter(F.col("question").isNotNull()).withColumn("_inner", F.array_distinct(F.slice(own, 2, F.greatest(F.size(own) - 2, F.lit(0)))))
-    wanted = asked.select("query_id", F.explode("_inner").alias("word"))
-    places = texts.select("chunk_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    common = places.join(wanted.select("word").distinct(), "word").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    rarest = wanted.join(common, "word").groupBy("query_id").agg(F.min(F.struct("df", "word"))["word"].alias("word"))
-    pairs = places.join(rarest, "word").select("query_id", "chunk_id")
+    index = bm25_index(texts) if index is None else index
+    own = F.regexp_extract_all(F.col("question"), F.lit(text.TOKEN), F.lit(0))
+    # what a capital sigma becomes depends on the letters around it, also outside the passage
+    inner = F.filter(F.slice(own, 2, F.greatest(F.size(own) - 2, F.lit(0))), lambda w: ~F.contains(w, F.lit("Σ")))
+    asked = passages.filter(F.col("question").isNotNull()).withColumn("_inner", F.array_distinct(text.tokens(F.array_join(inner, " "))))
+    wanted = asked.select("query_id", F.explode("_inner").alias("term"))
+    rarest = staged(wanted.join(index.terms, "term").groupBy("query_id").agg(F.min(F.struct("df", "term"))["term"].alias("term")))
+    pairs = index.chunks.select("chunk_id", F.explode("counts.term").alias("term")).join(rarest, "term").select("query_id", "chunk_id")
     short = asked.filter(F.size("_inner") == 0).select("query_id").crossJoin(texts.select("chunk_id"))
-    both = pairs.unionByName(short).join(passages.select("query_id", "question"), "query_id").join(texts.select("chunk_id", "text"), "chunk_id")
+    both = staged(pairs.unionByName(short)).join(passages.select("query_id", "question"), "query_id").join(texts.select("chunk_id", "text"), "chunk_id")
     return both.filter(F.contains("text", F.col("question"))).select("query_id", "chunk_id")

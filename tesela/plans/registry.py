@@ -18,7 +18,7 @@ from tesela.operators.topfused import top_fused, top_fused_groups
 from tesela.plans import assistant
 from tesela.sources import files as file_ops
 from tesela.sources import logstore, snapshots
-from tesela.sources.stage import spread
+from tesela.sources.stage import spread, staged
 from tesela.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,19 +213,20 @@ def _questions(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
-def _blocks(spark, sf_dir):
+def _blocks(spark, sf_dir, index=None):
     """The corpus in blocks with its vectors, and the weighed questions with theirs."""
-    corpus, questions = _corpus(spark, sf_dir), _questions(spark, sf_dir)
-    index = lexical.bm25_index(corpus)
+    questions = _questions(spark, sf_dir)
+    index = index or lexical.bm25_index(_corpus(spark, sf_dir))
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     asked = questions.join(v, F.col("query_id") == F.col("vec_id")).select("query_id", "vector")
     weighed = blocks.weighted_questions(lexical.question_terms(questions, text="question"), index, asked, questions)
     return blocks.corpus_blocks(index, v.withColumnRenamed("vec_id", "chunk_id")), weighed
 
 
-def _top(spark, sf_dir, k):
-    """The first k fused chunks of each question."""
-    return top_fused(*_blocks(spark, sf_dir), k)
+def _top(spark, sf_dir, k, index=None):
+    """The first k fused chunks of each question, staged: their number is known before they meet the texts, which then stay where they
+    are."""
+    return staged(top_fused(*_blocks(spark, sf_dir, index), k))
 
 
 @query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf, n, round(avgdl, 6) AS avgdl, round(average_idf, 6) AS average_idf FROM terms, st, av")
@@ -317,7 +318,8 @@ def _pool(spark, sf_dir):
     common = F.size(F.array_intersect(a, b)).cast("double")
     score = F.round(common / F.greatest(F.size(F.array_union(a, b)), F.lit(1)), 9)
     covered = F.round(common / F.greatest(F.size(a), F.lit(1)), 9)
-    return rows.select("query_id", "chunk_id", "rrf", "rank", score.alias("rerank_score"), covered.alias("covered"))
+    holds = F.contains("text", F.col("question")).alias("holds")
+    return rows.select("query_id", "chunk_id", "rrf", "rank", score.alias("rerank_score"), covered.alias("covered"), holds)
 
 
 @query(f"""
@@ -341,9 +343,8 @@ SELECT alpha, count(*) AS n, round(avg(hit), 6) AS accuracy, coalesce(string_agg
 def alpha_sweep(spark, sf_dir):
     """Blending weights against whether a question's best chunks hold its passage; the failing questions are listed."""
     settings = _pool(spark, sf_dir).withColumn("alpha", F.explode(F.array(*map(F.lit, ALPHAS))))
-    placed = fusion.blend(settings, F.col("alpha"), TOP_K, by=["alpha"]).select("alpha", "query_id", "chunk_id")
-    rows = placed.join(_corpus(spark, sf_dir).select("chunk_id", "text"), "chunk_id").join(_questions(spark, sf_dir), "query_id")
-    best = rows.groupBy("alpha", "query_id").agg(F.max(F.contains("text", F.col("question")).cast("int")).alias("hit"))
+    placed = fusion.blend(settings, F.col("alpha"), TOP_K, by=["alpha"])
+    best = placed.groupBy("alpha", "query_id").agg(F.max(F.col("holds").cast("int")).alias("hit"))
     fails = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("hit") == 0, F.col("query_id")))), lambda x: x.cast("string")), ",")
     return best.groupBy("alpha").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 6).alias("accuracy"), fails.alias("fails"))
 
@@ -365,10 +366,9 @@ def model_comparison(spark, sf_dir):
     """Two pair scorers with all weights: how often, and how far up, the first chunks hold the question's passage.  One plan, in which the
     pool is found once and every setting is a row of it."""
     settings = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(a).alias("alpha"), F.col(c).alias("rerank_score")) for m, c in (("covered", "covered"), ("jaccard", "rerank_score")) for a in ALPHAS])
-    rows = _pool(spark, sf_dir).select("query_id", "chunk_id", "rrf", "rank", F.explode(settings).alias("s")).select("query_id", "chunk_id", "rrf", "rank", "s.*")
-    placed = fusion.blend(rows, F.col("alpha"), TOP_K, by=["model", "alpha"]).select("model", "alpha", "query_id", "chunk_id", "place")
-    told = placed.join(_corpus(spark, sf_dir).select("chunk_id", "text"), "chunk_id").join(_questions(spark, sf_dir), "query_id")
-    best = told.groupBy("model", "alpha", "query_id").agg(F.max(F.when(F.contains("text", F.col("question")), 1.0 / (1 + F.col("place"))).otherwise(0.0)).alias("hit"))
+    rows = _pool(spark, sf_dir).select("query_id", "chunk_id", "rrf", "rank", "holds", F.explode(settings).alias("s")).select("query_id", "chunk_id", "rrf", "rank", "holds", "s.*")
+    placed = fusion.blend(rows, F.col("alpha"), TOP_K, by=["model", "alpha"])
+    best = placed.groupBy("model", "alpha", "query_id").agg(F.max(F.when(F.col("holds"), 1.0 / (1 + F.col("place"))).otherwise(0.0)).alias("hit"))
     return best.groupBy("model", "alpha").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("hit") > 0).cast("double")), 6).alias("accuracy"), F.round(F.avg("hit"), 6).alias("reciprocal_rank"))
 
 
@@ -693,8 +693,9 @@ SELECT count(*) AS n, round(avg(coalesce(recall, 0)), 6) AS recall_rate, 1.0::DO
 def eval_aggregate(spark, sf_dir):
     """Questions are passages: a source is expected if a document of it holds the passage, and the passage itself stands for the answer."""
     questions, corpus = _questions(spark, sf_dir), _corpus(spark, sf_dir)
-    holds = evaluation.passage_holders(corpus, questions).join(corpus.select("chunk_id", "source"), "chunk_id").groupBy("query_id").agg(F.collect_set("source").alias("expected_sources"))
-    top = _top(spark, sf_dir, TOP_K).join(corpus, "chunk_id")
+    index = lexical.bm25_index(corpus)
+    holds = evaluation.passage_holders(corpus, questions, index).join(corpus.select("chunk_id", "source"), "chunk_id").groupBy("query_id").agg(F.collect_set("source").alias("expected_sources"))
+    top = _top(spark, sf_dir, TOP_K, index).join(corpus, "chunk_id")
     ordered = F.array_sort(F.collect_list(F.struct("rank", "text")))
     got = top.groupBy("query_id").agg(F.collect_list("source").alias("sources"), F.array_join(F.transform(ordered, lambda x: x.text), "\n\n").alias("context"))
     cases = got.join(holds, "query_id", "left").join(questions, "query_id")
