@@ -25,6 +25,8 @@ from tesela.sources.stage import give_back, staged
 CHUNKS, QUESTIONS = 2048, 256
 #: Blocks that a first threshold is taken from; blocks that each question visits first.
 SAMPLE, FIRST = 16, 2
+#: Blocks that are open at once.
+OPEN = 6
 #: A sum of gains may differ by this from the sum of their bounds, and scores are compared after rounding.
 SLACK = 2e-9
 
@@ -79,7 +81,7 @@ def _packed(batch: pa.Table, at: int, average: float) -> pa.RecordBatch:
 def _attached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by chunk_id, a vector's before its chunks', as chunks with their vectors."""
     kept: list[pa.RecordBatch] = []
-    for batch in batches:
+    for batch in (b.slice(at, CHUNKS) for b in batches for at in range(0, b.num_rows, CHUNKS)):
         rows = pa.Table.from_batches([*kept, batch]).combine_chunks()
         ids, vectors = (rows.column(c).combine_chunks() for c in ("chunk_id", "vector"))
         is_chunk = rows.column("is_chunk").to_numpy()
@@ -246,7 +248,9 @@ def opened(batch: pa.RecordBatch, cache: dict[int, Asked]) -> Iterator[Block]:
     for i in range(batch.num_rows):
         number = batch.column("q_block")[i].as_py()
         if number not in cache:
-            cache[number] = Asked(batch.column("asked")[i].values)
+            asked = batch.column("asked")[i].values
+            # copied, as a part of the batch would keep all of it
+            cache[number] = Asked(asked.take(pa.array(np.arange(len(asked)))))
         yield Block(batch, i, cache[number])
 
 
@@ -286,7 +290,7 @@ def _scored(k: int, kind: str):
         cache: dict[int, Asked] = {}
         best: dict = {}
         for batch in batches:
-            for asked, rows in _by_questions(opened(batch, cache)):
+            for asked, rows in _few(batch, cache):
                 bounds = np.array([b.bounds() for b in rows])
                 least = asked.column("least", -np.inf) if "least" in [f.name for f in asked.rows.type] else np.full(len(asked.keys), -np.inf)
                 for q, key in enumerate(asked.keys):
@@ -316,6 +320,12 @@ def _by_questions(blocks: Iterator[Block]) -> list[tuple[Asked, list[Block]]]:
     return list(groups.values())
 
 
+def _few(batch: pa.RecordBatch, cache: dict[int, Asked]) -> Iterator[tuple[Asked, list[Block]]]:
+    """The blocks of a batch by their questions, OPEN of its rows at once."""
+    for at in range(0, batch.num_rows, OPEN):
+        yield from _by_questions(opened(batch.slice(at, OPEN), cache))
+
+
 def _promising(most: int, kind: str):
     """(query_id, base, bound): the blocks of a task with the greatest bounds for each question."""
 
