@@ -280,6 +280,23 @@ def group_sums(places: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], tot
     return numbers, low, high, rank, float(sum(_term(np.array(p[3])) for p in places))
 
 
+def contenders(places: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], k: int, total: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], float]:
+    """The places of the chunks whose sums may be among a group's k greatest, and what the sums of the listed others stay below.
+
+    The k-th of the sums that some chunks reach for sure is a threshold; a chunk that is behind a place in every question stays below it.
+    """
+    picked = lambda keep: [(p[0][m], p[1][m], p[2][m], p[3]) for p, m in zip(places, keep, strict=True)]
+    heads = np.unique(np.concatenate([p[0][firsts(p[2], k)] for p in places]))
+    low = np.sort(group_sums(picked([np.isin(p[0], heads) for p in places]), total)[1])
+    if len(low) < k:
+        return places, 0.0
+    behind = math.ceil(len(places) / (float(low[-k]) - 1e-11)) - fusion.RRF_K
+    if behind >= min(p[3] for p in places):
+        return places, 0.0
+    kept = np.unique(np.concatenate([p[0][p[1] <= behind] for p in places]))
+    return picked([np.isin(p[0], kept) for p in places]), len(places) / (fusion.RRF_K + behind + 1)
+
+
 def _fuse_group(k: int, total: int):
     """A group's first k: (group_id, number, rrf, rank, sure)."""
 
@@ -292,20 +309,24 @@ def _fuse_group(k: int, total: int):
             rows = table.take(pa.array(at))
             numbers, scores, distances = _whole(rows)
             floors = tuple(rows.column(c)[0].as_py() for c in _FLOORS) if _FLOORS[0] in rows.column_names else (-np.inf, 2**62, np.inf, 2**62)
-            places.append((numbers, *fused_places(numbers, scores, distances, floors, total)))
+            first, last, other = fused_places(numbers, scores, distances, floors, total)
+            small = np.int32 if total < 1 << 31 else np.int64
+            places.append((numbers.astype(small), first.astype(small), last.astype(small), other))
+            del rows, numbers, scores, distances, first, last
+        known = all(len(p[0]) == total and (p[1] == p[2]).all() for p in places)
+        places, others = contenders(places, k, total)
         numbers, low, high, rank, beyond = group_sums(places, total)
         # with all places known, low is high, and ties follow the first question's place
         at = np.lexsort((numbers, rank, -np.round(low, 12)))[:k]
-        known = bool((low == high).all()) and len(numbers) == total
         sure = known
         if not known and len(at):
             rest = np.ones(len(numbers), bool)
             rest[at] = False
-            after = max(beyond, float(high[rest].max(initial=0.0)))
+            after = max(beyond, others, float(high[rest].max(initial=0.0)))
             next_best = np.append(high[at][1:], after)
             sure = bool((low[at] > next_best + 2e-12).all() and (np.round(low[at], 6) == np.round(high[at], 6)).all())
         group = table.column("group_id").slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(at), np.int64)))
-        return pa.table([group, pa.array(numbers[at]), pa.array(low[at]), pa.array(np.arange(len(at))), pa.array([sure] * len(at), pa.bool_())], names=["group_id", "number", "rrf", "rank", "sure"])
+        return pa.table([group, pa.array(numbers[at].astype(np.int64)), pa.array(low[at]), pa.array(np.arange(len(at))), pa.array([sure] * len(at), pa.bool_())], names=["group_id", "number", "rrf", "rank", "sure"])
 
     return run
 

@@ -166,3 +166,56 @@ def test_terms_are_counted_in_slices(monkeypatch):
     by_term = lambda x: [sorted((e["term"], e["tf"]) for e in row or []) for row in x]
     assert by_term(lexical._counted(rows).to_pylist()) == by_term(whole) == [[("a", 1), ("b", 2)], [], [], [("a", 1)], [("c", 9)], [("a", 1), ("c", 1)]]
     assert lexical._counted(rows.slice(0, 0)).to_pylist() == []
+
+
+def test_counting_yields_slices(monkeypatch):
+    """A batch is counted in slices that are sent on, so a worker never holds the counts of all of it."""
+    monkeypatch.setattr(lexical, "TOKENS", 4)
+    rows = pa.array([["b", "a", "b"], [], None, ["a"], ["c"] * 9, ["a", "c"]], pa.list_(pa.string()))
+    parts = list(lexical._counted_rows(iter([pa.RecordBatch.from_arrays([pa.array(range(6)), rows], names=["chunk_id", "tokens"])])))
+    assert len(parts) > 2
+    told = [r for p in parts for r in p.to_pylist()]
+    assert [(r["chunk_id"], r["dl"]) for r in told] == [(0, 3), (1, 0), (2, 0), (3, 1), (4, 9), (5, 2)]
+    assert sorted((e["term"], e["tf"]) for e in told[0]["counts"]) == [("a", 1), ("b", 2)]
+
+
+def test_opened_questions_dont_keep_their_batch(spark):
+    """A worker keeps the questions it has opened, but not the blocks that came with them."""
+    index, terms, held, asked = packed(*corpus(spark, 60), 8)
+    table = blocks.meet(held.frame, asked).toArrow().combine_chunks()
+    batch, cache = table.to_batches()[0], {}
+    list(blocks.opened(batch, cache))
+    there = [b for b in batch.column("asked").values.field("query_id").buffers() if b is not None]
+    assert cache and all({b.address for b in there}.isdisjoint({b.address for b in a.ids.buffers() if b is not None}) for a in cache.values())
+
+
+def test_nearest_takes_few_questions_at_once(spark, monkeypatch):
+    seen = []
+    real = vectors.unit_distances
+    monkeypatch.setattr(vectors, "unit_distances", lambda c, q: seen.append(len(q)) or real(c, q))
+    v = pa.array([[float(i % 7), float(i % 5)] for i in range(150)], pa.list_(pa.float64()))
+    one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+    ids = pa.array(range(150))
+    batch = pa.RecordBatch.from_arrays([one(ids), one(v), one(ids), one(v)], names=["chunk_ids", "chunk_vectors", "ids", "vectors"])
+    got = pa.Table.from_batches(vectors._nearest(3)(iter([batch])))
+    assert max(seen) <= 64 and got.num_rows == 450
+    d = real(vectors.unit_rows(v, 2), vectors.unit_rows(v, 2))
+    assert got.column("distance").to_pylist() == [x for row in d for x in sorted(row)[:3]] or sorted(got.column("distance").to_pylist()) == sorted(x for row in d for x in sorted(row)[:3])
+
+
+@pytest.mark.parametrize("total", [900, 5000])
+def test_contenders_are_few_and_hold_the_first(total):
+    rng = np.random.default_rng(total)
+    places = []
+    for _ in range(3):
+        own = rng.permutation(total)[: min(total, 4000)]
+        first = rng.permutation(total)[: len(own)] if len(own) == total else np.sort(rng.permutation(4000))[rng.permutation(len(own))]
+        last = first if len(own) == total else first + rng.integers(0, 3, len(own))
+        places.append((own, first, last, total if len(own) == total else 4000))
+    some, others = topfused.contenders(places, 5, total)
+    full, few = topfused.group_sums(places, total), topfused.group_sums(some, total)
+    assert len(few[0]) < len(full[0]) / 2 and others < np.sort(full[1])[-5]
+    best = lambda s: [(int(s[0][i]), round(float(s[1][i]), 12), round(float(s[2][i]), 12)) for i in np.lexsort((s[0], s[3], -np.round(s[1], 12)))[:5]]
+    assert best(few) == best(full)
+    left = ~np.isin(full[0], few[0])
+    assert full[2][left].max() <= max(others, 0.0) + 1e-15
