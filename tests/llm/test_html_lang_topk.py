@@ -195,6 +195,62 @@ def test_topk_of_large_components_and_repeated_ids(spark):
     assert keys == sorted(keys)
 
 
+def test_topk_broadcasts_no_vectors(spark):
+    """Vectors meet by a shuffle, however many cells their blocks are sent to; a broadcast of them is refused here."""
+    import pyarrow as pa
+
+    v = np.random.default_rng(8).normal(size=(4000, 256)).astype(np.float32)
+    table = pa.table({"vec_id": np.arange(4000), "embedding": pa.ListArray.from_arrays(np.arange(0, v.size + 1, 256, dtype=np.int32), v.ravel())})
+    # the page of any hashed table, as small as it may be, counts 64 MB
+    changed = {"spark.sql.shuffle.partitions": "64", "spark.sql.maxBroadcastTableSize": "96m"}
+    before = {x: spark.conf.get(x) for x in changed}
+    try:
+        for x, y in changed.items():
+            spark.conf.set(x, y)
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.norm_bucket_topk(spark.createDataFrame(table).repartition(4), every=8).collect())
+    finally:
+        for x, y in before.items():
+            spark.conf.set(x, y)
+    whole = np.floor(256 * v.astype(float))
+    s = whole[::8] @ whole.T
+    s[np.arange(500), np.arange(500) * 8] = -np.inf
+    best = np.lexsort((np.broadcast_to(np.arange(4000), s.shape), -s), axis=1)[:, :5]
+    assert got == [(q * 8, i + 1, int(c), int(s[q, c])) for q in range(500) for i, c in enumerate(best[q])]
+
+
+@pytest.mark.parametrize("size", [1.0, 1e5, 1e20])
+def test_a_task_keeps_the_best_of_many_blocks(size):
+    """Cell by cell, thresholds that rise from block to block give what all products at once give, ties to smaller ids."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    v = np.floor(256 * size * rng.integers(-3, 4, (300, 4)) * rng.choice([1.0, 0.25], (300, 1)))
+    ids, norms = rng.permutation(300), np.sqrt((v**2).sum(1))
+    order = np.argsort(-norms)
+
+    def binary(x):
+        return pa.array([x], pa.binary())
+
+    def row(cell, at, top, least):
+        vectors, least = topk._vector_bytes(v[at]), None if least is None else least.tobytes()
+        parts = [pa.array([cell], pa.int64()), pa.array([4], pa.int32()), pa.array([top]), *map(binary, (at.tobytes(), ids[at].tobytes(), vectors, least))]
+        return pa.RecordBatch.from_arrays(parts, names=["cell", "dim", "top", "rows", "ids", "vectors", "least"])
+
+    cells = [(0, np.arange(0, 40)), (0, np.arange(40, 75)), (1, np.arange(100, 130))]
+    batches = []
+    for cell in (0, 1):
+        batches += [row(cell, at, np.inf, np.full(len(at), -np.inf)) for c, at in cells if c == cell]
+        batches += [row(cell, order[lo : lo + 37], norms[order[lo]], None) for lo in range(0, 300, 37)]
+    merged = pa.Table.from_batches(batches).combine_chunks().to_batches()
+    got = Counter(x for b in topk._search(5)(iter(merged)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    want, whole = Counter(), [[int(x) for x in r] for r in v]
+    for _, at in cells:
+        for q in at.tolist():
+            scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[c], strict=True)), int(ids[c])) for c in range(300) if c != q)[:5]
+            want.update((q, int(ids[q]), c, min(max(-s, -(2**63)), 2**63 - 1), topk._sortable(-s)) for s, c in scores)
+    assert got == want
+
+
 def test_both_prunings_keep_the_best():
     rng = np.random.default_rng(5)
     c = rng.integers(-50, 50, (400, 6))
